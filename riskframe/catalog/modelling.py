@@ -1 +1,224 @@
+from datetime import datetime
 
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.sql import functions as F
+
+from riskframe.catalog.registry import query, r, rounded, scratch, table
+from riskframe.operators import evaluate, sampling, scorecard, scoring, tuning
+from riskframe.operators.models import importances, train
+from riskframe.plans import training
+from riskframe.sources import registry, reports
+
+NUM = ["n_chars", "n_lines", "n_words", "digits"]
+TEXT = ["lang"]
+AT = datetime(2024, 2, 1)
+
+
+def documents(spark, sf):
+    """Documents with simple counts as features and the quality label, where there is one."""
+    d, q = table(spark, sf, "documents"), table(spark, sf, "labels")
+    text = F.col("text")
+    return d.join(q, "doc_id").select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+        (F.length(text) - F.length(F.translate(text, "\n", ""))).cast("double").alias("n_lines"),
+        (F.length(text) - F.length(F.translate(text, " ", ""))).cast("double").alias("n_words"),
+        (F.length(text) - F.length(F.translate(text, "0123456789", ""))).cast("double").alias("digits"),
+        "lang", F.col("quality").alias("label"))
+
+
+def prices(spark, sf):
+    """Line items with the price as target."""
+    li = table(spark, sf, "lineitem")
+    return li.select(F.xxhash64(*li.columns).alias("key"), "l_quantity", "l_discount", "l_tax", "l_returnflag",
+                     F.col("l_extendedprice").alias("label"))
+
+
+def _scored_metrics(spark, model, df, label, task):
+    return training.evaluate_model(model, df, label, task)
+
+
+def _classifier(spark, sf, code, **kw):
+    df = sampling.with_split(documents(spark, sf), ["doc_id"], 0.3, label="label")
+    model = train(df.where("split = 'train'").drop("split"), "label", code, NUM, TEXT, key="doc_id", **kw)
+    return _scored_metrics(spark, model, df, "label", "classification")
+
+
+@query("train_lr")
+def train_lr(spark, sf):
+    return _classifier(spark, sf, "LR", max_iter=50)
+
+
+@query("train_lr_smote")
+def train_lr_smote(spark, sf):
+    return _classifier(spark, sf, "LR", sampler="smote", max_iter=50)
+
+
+@query("train_gbt")
+def train_gbt(spark, sf):
+    return _classifier(spark, sf, "XGB", sampler="random_over", n_estimators=5, max_depth=3)
+
+
+@query("train_gbt_stopped")
+def train_gbt_stopped(spark, sf):
+    return _classifier(spark, sf, "LGB", early_stopping=True, n_estimators=5, num_leaves=8)
+
+
+@query("train_rf")
+def train_rf(spark, sf):
+    return _classifier(spark, sf, "RF", sampler="random_under", n_estimators=10, max_depth=5)
+
+
+def _regressor(spark, sf, code, **kw):
+    df = sampling.with_split(prices(spark, sf), ["key"], 0.3)
+    model = train(df.where("split = 'train'").drop("split"), "label", code, ["l_quantity", "l_discount", "l_tax"],
+                  ["l_returnflag"], key="key", **kw)
+    return _scored_metrics(spark, model, df, "label", "regression")
+
+
+# two centred features: the ridge solution in closed form from the moments
+@query("train_ridge", f"""WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS aq, avg(l_discount) AS ad, avg(l_extendedprice) AS ay,
+    stddev_pop(l_quantity) AS sq, stddev_pop(l_discount) AS sd, covar_pop(l_quantity, l_discount) AS cqd,
+    covar_pop(l_quantity, l_extendedprice) AS cqy, covar_pop(l_discount, l_extendedprice) AS cdy FROM lineitem),
+  z AS (SELECT n, ay, n + 10.0 AS a, n * cqd / (sq * sd) AS b, n * cqy / sq AS y1, n * cdy / sd AS y2 FROM m)
+  SELECT {r('(a * y1 - b * y2) / (a * a - b * b)', 3)} AS l_quantity, {r('(a * y2 - b * y1) / (a * a - b * b)', 3)} AS l_discount,
+    {r('ay', 3)} AS intercept FROM z""")
+def train_ridge(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_quantity", "l_discount", F.col("l_extendedprice").alias("label"))
+    last = train(df, "label", "RIDGE", ["l_quantity", "l_discount"], alpha=10.0).stages[-1]
+    b = [float(x) for x in last.coefficients]
+    return rounded(spark.createDataFrame([(b[0], b[1], float(last.intercept))],
+                                         "l_quantity double, l_discount double, intercept double"), 3)
+
+
+@query("train_gbt_reg")
+def train_gbt_reg(spark, sf):
+    return _regressor(spark, sf, "XGB_REG", n_estimators=5, max_depth=3)
+
+
+@query("train_lgb_reg")
+def train_lgb_reg(spark, sf):
+    return _regressor(spark, sf, "LGB_REG", early_stopping=True, n_estimators=5, num_leaves=8)
+
+
+@query("train_rf_reg")
+def train_rf_reg(spark, sf):
+    return _regressor(spark, sf, "RF_REG", n_estimators=5, max_depth=5)
+
+
+@query("importance_table")
+def importance_table(spark, sf):
+    model = train(documents(spark, sf), "label", "RF", NUM, TEXT, n_estimators=10, max_depth=4)
+    rows = spark.createDataFrame(list(importances(model).items()), "feature string, importance double")
+    return evaluate.importance_table(rows)
+
+
+# ---- tuning --------------------------------------------------------------------------
+
+def _folds(spark, sf, code, **kw):
+    return tuning.FoldedTable(documents(spark, sf), "label", code, NUM, TEXT, "doc_id", **kw)
+
+
+@query("search_random")
+def search_random(spark, sf):
+    t = _folds(spark, sf, "LR", k=3, sampler="random_over")
+    trials = t.search(tuning.random_candidates("LR", 3, space={"C": [0.01, 0.1, 1, 10], "penalty": ["l1", "l2"], "max_iter": [30]}))
+    t.close()
+    return tuning.trials_table(spark, trials)
+
+
+@query("search_grid")
+def search_grid(spark, sf):
+    t = _folds(spark, sf, "RF", k=3, metric="f1_weighted")
+    trials = t.search(tuning.grid_candidates({"n_estimators": [5], "max_depth": [2, 4]}))
+    t.close()
+    return tuning.trials_table(spark, trials)
+
+
+@query("search_sequential")
+def search_sequential(spark, sf):
+    t = _folds(spark, sf, "LR", k=3)
+    trials = t.sequential(4, {"C": (0.01, 10.0), "penalty": ["l2"], "max_iter": [30]}, warmup=2)
+    t.close()
+    return tuning.trials_table(spark, trials)
+
+
+def _calibrated(spark, sf, method):
+    df = documents(spark, sf)
+    model = tuning.calibrate(df, "label", "RF", NUM, TEXT, "doc_id", method, n_estimators=5, max_depth=4)
+    return model.transform(df).select("doc_id", "raw_probability", "probability", "label")
+
+
+@query("calibrate_isotonic")
+def calibrate_isotonic(spark, sf):
+    return _calibrated(spark, sf, "isotonic")
+
+
+@query("calibrate_sigmoid")
+def calibrate_sigmoid(spark, sf):
+    return _calibrated(spark, sf, "sigmoid")
+
+
+@query("train_many")
+def train_many(spark, sf):
+    jobs = [{"code": "LR", "sampler": "random_over", "max_iter": 20}, {"code": "RF", "sampler": "none", "n_estimators": 5, "max_depth": 4},
+            {"code": "NB"}]
+    runs = training.train_many(documents(spark, sf), "label", jobs, NUM, TEXT, "doc_id")
+    done = [x["result"] for x in runs if x["status"] == "success"]
+    compared = evaluate.compare_runs(reports.result_rows(spark, done))
+    summary = evaluate.batch_summary(spark.createDataFrame([(x["status"],) for x in runs], "status string"))
+    return compared.select("model_name", "imbalance_method", "auc", F.lit(1).alias("k")).join(
+        summary.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+# ---- stored models, scoring, tree scorecards -----------------------------------------
+
+@query("model_save_load")
+def model_save_load(spark, sf):
+    df = documents(spark, sf)
+    root = scratch(spark)
+    registry.save_model(train(df, "label", "LR", NUM, TEXT, max_iter=10, C=0.1), root, "quality", "v1", AT)
+    registry.save_model(train(df, "label", "LR", NUM, TEXT, max_iter=50), root, "quality", "v2", datetime(2024, 2, 2))
+    model = registry.load_model(spark, root, "quality")
+    return scoring.predict(model, df, [*NUM, *TEXT]).select("doc_id", "prediction", "probability")
+
+
+@query("score_batch")
+def score_batch(spark, sf):
+    df = documents(spark, sf)
+    model = train(df, "label", "XGB", NUM, TEXT, n_estimators=3, max_depth=3)
+    return scoring.with_provenance(scoring.predict(model, df, [*NUM, *TEXT]), "XGB", "v1", AT).drop("label")
+
+
+@query("gbm_lr_scorecard")
+def gbm_lr_scorecard(spark, sf):
+    df = VectorAssembler(inputCols=NUM, outputCol="v").transform(documents(spark, sf))
+    trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=4, maxDepth=3, seed=42).fit(df)
+    model = scorecard.fit_leaf_logistic(trees, df, "v", "label")
+    return scorecard.apply_leaf_logistic(model, df.select("doc_id", "v")).select("doc_id", "probability", "score")
+
+
+@query("tree_scorecard")
+def tree_scorecard(spark, sf):
+    df = VectorAssembler(inputCols=NUM, outputCol="v").transform(documents(spark, sf))
+    tree = DecisionTreeClassifier(featuresCol="v", labelCol="label", maxDepth=3, leafCol="leaf", seed=42).fit(df)
+    scored = scoring.predict(tree, df.drop("leaf"), task="classification")
+    leaves = tree.transform(df).select("doc_id", "leaf").join(scored.select("doc_id", "probability"), "doc_id")
+    card = scorecard.leaf_scores(leaves, "leaf", "probability")
+    return scorecard.apply_leaf(leaves, "leaf", card).select("doc_id", "leaf", "score")
+
+
+@query("lr_scorecard")
+def lr_scorecard(spark, sf):
+    df = documents(spark, sf)
+    model, card = scorecard.fit_logistic_scorecard(df, "label", NUM, TEXT)
+    return scorecard.apply_points(df, model, card).select("doc_id", "score", "label")
+
+
+@query("pca_share")
+def pca_share(spark, sf):
+    li = table(spark, sf, "lineitem")
+    v = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="v").transform(li)
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(v)
+    rows = [(i, float(x)) for i, x in enumerate(model.explainedVariance)]
+    return spark.createDataFrame(rows, "component int, share double")

@@ -1 +1,73 @@
+from pyspark.sql import functions as F
 
+from riskframe.catalog.registry import query, r, rounded, scratch, table
+from riskframe.operators.models import train
+from riskframe.streaming import logs
+
+# a window counts as finished once the newest record is an hour past its end
+_DAY = "CAST(date_trunc('day', ts) AS TIMESTAMP)"
+_DONE = "WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+def event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    stream = logs.read_stream(spark, sf, schema, "parquet", "events.parquet")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
+
+
+def _finish(spark, stream):
+    """Run the stream to its end into files and read them back."""
+    base = scratch(spark)
+    logs.run_to_files(stream, f"{base}/out", f"{base}/state")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query("stream_volume", f"""WITH g AS (SELECT {_DAY} AS d, event_type, count(*) AS n, avg(value / 500.0) AS m FROM events GROUP BY ALL)
+  SELECT strftime(d, '%Y-%m-%d') AS day, event_type, n, {r('m')} AS mean_score FROM g {_DONE}""")
+def stream_volume(spark, sf):
+    s = event_stream(spark, sf).withColumn("score", F.col("value") / 500.0)
+    out = _finish(spark, logs.windowed_volume(s, "ts", "event_type", "score"))
+    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean_score"))
+
+
+_PR = f"""p AS (SELECT {_DAY} AS d, event_type, CAST(event_id % 3 = 0 AS INTEGER) AS label,
+    CAST(value > 100 AS INTEGER) AS prediction FROM events),
+  g AS (SELECT d, event_type, count(*) AS n, count(*) FILTER (label = prediction) AS hit, count(*) FILTER (label = 1 AND prediction = 1) AS tp,
+    sum(prediction) AS pp, sum(label) AS pos FROM p GROUP BY ALL),
+  m AS (SELECT d, event_type, n, hit / n AS accuracy, CASE WHEN pp > 0 THEN tp / pp ELSE 0 END AS precision,
+    CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS recall FROM g {_DONE})"""
+
+
+def _judged(spark, sf):
+    return (event_stream(spark, sf).withColumn("label", (F.col("event_id") % 3 == 0).cast("int"))
+            .withColumn("prediction", (F.col("value") > 100).cast("int")))
+
+
+@query("stream_performance", f"""WITH {_PR} SELECT strftime(d, '%Y-%m-%d') AS day, event_type, n, {r('accuracy')} AS accuracy,
+  {r('precision')} AS precision, {r('recall')} AS recall FROM m""")
+def stream_performance(spark, sf):
+    out = _finish(spark, logs.windowed_performance(_judged(spark, sf), "ts", "event_type", "label", "prediction"))
+    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "accuracy",
+                              "precision", "recall"))
+
+
+@query("stream_alerts", f"""WITH {_PR}, u AS (SELECT d, event_type, unnest(['accuracy', 'precision', 'recall']) AS metric,
+    unnest([accuracy, precision, recall]) AS value, unnest([0.6, 0.3, 0.2]) AS threshold FROM m)
+  SELECT strftime(d, '%Y-%m-%d') AS day, event_type, metric, {r('value')} AS value, CAST(threshold AS DOUBLE) AS threshold, 'warning' AS severity
+  FROM u WHERE value < threshold""")
+def stream_alerts(spark, sf):
+    out = _finish(spark, logs.windowed_alerts(_judged(spark, sf), "ts", "event_type", "label", "prediction",
+                                              {"accuracy": 0.6, "precision": 0.3, "recall": 0.2}))
+    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "metric", "value",
+                              "threshold", "severity"))
+
+
+@query("stream_scoring")
+def stream_scoring(spark, sf):
+    events = table(spark, sf, "events").withColumn("label", (F.col("value") > 60).cast("int"))
+    model = train(events.withColumn("hour", F.hour("ts").cast("double")), "label", "LR", ["hour", "user_id"],
+                  ["event_type"], max_iter=20)
+    s = event_stream(spark, sf).withColumn("hour", F.hour("ts").cast("double")).select(
+        "event_id", "hour", "user_id", "event_type")
+    return _finish(spark, logs.score_stream(s, model, ["hour", "user_id", "event_type"]).select(
+        "event_id", "prediction", "probability"))

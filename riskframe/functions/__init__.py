@@ -1,6 +1,5 @@
 from riskframe.functions.expr import (
     NULL_TOKENS,
-    bucket_of,
     drop_nan,
     hash_unit,
     interval_bin,
@@ -13,7 +12,6 @@ from riskframe.functions.expr import (
 
 __all__ = [
     "NULL_TOKENS",
-    "bucket_of",
     "drop_nan",
     "hash_unit",
     "interval_bin",

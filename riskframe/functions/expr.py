@@ -48,23 +48,6 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("long")
 
 
-def bucket_of(x: Column, points: Column, size: int) -> Column:
-    """How many of the sorted points lie strictly below x, by binary search.
-
-    ``size`` bounds the length of ``points``; it only sets the number of steps.
-    """
-    steps = [1 << i for i in reversed(range(max(size, 1).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda pos, step: F.when(
-            (pos + step <= F.size(points))
-            & F.coalesce(F.try_element_at(points, pos + step) < x, F.lit(False)),
-            pos + step,
-        ).otherwise(pos),
-    )
-
-
 def interval_bin(x: Column, edges: Sequence[float]) -> Column:
     """Bin number of x for right-closed intervals cut at the interior edges."""
     if not edges:

@@ -112,8 +112,8 @@ def add_trailing(df: DataFrame, key: str, order: str, cols: Sequence[str], rows:
     of all rows does not land in one task. Each range also receives the last ``rows`` rows
     of what came before it, which is all a trailing frame can reach.
     """
-    points = cut_points(df, [], order)
-    tagged = with_range(df, [], order, points, "_range").withColumn("_own", F.lit(True))
+    points = cut_points(df, [key], order)
+    tagged = with_range(df, order, points).withColumn("_own", F.lit(True))
     sort = [F.col(order), *[F.col(t) for t in tie]]
     back = [F.col(order).desc(), *[F.col(t).desc() for t in tie]]
     # the last rows of each (key, range), handed on to the following occupied ranges of the key

@@ -6,66 +6,78 @@ the distinct values; they only balance the work and do not influence any result.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.expr import bucket_of, long_form
+from riskframe.functions.expr import long_form
 
-BUCKETS = 1024
+MAX_RANGES = 4096
 OVERSAMPLE = 4
+ROWS_PER_RANGE = 100_000
+ROWS_PER_NARROW_RANGE = 2_000  # for percentiles, which look into a few ranges only
 
 
-def cut_points(df: DataFrame, by: Sequence[str], value: str, buckets: int = BUCKETS) -> dict[tuple, list]:
-    """Per group at most ``buckets - 1`` sorted cut points, about evenly spaced over the distinct values.
+def cut_points(df: DataFrame, by: Sequence[str], value: str, per_range: int | None = None) -> list:
+    """Sorted values that cut the distinct (group, value) pairs into ranges of about ``per_range``.
 
-    Every value falls into one of ``buckets * OVERSAMPLE`` hash classes and each class
-    keeps the value with the smallest hash: a uniform sample of distinct values, found
-    with map-side combining. Copies of one value share their hash and count once.
+    Every pair falls into one of a fixed number of hash classes and each class keeps the value
+    with the smallest hash: a uniform sample of distinct pairs, found with map-side combining;
+    copies of a pair share their hash and count once. The smallest hashes also tell how many
+    pairs there are, so a small table is not cut at all. One list serves all groups: a group
+    with many values also has many of the cut points.
     """
-    slots = buckets * OVERSAMPLE
+    slots = MAX_RANGES * OVERSAMPLE
+    pair = [F.col(b) for b in by] + [F.col(value)]
+    order = F.xxhash64(F.lit(7), *pair)
     picked = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.pmod(F.xxhash64(value), F.lit(slots)).alias("_slot"))
-        .agg(F.min_by(value, F.xxhash64(F.lit(7), F.col(value))).alias("_v"))
-        .select(*by, "_v")
+        .groupBy(F.pmod(F.xxhash64(*pair), F.lit(slots)).alias("_slot"))
+        .agg(F.min_by(value, order).alias("_v"), F.min(order).alias("_h"))
     )
-    groups: dict[tuple, list] = {}
-    for row in picked.collect():  # at most `slots` values per group
-        groups.setdefault(tuple(row[b] for b in by), []).append(row["_v"])
-    out = {}
-    for g, values in groups.items():
-        values.sort()
-        step = len(values) / buckets
-        out[g] = values if step <= 1 else [values[int(i * step)] for i in range(1, buckets)]
-    return out
+    found = picked.select("_v", "_h").collect()  # at most `slots` rows
+    if len(found) < slots // 2:
+        pairs = len(found)
+    else:
+        # the smallest of n uniform numbers is 1 / (n + 1) on average
+        mean = sum((r["_h"] + 2.0 ** 63) / 2.0 ** 64 for r in found) / len(found)
+        pairs = int(slots * (1.0 / mean - 1.0))
+    ranges = min(MAX_RANGES, len(found), -(-pairs // (per_range or ROWS_PER_RANGE)))
+    values = sorted(r["_v"] for r in found)
+    return sorted({values[i * len(values) // ranges] for i in range(1, ranges)})
 
 
-def with_range(df: DataFrame, by: Sequence[str], value: str, points: dict[tuple, list],
-               out: str = "_range") -> DataFrame:
-    """Tag each row with the number of the value range it lies in."""
-    longest = max((len(p) for p in points.values()), default=0)
-    if not by:
-        only = points.get((), [])
-        if not only:
-            return df.withColumn(out, F.lit(0))
-        return df.withColumn(out, bucket_of(F.col(value), F.array(*[F.lit(v) for v in only]), longest))
-    if not points:
+def constant_array(values: Sequence, kind: str) -> Column:
+    """A long list as one constant; an array of literals would weigh down every planning step."""
+    text = json.dumps([v if isinstance(v, str) else str(v) for v in values])
+    return F.from_json(F.lit(text), "array<string>").cast(f"array<{kind}>")
+
+
+def with_position(df: DataFrame, x: Column, values: Sequence, out: str) -> DataFrame:
+    """Add how many of the sorted values lie strictly below x (0 for NULL), by binary search.
+
+    One projection per halving step keeps every step in generated code.
+    """
+    if not values:
         return df.withColumn(out, F.lit(0))
-    spark = df.sparkSession
-    fields = [df.schema[b] for b in by]
-    kind = df.schema[value].dataType.simpleString()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", _points array<{kind}>"
-    table = spark.createDataFrame([(*g, p) for g, p in points.items()], schema)
-    # one row per group with a bounded array: safe to broadcast
-    tagged = df.join(F.broadcast(table), list(by), "left")
-    return tagged.withColumn(out, bucket_of(F.col(value), F.col("_points"), longest)).drop("_points")
+    df = df.withColumns({"_x": x, out: F.lit(0)})
+    table = constant_array(values, df.schema["_x"].dataType.simpleString())
+    for step in (1 << i for i in reversed(range(len(values).bit_length()))):
+        below = F.coalesce(F.try_element_at(table, F.col(out) + step) < F.col("_x"), F.lit(False))
+        df = df.withColumn(out, F.col(out) + F.when(below, step).otherwise(0))
+    return df.drop("_x")
+
+
+def with_range(df: DataFrame, value: str, points: Sequence, out: str = "_range") -> DataFrame:
+    """Tag each row with the number of the value range it lies in."""
+    return with_position(df, F.col(value), points, out)
 
 
 def running_totals(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, Column],
-                   buckets: int = BUCKETS) -> DataFrame:
+                   per_range: int | None = None) -> DataFrame:
     """Per group and distinct value, in ascending order: each sum, ``<sum>_cum`` up to and
     including the value, and ``<sum>_all`` of the group.
 
@@ -74,13 +86,17 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, sums: dict[str,
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull())
-    points = cut_points(rows, by, value, buckets)
+    points = cut_points(rows, by, value, per_range)
     per_value = rows.groupBy(*by, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    tagged = with_range(per_value, by, value, points)
+    whole = Window.partitionBy(*by)
+    if not points:  # few distinct values in all: one sort per group will do
+        up_to = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return per_value.select(*by, value, *sums, *[F.sum(n).over(up_to).alias(f"{n}_cum") for n in sums],
+                                *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums])
+    tagged = with_range(per_value, value, points)
     per_range = tagged.groupBy(*by, "_range").agg(*[F.sum(n).alias(n) for n in sums])
-    # at most `buckets` rows per group from here on
+    # at most MAX_RANGES rows per group from here on
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
     marks = per_range.select(
         *by, "_range",
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}_off") for n in sums],
@@ -95,7 +111,7 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, sums: dict[str,
 
 
 def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                      small: int = 200_000) -> dict[str, list[float | None]]:
+                      small: int = 200_000, per_range: int | None = None) -> dict[str, list[float | None]]:
     """Interpolated percentiles of many columns; the answer is a few numbers per column.
 
     A column with at most about ``small`` distinct values uses the built-in aggregate,
@@ -117,17 +133,17 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
         for i, c in enumerate(low):
             out[c] = list(row[f"p{i}"]) if row[f"p{i}"] is not None else [None] * len(probs)
     if high:
-        out.update(_percentiles_by_range(num, high, probs))
+        out.update(_percentiles_by_range(num, high, probs, per_range))
     return {c: out[c] for c in cols}
 
 
 def _percentiles_by_range(num: DataFrame, counts: dict[str, int], probs: Sequence[float],
-                          buckets: int = BUCKETS) -> dict[str, list[float | None]]:
+                          per_range: int | None) -> dict[str, list[float | None]]:
     spark = num.sparkSession
     values = long_form(num, list(counts)).where(F.col("x").isNotNull())
-    tagged = with_range(values, ["feature"], "x", cut_points(values, ["feature"], "x", buckets))
+    tagged = with_range(values, "x", cut_points(values, ["feature"], "x", per_range or ROWS_PER_NARROW_RANGE))
     filled: dict[str, list[tuple[int, int]]] = {}
-    for row in tagged.groupBy("feature", "_range").count().collect():  # `buckets` rows per feature
+    for row in tagged.groupBy("feature", "_range").count().collect():  # MAX_RANGES rows per feature
         filled.setdefault(row["feature"], []).append((row["_range"], row["count"]))
     wanted = []
     for f, n in counts.items():

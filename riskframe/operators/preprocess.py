@@ -16,10 +16,11 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.expr import bucket_of, drop_nan
-from riskframe.operators.ordering import exact_percentiles, running_totals
+from riskframe.functions.expr import drop_nan
+from riskframe.operators.ordering import constant_array, exact_percentiles, running_totals, with_position
 
 MAX_CATEGORIES = 10_000
+SHORT_LIST = 16
 
 # What each model family does to numeric and categorical columns.
 FAMILIES = {
@@ -98,17 +99,19 @@ def standardised(x: Column, mean: float | None, std: float | None) -> Column:
 
 
 def ordinal_code(x: Column, cats: Sequence[str]) -> Column:
-    """Position in the sorted categories, -1 for anything else."""
-    if not cats:
-        return F.lit(-1)
-    if len(cats) <= 16:
-        code = F.lit(-1)
-        for i, c in enumerate(cats):
-            code = F.when(x == F.lit(c), F.lit(i)).otherwise(code)
-        return code
-    table = F.array(*[F.lit(c) for c in cats])
-    pos = bucket_of(x, table, len(cats))
-    return F.when(F.try_element_at(table, pos + 1) == x, pos).otherwise(F.lit(-1))
+    """Position in the sorted categories, -1 for anything else; for short lists."""
+    code = F.lit(-1)
+    for i, c in enumerate(cats):
+        code = F.when(x == F.lit(c), F.lit(i)).otherwise(code)
+    return code
+
+
+def with_ordinal_code(df: DataFrame, x: Column, cats: Sequence[str], out: str) -> DataFrame:
+    """As ordinal_code, by binary search: for long lists."""
+    df = with_position(df, x, cats, out)
+    table = constant_array(cats, "string")
+    hit = F.coalesce(F.try_element_at(table, F.col(out) + 1) == x, F.lit(False))
+    return df.withColumn(out, F.when(hit, F.col(out)).otherwise(F.lit(-1)))
 
 
 def onehot_columns(name: str, x: Column, cats: Sequence[str]) -> list[Column]:
@@ -253,7 +256,11 @@ class TabularPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritab
         numeric = {s["col"]: s for s in p["numeric"]}
         text = {s["col"]: s for s in p["categorical"]}
         cols: list[Column] = []
-        for name in df.columns:
+        names = df.columns
+        for name, s in text.items():
+            if p["encoding"] != "onehot" and len(s["cats"]) > SHORT_LIST:
+                df = with_ordinal_code(df, fill(name, s["fill"]).cast("string"), s["cats"], f"_code_{name}")
+        for name in names:
             if name in numeric:
                 s = numeric[name]
                 x = _numeric_value(s)
@@ -266,7 +273,7 @@ class TabularPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritab
                 if p["encoding"] == "onehot":
                     cols.extend(onehot_columns(name, x, s["cats"]))
                     continue
-                code = ordinal_code(x, s["cats"])
+                code = F.col(f"`_code_{name}`") if f"_code_{name}" in df.columns else ordinal_code(x, s["cats"])
                 if p["encoding"] == "index":
                     # boosters treat the column as nominal: unseen values share one extra level
                     code = F.when(code < 0, F.lit(len(s["cats"]))).otherwise(code).cast("double")

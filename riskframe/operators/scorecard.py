@@ -6,15 +6,19 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import interval_bin
 from riskframe.operators.screening import MISSING, bin_counts, quantile_edges, woe_from_counts
+from riskframe.sources.lineage import checkpointed
 
 # Fixed values of the points scale.
 BASE, PDO, ODDS = 600.0, 20.0, 50.0
@@ -51,7 +55,8 @@ class WoeModel:
 def fit_woe(df: DataFrame, label: str, numeric: Sequence[str], text: Sequence[str] = (),
             bins: int = 10) -> WoeModel:
     edges = quantile_edges(df, numeric, bins)
-    return WoeModel(edges, list(text), woe_from_counts(bin_counts(df, label, edges, text)))
+    table = checkpointed(woe_from_counts(bin_counts(df, label, edges, text)))  # fitted once, used many times
+    return WoeModel(edges, list(text), table)
 
 
 def _append_lookup(df: DataFrame, model: WoeModel, values: DataFrame, suffix: str, keep: bool) -> DataFrame:
@@ -202,36 +207,38 @@ def fit_leaf_logistic(trees, df: DataFrame, features: str, label: str, c: float
     for name in ("predictionCol", "probabilityCol", "rawPredictionCol"):
         if clean.hasParam(name):
             clean.set(clean.getParam(name), f"_tree_{name}")
-    split = _LeafColumns(n_trees)
     n = df.count()
     names = [f"_leaf{i}" for i in range(n_trees)]
     hot = OneHotEncoder(inputCols=names, outputCols=[f"{x}_hot" for x in names], handleInvalid="keep", dropLast=False)
     vec = VectorAssembler(inputCols=[f"{x}_hot" for x in names], outputCol="_leaf_vector")
     lr = LogisticRegression(featuresCol="_leaf_vector", labelCol=label, regParam=1.0 / (c * n),
                             standardization=False, maxIter=200)
-    leaves = PipelineModel([clean, split.stage()])
+    leaves = PipelineModel([clean, LeafColumns(trees=n_trees)])
     fitted = Pipeline(stages=[hot, vec, lr]).fit(leaves.transform(df))
     return PipelineModel([*leaves.stages, *fitted.stages])
 
 
-class _LeafColumns:
-    """One column per tree, made from the vector of leaf numbers by a SQL stage."""
+class LeafColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """One column per tree from the vector of leaf numbers."""
 
-    def __init__(self, n: int):
-        self.n = n
+    trees = Param(Params._dummy(), "trees", "number of trees", TypeConverters.toInt)
 
-    def stage(self):
-        from pyspark.ml.feature import SQLTransformer
+    @keyword_only
+    def __init__(self, *, trees=1):
+        super().__init__()
+        self._setDefault(trees=1)
+        self._set(**self._input_kwargs)
 
-        parts = ", ".join(f"vector_to_array(_leaves)[{i}] AS _leaf{i}" for i in range(self.n))
-        return SQLTransformer(statement=f"SELECT *, {parts} FROM __THIS__")
+    def _transform(self, df: DataFrame) -> DataFrame:
+        leaves = vector_to_array("_leaves")
+        return df.withColumns({f"_leaf{i}": leaves[i] for i in range(self.getOrDefault(self.trees))})
 
 
 def apply_leaf_logistic(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Append probability and score."""
     p = vector_to_array(F.col("probability"))[1]
-    scored = model.transform(df).withColumn("_p", p)
-    return scored.select(*df.columns, F.col("_p").alias("probability"), prob_to_score(F.col("_p")).alias("score"))
+    scored = model.transform(df.select("*", F.struct("*").alias("_row"))).withColumn("_p", p)
+    return scored.select("_row.*", F.col("_p").alias("probability"), prob_to_score(F.col("_p")).alias("score"))
 
 
 # ---- the weighted-bin card -----------------------------------------------------------

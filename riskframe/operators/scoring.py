@@ -19,11 +19,11 @@ def predict(model, df: DataFrame, features: Sequence[str] | None = None, task: s
     """
     if features is not None:
         check_schema(df, features)
-    scored = model.transform(df)
-    cols = [F.col(f"`{c}`") for c in df.columns]
+    # the model replaces columns by their encoded form; the table's own columns travel beside them
+    scored = model.transform(df.select("*", F.struct("*").alias("_row")))
     if task == "regression":
-        return scored.select(*cols, "prediction")
-    return scored.select(*cols, F.col("prediction").cast("int").alias("prediction"),
+        return scored.select("_row.*", "prediction")
+    return scored.select("_row.*", F.col("prediction").cast("int").alias("prediction"),
                          vector_to_array("probability")[1].alias("probability"))
 
 
