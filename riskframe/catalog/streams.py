@@ -22,10 +22,10 @@ def _finish(spark, stream):
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-@query("stream_volume", f"""WITH g AS (SELECT {_DAY} AS d, event_type, count(*) AS n, avg(value / 500.0) AS m FROM events GROUP BY ALL)
+@query("stream_volume", f"""WITH g AS (SELECT {_DAY} AS d, event_type, count(*) AS n, avg(value / 487.3) AS m FROM events GROUP BY ALL)
   SELECT strftime(d, '%Y-%m-%d') AS day, event_type, n, {r('m')} AS mean_score FROM g {_DONE}""")
 def stream_volume(spark, sf):
-    s = event_stream(spark, sf).withColumn("score", F.col("value") / 500.0)
+    s = event_stream(spark, sf).withColumn("score", F.col("value") / 487.3)
     out = _finish(spark, logs.windowed_volume(s, "ts", "event_type", "score"))
     return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean_score"))
 

@@ -169,25 +169,36 @@ def prepare(df: DataFrame, label: str, code: str, numeric: Sequence[str], text:
     if (DEFAULTS[code].get("class_weight") if class_weight == "default" else class_weight) == "balanced":
         weight = "_weight"
         ready = class_weights(ready, label, weight)
+    n_rows, label_std = 1, 1.0
+    if code in ("LR", "RIDGE"):  # only these rescale their penalty
+        row = ready.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(label).cast("double")).alias("s")).first()
+        n_rows, label_std = row["n"], row["s"] or 1.0
     data = assembler.transform(ready).select(
         "features", F.col(label).cast("double").alias("label"), *([weight] if weight else []),
         *([validation] if validation else []))
-    row = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
     widest = max((len(s["cats"]) + 2 for s in prep.parameters["categorical"]), default=0)
-    return Prepared(prep, assembler, data, row["n"], row["s"] or 1.0, max(64, widest), weight, validation)
+    return Prepared(prep, assembler, data, n_rows, label_std, max(64, widest), weight, validation)
 
 
 def train(df: DataFrame, label: str, code: str, numeric: Sequence[str], text: Sequence[str] = (),
           key: str | None = None, sampler: str | None = None, early_stopping: bool = False, seed: int = 42,
           preprocess: Mapping | None = None, **params) -> PipelineModel:
-    """Preprocess, balance and fit one model; the prepared table is cached while it is fitted."""
-    ready = prepare(df, label, code, numeric, text, key, sampler, early_stopping, seed, preprocess,
-                    params.get("class_weight", "default"))
-    ready.data.persist()
+    """Preprocess, balance and fit one model.
+
+    The needed columns are cached (on disk, if memory is short) while parameters are learnt,
+    and the prepared table while the model is fitted.
+    """
+    table = df.select(*dict.fromkeys([label, *numeric, *text, *([key] if key else [])])).persist()
     try:
-        return ready.fit(code, seed, **params)
+        ready = prepare(table, label, code, numeric, text, key, sampler, early_stopping, seed, preprocess,
+                        params.get("class_weight", "default"))
+        ready.data.persist()
+        try:
+            return ready.fit(code, seed, **params)
+        finally:
+            ready.data.unpersist()
     finally:
-        ready.data.unpersist()
+        table.unpersist()
 
 
 def importances(model: PipelineModel) -> dict[str, float]:

@@ -72,18 +72,18 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-def categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct values per column, for columns with at most ``limit`` of them."""
+def bounded_counts(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, dict[str, int]]:
+    """Value counts per column, for columns with at most ``limit`` distinct values."""
     if not cols:
         return {}
     sizes = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     wide = [c for i, c in enumerate(cols) if sizes[f"d{i}"] > limit]
     if wide:
         raise ValueError(f"more than {limit} categories in {wide}: use ordinal_table and encode_by_table")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in category_counts(df, cols).select("feature", "value").collect():  # bounded by the check above
-        out[r["feature"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
+    out: dict[str, dict[str, int]] = {c: {} for c in cols}
+    for r in category_counts(df, cols).collect():  # bounded by the check above
+        out[r["feature"]][r["value"]] = r["n"]
+    return out
 
 
 # ---- expressions ---------------------------------------------------------------------
@@ -169,13 +169,21 @@ class TabularPreprocessor(Estimator, _PreprocessParams, DefaultParamsReadable, D
         if num:
             spec["numeric"] = self._fit_numeric(drop_nan(df, num), num, scaling)
         if cat:
-            text = df.select(*[F.col(c).cast("string").alias(c) for c in cat])
-            fills = modes(text, cat) if cat_fill == "mode" else {c: "missing" for c in cat}
-            filled = text.select(*[fill(c, fills[c]).alias(c) for c in cat])
-            known_values = categories(filled, cat)
-            spec["categorical"] = [{"col": c, "fill": fills[c], "cats": known_values[c]} for c in cat]
+            spec["categorical"] = self._fit_categorical(df, cat, cat_fill)
         return TabularPreprocessorModel(spec=json.dumps(spec))
 
+    def _fit_categorical(self, df: DataFrame, cat: list[str], rule: str) -> list[dict]:
+        """Fill value and sorted categories of every column, from one count of the values."""
+        text = df.select(*[F.col(c).cast("string").alias(c) for c in cat])
+        if rule == "constant":
+            text = text.select(*[fill(c, "missing").alias(c) for c in cat])
+        counts = bounded_counts(text, cat)
+        steps = []
+        for c in cat:
+            common = min(counts[c], key=lambda v: (-counts[c][v], v), default=None)
+            steps.append({"col": c, "fill": common if rule == "mode" else "missing", "cats": sorted(counts[c])})
+        return steps
+
     def _fit_numeric(self, df: DataFrame, num: list[str], scaling: str) -> list[dict]:
         rule, limit = self.getOrDefault(self.outliers), self.getOrDefault(self.outlierLimit)
         use_median = self.getOrDefault(self.numericImpute) == "median"
