@@ -16,8 +16,8 @@ def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Rename many columns; names the table does not have are ignored."""
-    return df.withColumnsRenamed(dict(mapping))
+    """Rename many columns, matching case; names the table does not have are ignored."""
+    return df.toDF(*[mapping.get(c, c) for c in df.columns])
 
 
 def cast_columns(df: DataFrame, text: Sequence[str] = (), label: str | None = None,
