@@ -99,6 +99,17 @@ def transform_power(spark, sf):
     return rounded(preprocess.power_lambda(table(spark, sf, "events"), ["value"], _GRID), 3)
 
 
+_BC = " UNION ALL ".join(
+    f"SELECT CAST({g} AS DOUBLE) AS lam, -count(*) / 2.0 * ln(var_pop({f'(pow(value, {g}) - 1) / {g}' if g else 'ln(value)'}))"
+    f" + ({g} - 1) * sum(ln(value)) AS ll FROM events" for g in _GRID)
+
+
+@query("transform_box_cox", f"WITH s AS ({_BC}), b AS (SELECT lam FROM s ORDER BY ll DESC LIMIT 1) SELECT event_id, "
+       + r("CASE WHEN lam = 0 THEN ln(value) ELSE (pow(value, lam) - 1) / nullif(lam, 0) END") + " AS value FROM events, b")
+def transform_box_cox(spark, sf):
+    return rounded(preprocess.power_transform(table(spark, sf, "events").select("event_id", "value"), ["value"], _GRID, "box-cox"))
+
+
 @query("encode_onehot", f"""WITH {LI} SELECT l_orderkey, l_partkey, CAST(flag = 'A' AS INTEGER) AS flag_A,
   CAST(flag = 'N' AS INTEGER) AS flag_N, CAST(flag = 'R' AS INTEGER) AS flag_R,
   CAST(coalesce(status, m) = 'F' AS INTEGER) AS status_F, CAST(coalesce(status, m) = 'O' AS INTEGER) AS status_O

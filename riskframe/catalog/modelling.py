@@ -1,14 +1,16 @@
 from datetime import datetime
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import query, r, rounded, scratch, table
-from riskframe.operators import evaluate, sampling, scorecard, scoring, tuning
+from riskframe.operators import evaluate, generate, sampling, scorecard, scoring, tuning
 from riskframe.operators.models import importances, train
+from riskframe.operators.preprocess import TabularPreprocessor
 from riskframe.plans import training
 from riskframe.sources import registry, reports
+from riskframe.sources.lineage import checkpointed
 
 NUM = ["n_chars", "n_lines", "n_words", "digits"]
 TEXT = ["lang"]
@@ -39,7 +41,8 @@ def _scored_metrics(spark, model, df, label, task):
 
 
 def _classifier(spark, sf, code, **kw):
-    df = sampling.with_split(documents(spark, sf), ["doc_id"], 0.3, label="label")
+    # the features are made from whole texts once and kept as a table
+    df = checkpointed(sampling.with_split(documents(spark, sf), ["doc_id"], 0.3, label="label"))
     model = train(df.where("split = 'train'").drop("split"), "label", code, NUM, TEXT, key="doc_id", **kw)
     return _scored_metrics(spark, model, df, "label", "classification")
 
@@ -215,10 +218,13 @@ def lr_scorecard(spark, sf):
     return scorecard.apply_points(df, model, card).select("doc_id", "score", "label")
 
 
-@query("pca_share")
-def pca_share(spark, sf):
-    li = table(spark, sf, "lineitem")
-    v = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="v").transform(li)
-    model = PCA(k=2, inputCol="v", outputCol="p").fit(v)
-    rows = [(i, float(x)) for i, x in enumerate(model.explainedVariance)]
-    return spark.createDataFrame(rows, "component int, share double")
+# two standardised columns: the shares are (1 + |r|) / 2 and (1 - |r|) / 2
+@query("gen_components", f"""WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r, count(*) AS n FROM lineitem)
+  SELECT CAST(unnest([1, 2]) AS INTEGER) AS component, {r('unnest([(1 + r) / 2, (1 - r) / 2])')} AS share, n AS n_rows FROM c""")
+def gen_components(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    cols = li.columns
+    scaled = TabularPreprocessor(numericCols=cols, scale="standard").fit(li).transform(li)
+    wide, shares = generate.add_components(scaled, cols, k=2)
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("component"), F.lit(x).alias("share")) for i, x in enumerate(shares)])
+    return rounded(wide.agg(F.count("pc1").alias("n_rows")).select(F.inline(rows), "n_rows"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,26 @@ def add_bins(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     return clean.withColumns({f"{c}_bin": interval_bin(F.col(c).cast("double"), e) for c, e in edges.items()})
 
 
+def add_components(df: DataFrame, cols: Sequence[str], k: int | None = None, share: float | None = None,
+                   prefix: str = "pc") -> tuple[DataFrame, list[float]]:
+    """Append principal components and return their variance shares.
+
+    Give the number of components or the share of variance they must reach. Columns are
+    used as they are: standardise them first if their units differ.
+    """
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df)
+    model = PCA(k=len(cols), inputCol="_v", outputCol="_p").fit(vectors)
+    shares = [float(x) for x in model.explainedVariance]
+    if k is None:
+        k, total = 0, 0.0
+        while k < len(shares) and total < (1.0 if share is None else share):
+            total += shares[k]
+            k += 1
+    parts = vector_to_array("_p")
+    out = model.transform(vectors).select(*df.columns, *[parts[i].alias(f"{prefix}{i + 1}") for i in range(k)])
+    return out, shares[:k]
+
+
 def add_trailing(df: DataFrame, key: str, order: str, cols: Sequence[str], rows: int = 3,
                  tie: Sequence[str] = ()) -> DataFrame:
     """Append the sum and mean over the current and the ``rows`` preceding rows of the same key.

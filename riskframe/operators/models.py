@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from riskframe.operators import sampling
 from riskframe.operators.neighbours import smote
 from riskframe.operators.preprocess import TabularPreprocessor, TabularPreprocessorModel
+from riskframe.sources.lineage import checkpointed
 
 CLASSIFIERS = ["LR", "XGB", "RF", "LGB", "DT"]
 BOOSTERS = ["XGB", "LGB", "XGB_REG", "LGB_REG"]
@@ -113,8 +114,8 @@ def resample(df: DataFrame, method: str | None, key: str, label: str, features:
         return sampling.over_sample(df, [key], label, seed).drop("copy")
     if method == "random_under":
         return sampling.under_sample(df, [key], label, seed)
-    if method == "smote":
-        return smote(df, key, label, features, seed=seed).drop("copy")
+    if method == "smote":  # the neighbour search must not run again for every use of the table
+        return checkpointed(smote(df, key, label, features, seed=seed).drop("copy"))
     raise ValueError(f"unknown sampler {method!r}; choose one of {SAMPLERS}")
 
 

@@ -56,7 +56,10 @@ def vector_neighbours(points: DataFrame, k: int = 5, block: int = BLOCK) -> Data
     reps = checkpointed(copies.groupBy("v").agg(F.sort_array(F.collect_list("key")).alias("keys"))
                         .withColumn("rep", F.element_at("keys", 1)))
     n = reps.count()
-    n_pivots = max(1, min(MAX_PIVOTS, int(math.sqrt(n / 8)))) if n > block else 1
+    if n <= block:  # everything fits one block
+        whole = reps.withColumns({c: F.lit(0) for c in GROUP})
+        return _finish(points, reps, _nearest_in_blocks(whole, whole, k, kind), k)
+    n_pivots = max(1, min(MAX_PIVOTS, int(math.sqrt(n / 8))))
     pivots = np.array([r["v"] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).select("v").collect()])
 
     def place(batches):
@@ -97,12 +100,21 @@ def vector_neighbours(points: DataFrame, k: int = 5, block: int = BLOCK) -> Data
     sides = data.join(F.broadcast(chunks.select("cell", "n_chunks")), "cell").select(
         "keys", "v", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
 
+    return _finish(points, reps, _nearest_in_blocks(queries, sides, k, kind), k)
+
+
+GROUP = ["cell", "block", "chunk"]
+
+
+def _nearest_in_blocks(queries: DataFrame, sides: DataFrame, k: int, kind: str) -> DataFrame:
+    """(rep, distance, key, v): the k + 1 nearest of each query within each block it was sent to."""
+
     def best(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(ask) and len(have):
-            vectors = have["v"].to_numpy()
-            keys = [list(x) for x in have["keys"]]
-            d = np.round(_distances(_matrix(ask["v"]), _matrix(have["v"])), DIGITS)
+            vectors = have["have_v"].to_numpy()
+            keys = [list(x) for x in have["have_keys"]]
+            d = np.round(_distances(_matrix(ask["v"]), _matrix(have["have_v"])), DIGITS)
             take = min(k + 1, len(have))
             edge = np.partition(d, take - 1, axis=1)[:, take - 1]
             for i, rep in enumerate(ask["rep"]):
@@ -110,9 +122,15 @@ def vector_neighbours(points: DataFrame, k: int = 5, block: int = BLOCK) -> Data
                 rows.extend((rep, dist, key, vectors[j]) for dist, key, j in found)
         return pd.DataFrame(rows, columns=["rep", "distance", "key", "v"])
 
-    group = ["cell", "block", "chunk"]
-    found = queries.groupBy(*group).cogroup(sides.groupBy(*group)).applyInPandas(
+    ask = queries.select("rep", "v", *GROUP)
+    # new names keep the two sides apart where they come from one table
+    have = sides.select(*[F.col(c).alias(f"have_{c}") for c in ("keys", "v", *GROUP)])
+    return ask.groupBy(*GROUP).cogroup(have.groupBy(*[f"have_{c}" for c in GROUP])).applyInPandas(
         best, f"rep {kind}, distance double, key {kind}, v array<double>")
+
+
+def _finish(points: DataFrame, reps: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Merge the blocks' answers and hand them to every copy of the vector."""
     order = Window.partitionBy("rep").orderBy("distance", "key")
     top = (found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
            .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("distance", "key", "v"))).alias("near")))

@@ -103,7 +103,8 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, sums: dict[str,
         *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums],
     )
     local = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return tagged.join(F.broadcast(marks), [*by, "_range"]).select(
+    # the join needs the rows placed exactly as the window does, so it adds no shuffle
+    return tagged.join(marks, [*by, "_range"]).select(
         *by, value, *sums,
         *[(F.sum(n).over(local) + F.col(f"_{n}_off")).alias(f"{n}_cum") for n in sums],
         *[f"{n}_all" for n in sums],
@@ -111,12 +112,12 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, sums: dict[str,
 
 
 def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                      small: int = 200_000, per_range: int | None = None) -> dict[str, list[float | None]]:
+                      small: int = 50_000, per_range: int | None = None) -> dict[str, list[float | None]]:
     """Interpolated percentiles of many columns; the answer is a few numbers per column.
 
-    A column with at most about ``small`` distinct values uses the built-in aggregate,
-    whose state is one entry per distinct value. Any other column is solved by range
-    counts and an exact look into just those ranges that hold a wanted rank.
+    A column with at most about ``small`` distinct values uses the built-in aggregate, whose
+    state is one entry per distinct value. Any other column is cut into ranges, range counts
+    tell where the wanted ranks lie, and only those ranges are ranked.
     """
     cols = list(cols)
     if not cols:
@@ -124,39 +125,46 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     first = num.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
                     *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    out: dict[str, list[float | None]] = {}
-    low = [c for i, c in enumerate(cols) if first[f"d{i}"] <= small]
-    high = {c: first[f"n{i}"] for i, c in enumerate(cols) if first[f"d{i}"] > small}
+    counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    ranks = {c: sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+             for c, n in counts.items() if n}
+    low = [c for i, c in enumerate(cols) if counts[c] and first[f"d{i}"] <= small]
+    high = [c for i, c in enumerate(cols) if counts[c] and first[f"d{i}"] > small]
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     if low:
         want = F.array(*[F.lit(float(p)) for p in probs])
         row = num.agg(*[F.percentile(c, want).alias(f"p{i}") for i, c in enumerate(low)]).first()
-        for i, c in enumerate(low):
-            out[c] = list(row[f"p{i}"]) if row[f"p{i}"] is not None else [None] * len(probs)
+        out.update({c: list(row[f"p{i}"]) for i, c in enumerate(low)})
     if high:
-        out.update(_percentiles_by_range(num, high, probs, per_range))
-    return {c: out[c] for c in cols}
-
-
-def _percentiles_by_range(num: DataFrame, counts: dict[str, int], probs: Sequence[float],
-                          per_range: int | None) -> dict[str, list[float | None]]:
-    spark = num.sparkSession
-    values = long_form(num, list(counts)).where(F.col("x").isNotNull())
-    tagged = with_range(values, "x", cut_points(values, ["feature"], "x", per_range or ROWS_PER_NARROW_RANGE))
-    filled: dict[str, list[tuple[int, int]]] = {}
-    for row in tagged.groupBy("feature", "_range").count().collect():  # MAX_RANGES rows per feature
-        filled.setdefault(row["feature"], []).append((row["_range"], row["count"]))
-    wanted = []
-    for f, n in counts.items():
-        ranks = {r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
-        seen = 0
-        for number, size in sorted(filled.get(f, [])):
-            inside = sorted(r for r in ranks if seen <= r < seen + size)
-            if inside:
-                wanted.append((f, number, seen, inside))
-            seen += size
-    if not wanted:
-        return {f: [None] * len(probs) for f in counts}
-    targets = spark.createDataFrame(wanted, "feature string, _range int, _seen long, _ranks array<long>")
+        rows = long_form(num, high).where(F.col("x").isNotNull())
+        tagged = with_range(rows, "x", cut_points(rows, ["feature"], "x", per_range or ROWS_PER_NARROW_RANGE))
+        want = df.sparkSession.createDataFrame([(c, ranks[c]) for c in high], "feature string, _want array<long>")
+        by_range = Window.partitionBy("feature").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        # at most MAX_RANGES counts per feature; only the ranges that hold a wanted rank are kept
+        holders = (
+            tagged.groupBy("feature", "_range").agg(F.count(F.lit(1)).alias("_size"))
+            .withColumn("_seen", F.coalesce(F.sum("_size").over(by_range), F.lit(0)))
+            .join(F.broadcast(want), "feature")
+            .withColumn("_ranks", F.filter("_want", lambda r: (r >= F.col("_seen"))
+                                           & (r < F.col("_seen") + F.col("_size"))))
+            .where(F.size("_ranks") > 0)
+        )
+        wanted = [(r["feature"], r["_range"], r["_seen"], list(r["_ranks"])) for r in
+                  holders.select("feature", "_range", "_seen", "_ranks").collect()]
+        at = _values_at(tagged, wanted)
+        out.update({c: [_interpolate(at, c, p * (counts[c] - 1)) for p in probs] for c in high})
+    return out
+
+
+def _interpolate(at: dict[tuple[str, int], float], name: str, pos: float) -> float:
+    lo, hi = math.floor(pos), math.ceil(pos)
+    a, b = at[name, lo], at[name, hi]
+    return a if a == b else (hi - pos) * a + (pos - lo) * b
+
+
+def _values_at(tagged: DataFrame, wanted: list[tuple[str, int, int, list[int]]]) -> dict[tuple[str, int], float]:
+    """The values at given ranks: ``wanted`` lists (feature, range, rows before it, ranks inside it)."""
+    targets = tagged.sparkSession.createDataFrame(wanted, "feature string, _range int, _seen long, _ranks array<long>")
     local = Window.partitionBy("feature", "_range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
         tagged.join(F.broadcast(targets.select("feature", "_range")), ["feature", "_range"], "left_semi")
@@ -169,17 +177,4 @@ def _percentiles_by_range(num: DataFrame, counts: dict[str, int], probs: Sequenc
         .where(F.size("_hit") > 0)
         .select("feature", "x", "_hit")
     )
-    at: dict[tuple[str, int], float] = {}
-    for row in hits.collect():  # at most two rows per wanted percentile
-        for r in row["_hit"]:
-            at[row["feature"], r] = row["x"]
-    out = {}
-    for f, n in counts.items():
-        line = []
-        for p in probs:
-            pos = p * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            a, b = at[f, lo], at[f, hi]
-            line.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
-        out[f] = line
-    return out
+    return {(row["feature"], r): row["x"] for row in hits.collect() for r in row["_hit"]}  # two per percentile

@@ -309,25 +309,30 @@ def quantile_rank(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.join(table, col, "left").withColumn(out or f"{col}_rank", F.col("_rank")).drop("_rank")
 
 
-def power_lambda(df: DataFrame, cols: Sequence[str], grid: Sequence[float] | None = None) -> DataFrame:
-    """(feature, lambda, log_likelihood): the best Yeo-Johnson power of each column on a grid.
+POWER_GRID = [g / 4 for g in range(-8, 9)]
 
-    One pass: every (column, power) pair adds a variance to the same aggregate.
+
+def power_lambda(df: DataFrame, cols: Sequence[str], grid: Sequence[float] = POWER_GRID,
+                 method: str = "yeo-johnson") -> DataFrame:
+    """(feature, lambda, log_likelihood): the best power of each column on a grid.
+
+    One pass: every (column, power) pair adds a variance to the same aggregate. Box-Cox
+    needs positive values; a column without them gets no row.
     """
-    grid = list(grid if grid is not None else [g / 4 for g in range(-8, 9)])
     num = drop_nan(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c)
-        aggs.append(F.count(c).alias(f"n{i}"))
-        aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"l{i}"))
-        aggs += [F.var_pop(yeo_johnson(x, g)).alias(f"v{i}_{j}") for j, g in enumerate(grid)]
+        slope = F.signum(x) * F.log1p(F.abs(x)) if method == "yeo-johnson" else F.log(F.when(x > 0, x))
+        aggs += [F.count(c).alias(f"n{i}"), F.sum(slope).alias(f"l{i}"), F.min(c).alias(f"m{i}")]
+        aggs += [F.var_pop(power(x, g, method)).alias(f"v{i}_{j}") for j, g in enumerate(grid)]
     wide = num.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
+        allowed = F.lit(True) if method == "yeo-johnson" else F.col(f"m{i}") > 0
         for j, g in enumerate(grid):
             v = F.col(f"v{i}_{j}")
-            ll = F.when(v > 0, -F.col(f"n{i}") / 2 * F.log(v) + F.lit(g - 1) * F.col(f"l{i}"))
+            ll = F.when(allowed & (v > 0), -F.col(f"n{i}") / 2 * F.log(v) + F.lit(g - 1) * F.col(f"l{i}"))
             rows.append(F.struct(F.lit(c).alias("feature"), F.lit(float(g)).alias("lambda"),
                                  ll.alias("log_likelihood")))
     scores = wide.select(F.inline(F.array(*rows))).where(F.col("log_likelihood").isNotNull())
@@ -337,10 +342,20 @@ def power_lambda(df: DataFrame, cols: Sequence[str], grid: Sequence[float] | Non
                       F.col("b.log_likelihood").alias("log_likelihood"))
 
 
-def yeo_johnson(x: Column, power: float) -> Column:
-    up = F.log1p(x) if abs(power) < 1e-9 else (F.pow(x + 1, F.lit(power)) - 1) / F.lit(power)
-    down = (-F.log1p(-x) if abs(power - 2) < 1e-9
-            else -(F.pow(1 - x, F.lit(2 - power)) - 1) / F.lit(2 - power))
+def power_transform(df: DataFrame, cols: Sequence[str], grid: Sequence[float] = POWER_GRID,
+                    method: str = "yeo-johnson") -> DataFrame:
+    """Replace each column by its best power; columns without one stay as they are."""
+    best = {r["feature"]: r["lambda"] for r in power_lambda(df, cols, grid, method).collect()}
+    return df.withColumns({c: power(F.col(c).cast("double"), g, method) for c, g in best.items()})
+
+
+def power(x: Column, exponent: float, method: str = "yeo-johnson") -> Column:
+    if method == "box-cox":
+        y = F.log(x) if abs(exponent) < 1e-9 else (F.pow(x, F.lit(exponent)) - 1) / F.lit(exponent)
+        return F.when(x > 0, y)
+    up = F.log1p(x) if abs(exponent) < 1e-9 else (F.pow(x + 1, F.lit(exponent)) - 1) / F.lit(exponent)
+    down = (-F.log1p(-x) if abs(exponent - 2) < 1e-9
+            else -(F.pow(1 - x, F.lit(2 - exponent)) - 1) / F.lit(2 - exponent))
     return F.when(x >= 0, up).when(x < 0, down)
 
 

@@ -140,9 +140,9 @@ def with_folds(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42,
     before = Window.partitionBy(*cls).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = (counts.groupBy(*cls, "_p").agg(F.count(F.lit(1)).alias("_n"))
               .select(*cls, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    # at most 65536 short rows per class
+    # at most 65536 short rows per class; the join reuses the placement of the window
     local = F.row_number().over(Window.partitionBy(*cls, "_p").orderBy("_h"))
-    ranked = rows.withColumn("_r", local).join(F.broadcast(starts), [*cls, "_p"])
+    ranked = rows.withColumn("_r", local).join(starts, [*cls, "_p"])
     fold = F.pmod(F.col("_start") + F.col("_r") - 1, F.lit(k)).cast("int")
     return ranked.select(*[F.col(f"`{c}`") for c in df.columns], fold.alias(out))
 

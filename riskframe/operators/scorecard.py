@@ -70,24 +70,36 @@ def _append_lookup(df: DataFrame, model: WoeModel, values: DataFrame, suffix: st
     out = df
     new: dict[str, Column] = {}
     for f in features:
+        x = F.col(f)
         if f in model.edges:
-            c = F.col(f).cast("double")
-            b = F.coalesce(interval_bin(F.when(~F.isnan(c), c), model.edges[f]).cast("string"), F.lit(MISSING))
-        else:
-            b = F.coalesce(F.col(f).cast("string"), F.lit(MISSING))
+            x = F.when(~F.isnan(x.cast("double")), x.cast("double"))
         if f in at:
-            e = F.lit(0.0)
-            for name, v in at[f].items():
-                e = F.when(b == F.lit(name), F.lit(v)).otherwise(e)
-            new[f"{f}{suffix}"] = F.coalesce(e, F.lit(0.0))
+            new[f"{f}{suffix}"] = _inline_lookup(x, at[f], model.edges.get(f))
         else:
+            b = interval_bin(x, model.edges[f]) if f in model.edges else x
             table = values.where(F.col("feature") == f).select(F.col("bin").alias("_b"), F.col("v").alias("_v"))
-            out = out.withColumn("_b", b).join(table, "_b", "left")
+            out = out.withColumn("_b", F.coalesce(b.cast("string"), F.lit(MISSING))).join(table, "_b", "left")
             out = out.withColumn(f"{f}{suffix}", F.coalesce("_v", F.lit(0.0))).drop("_b", "_v")
     out = out.withColumns(new)
     return out if keep else out.drop(*features)
 
 
+def _inline_lookup(x: Column, at: dict[str, float], edges: list[float] | None) -> Column:
+    """The bin's number straight from the value: one comparison per bin."""
+    def number(name: str) -> Column:
+        return F.lit(at.get(name) or 0.0)
+
+    if edges is None:
+        e = F.lit(0.0)
+        for name, v in at.items():
+            e = F.when(x.cast("string") == F.lit(name), F.lit(v or 0.0)).otherwise(e)
+    else:
+        e = number(str(len(edges)))
+        for i in reversed(range(len(edges))):
+            e = F.when(x <= F.lit(float(edges[i])), number(str(i))).otherwise(e)
+    return F.when(x.isNull(), number(MISSING)).otherwise(e)
+
+
 # ---- points from a logistic model ----------------------------------------------------
 
 def points_scale(points0: float = BASE, odds0: float = ODDS, pdo: float = PDO) -> tuple[float, float]:
