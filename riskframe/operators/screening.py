@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -32,24 +33,35 @@ def quantile_edges(df: DataFrame, cols: Sequence[str], bins: int = 10) -> dict[s
     return edges
 
 
-def binned(df: DataFrame, numeric: dict[str, list[float]], text: Sequence[str], ids: Sequence[Column | str]
-           ) -> DataFrame:
-    """One text column of bin names per feature, next to the ids; NULL is the bin 'missing'."""
-    clean = drop_nan(df, list(numeric))
-    cols = [F.coalesce(interval_bin(F.col(c).cast("double"), e).cast("string"), F.lit(MISSING)).alias(c)
-            for c, e in numeric.items()]
-    cols += [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in text]
-    return clean.select(*ids, *cols)
+def count_bins(df: DataFrame, numeric: dict[str, list[float]], text: Sequence[str], ids: dict[str, Column],
+               keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """(feature, bin, keys, aggs) over all features; NULL is the bin 'missing'.
+
+    Numeric bins are grouped as small numbers and named afterwards; numeric and text features
+    are two branches of one job that read different columns.
+    """
+    given = [e.alias(n) for n, e in ids.items()]
+    parts = []
+    if numeric:
+        bins = [F.coalesce(interval_bin(F.col(c).cast("double"), e), F.lit(-1)).alias(c) for c, e in numeric.items()]
+        counts = (drop_nan(df, list(numeric)).select(*given, *bins).unpivot(list(ids), list(numeric), "feature", "_bin")
+                  .groupBy("feature", "_bin", *keys).agg(*aggs))
+        name = F.when(F.col("_bin") < 0, MISSING).otherwise(F.col("_bin").cast("string"))
+        parts.append(counts.withColumn("bin", name).drop("_bin"))
+    if text:
+        bins = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in text]
+        parts.append(df.select(*given, *bins).unpivot(list(ids), list(text), "feature", "bin")
+                     .groupBy("feature", "bin", *keys).agg(*aggs))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def bin_counts(df: DataFrame, label: str, numeric: dict[str, list[float]], text: Sequence[str] = (),
                positive=1) -> DataFrame:
-    """(feature, bin, good, bad); the table is read once for all features."""
-    bad = F.when(F.col(label) == F.lit(positive), 1).otherwise(0).alias("_bad")
-    rows = binned(df.where(F.col(label).isNotNull()), numeric, text, [bad])
-    return (rows.unpivot(["_bad"], [*numeric, *text], "feature", "bin")
-            .groupBy("feature", "bin")
-            .agg((F.count(F.lit(1)) - F.sum("_bad")).alias("good"), F.sum("_bad").alias("bad")))
+    """(feature, bin, good, bad) of all features."""
+    bad = F.when(F.col(label) == F.lit(positive), 1).otherwise(0)
+    return count_bins(df.where(F.col(label).isNotNull()), numeric, text, {"_bad": bad}, [],
+                      [(F.count(F.lit(1)) - F.sum("_bad")).alias("good"), F.sum("_bad").alias("bad")]
+                      ).select("feature", "bin", "good", "bad")
 
 
 def woe_from_counts(counts: DataFrame) -> DataFrame:
@@ -177,10 +189,8 @@ def _contingency(df: DataFrame, y: str, numeric: Sequence[str], text: Sequence[s
     """(feature, bin, y, n) of every feature against the (binned) target."""
     df = df.where(F.col(y).isNotNull())
     edges = quantile_edges(df, [*numeric, *([y] if y_bins else [])], bins)
-    target = (interval_bin(F.col(y).cast("double"), edges.pop(y)) if y_bins else F.col(y)).alias("_y")
-    rows = binned(df, edges, text, [target])
-    return (rows.unpivot(["_y"], [*numeric, *text], "feature", "bin")
-            .groupBy("feature", "bin", "_y").agg(F.count(F.lit(1)).alias("n")))
+    target = interval_bin(F.col(y).cast("double"), edges.pop(y)) if y_bins else F.col(y)
+    return count_bins(df, edges, text, {"_y": target}, ["_y"], [F.count(F.lit(1)).alias("n")])
 
 
 def mutual_information(df: DataFrame, label: str, numeric: Sequence[str], text: Sequence[str] = (),
