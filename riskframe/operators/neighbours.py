@@ -10,10 +10,12 @@ nine decimals, and equal distances are ordered by the key.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from riskframe.functions.expr import hash_unit, key_hash
 from riskframe.operators.sampling import chosen, class_counts, hash_cutoffs
 from riskframe.sources.lineage import checkpointed
 
+# the functions below travel with their tasks, so executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 2048
 MAX_PIVOTS = 512
 DIGITS = 9
