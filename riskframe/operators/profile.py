@@ -21,6 +21,13 @@ def check_schema(df: DataFrame, required: Sequence[str], target: str | None = No
         raise ValueError(f"target column {target!r} is missing")
 
 
+def check_input(df: DataFrame, features: Sequence[str]) -> None:
+    """What a table must have before it is scored: the model's features and at least one row."""
+    check_schema(df, features)
+    if df.isEmpty():
+        raise ValueError("the table to score is empty")
+
+
 def validate_dataset(df: DataFrame, required: Sequence[str], target: str,
                      task: str = "classification") -> DataFrame:
     """Check a training table; returns (check, passed, detail) rows or raises on a failed check."""

@@ -79,6 +79,15 @@ def test_validation(spark):
     assert profile.validate_dataset(df.where("label = 1"), ["x"], "label", "regression").count() == 4
 
 
+def test_scoring_input(spark):
+    df = spark.createDataFrame([(1, 0)], "x int, label int")
+    profile.check_input(df, ["x"])
+    with pytest.raises(ValueError, match="missing columns"):
+        profile.check_input(df, ["z"])
+    with pytest.raises(ValueError, match="empty"):
+        profile.check_input(df.where("false"), ["x"])
+
+
 def test_union_matches_columns_by_name(spark):
     a, b = spark.createDataFrame([(1, "x")], "i int, s string"), spark.createDataFrame([("y", 2)], "s string, i int")
     assert rows(clean.concat_tables(a, b)) == [(1, "x"), (2, "y")]
