@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import packing, simhash
+from riskframe.llm import (
+    itq,
+    lexicon,
+    masked_lm,
+    materialise,
+    packing,
+    permutation_index,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+)
 from riskframe.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +28,17 @@ def query(fn):
     return fn
 
 
+@query
+def op1_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexicon.decode(lexicon.encode(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+
+
+@query
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.write(table(spark, sf_dir, "documents")).index
+
+
 @query
 def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
@@ -26,3 +48,37 @@ def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8, stable=True)
+    text = F.coalesce("row.text", F.lit(""))
+    return placed.select("row.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
+                         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.train(docs))
+
+
+@query
+def op8_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_itq_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.groups(table(spark, sf_dir, "embeddings"))

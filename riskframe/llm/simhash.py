@@ -186,3 +186,114 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6,
     hot = hot_keys(classes, "f0", "n", prints.count())
     return lookup(prints.select("doc_id", "f0", hex_print(1).alias("fingerprint")), names, "f0", hot).select(
         "doc_id", "fingerprint", "component_id")
+
+
+# ---- near copies with a check of the shingles --------------------------------------------------
+
+CELL = 512  # texts of a side that are compared with each other in one go
+
+
+def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: float) -> np.ndarray:
+    """Least connected index of each set, by links of Jaccard similarity; pairs that are connected already are not compared.
+
+    ``left`` and ``right`` index the sets of two sides; without right, pairs within left.
+    """
+    n, size = len(sets), np.array([len(s) for s in sets])
+    lab = np.arange(n)
+    own = right is None
+    others = left if own else right
+    others = others[np.argsort(size[others], kind="stable")]
+    todo = others if own else left[np.argsort(size[left], kind="stable")]
+    for i in todo.tolist():
+        a = np.searchsorted(size[others], np.ceil(similarity * size[i])) if not own else np.searchsorted(size[others], size[i])
+        b = np.searchsorted(size[others], np.floor(size[i] / similarity), side="right")
+        near = others[a:b]
+        near = near[(lab[near] != lab[i]) & (near != i)]
+        if not len(near):
+            continue
+        mine, flat = sets[i], np.concatenate([sets[j] for j in near.tolist()])
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        ends = np.cumsum(size[near])
+        total = np.concatenate([[0], np.cumsum(hit)])
+        common = total[ends] - total[ends - size[near]]
+        near = near[common >= similarity * (size[i] + size[near] - common) - 1e-9]
+        lab = local_components(n, np.full(len(near), i), near, lab)
+    return lab
+
+
+def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): keys of texts that connect all similar texts within a coarse group. suspects: (t, text, coarse, n)."""
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("t"), parts).cast("int")
+
+    def shingles(batches):
+        for whole in batches:
+            for batch in slices(whole, 3):
+                sets = [np.unique(shingle_hashes(x, shingle, SEEDS[0])).tobytes() for x in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["t", "coarse", "n", "set"])
+
+    rows = suspects.select("t", "coarse", "n", "text").mapInArrow(shingles, "t string, coarse string, n long, set binary")
+    rows = (rows.select("t", "set", "coarse", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+            .select(F.concat_ws("/", "coarse", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "t", "set",
+                    (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("inner")))
+
+    def work(batches):
+        for group in whole_runs(batches, 0):
+            for cell in pa.compute.unique(group.column(0)).to_pylist():
+                here = group.filter(pa.compute.equal(group.column(0), cell)) if group.num_rows > 1 else group
+                names, first = np.unique(np.array(here.column(1).to_pylist()), return_index=True)
+                sets = [np.frombuffer(x, np.uint64) for x in here.column(2).take(pa.array(first)).to_pylist()]
+                second = here.column(3).to_numpy(zero_copy_only=False)[first]
+                inner = here.column(4).to_numpy(zero_copy_only=False)[first]
+                left, right = (np.arange(len(names)), None) if inner.all() else (np.flatnonzero(~second), np.flatnonzero(second))
+                lab = similar_sets(sets, left, right, similarity)
+                member = np.flatnonzero(lab != np.arange(len(names)))
+                if len(member):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[lab[member]].tolist()), pa.array(names[member].tolist())], names=["a", "b"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a string, b string")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 26, blocks: int = 12, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns kept, with one document of each group of near copies: the one with the least id.
+
+    Candidates come from 128-bit fingerprints of word shingles within ``radius`` bits (found over the first word, see
+    hamming_links); two texts link if their sets of shingles reach the Jaccard ``similarity``, and a group is what links reach.
+    Equal texts always group. Only (id, text) decides: of rows that are equal in both, one stays. Null texts are empty texts,
+    which group with texts of white space; a null id is the last choice. An empty table gives no rows.
+    """
+    key, text = "_near_id", "_near_text"
+    named = docs.withColumns({key: docs[id_col].cast("long"), text: F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)})
+    rows = texts(docs, id_col, text_col)
+
+    def work(batches):
+        for whole in batches:
+            for batch in slices(whole, 1):
+                out = np.zeros((2, batch.num_rows), np.uint64)
+                for k, x in enumerate(batch.column(1).to_pylist()):
+                    for w, seed in enumerate(SEEDS):
+                        out[w, k] = simhash(shingle_hashes(x, shingle, seed))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), batch.column(2)],
+                                                 names=["doc_id", "f0", "f1", "t"])
+
+    prints = checkpointed(rows.withColumn("t", F.sha2("text", 256)).mapInArrow(work, "doc_id long, f0 long, f1 long, t string"))
+    each = checkpointed(prints.groupBy("t", "f0", "f1").agg(F.min("doc_id").alias("doc_id")).withColumn("print", hex_print(2)))
+    coarse = components(hamming_links(each.select("f0", "f1").distinct(), radius, blocks, 2))
+    each = each.join(coarse.select(F.col("node").alias("print"), F.col("root").alias("_root")), "print", "left")
+    each = checkpointed(each.select("t", "doc_id", F.coalesce("_root", "print").alias("coarse")))
+    sizes = checkpointed(each.groupBy("coarse").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = hot_keys(sizes, "coarse", "n", each.count())
+    suspects = checkpointed(lookup(each, sizes, "coarse", hot).where("n > 1"))
+    # by id and key, so that many copies of one text do not meet in one task
+    here = rows.withColumn("t", F.sha2("text", 256)).alias("x").join(
+        suspects.alias("s"), (F.col("x.t") == F.col("s.t")) & F.col("x.doc_id").eqNullSafe(F.col("s.doc_id"))).select("x.t", "x.text", "s.coarse", "s.n")
+    same = components(_linked_texts(here, shingle, similarity)).select(F.col("node").alias("t"), "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("m")
+    kept = each.join(same, "t", "left").groupBy(F.coalesce("root", "t").alias("g")).agg(first).select(F.col("m.doc_id").alias("doc_id"), F.col("m.t").alias("t"))
+    kept = checkpointed(kept)
+    match = (named[text] == kept["t"]) & named[key].eqNullSafe(kept["doc_id"])
+    out = named.join(kept, match, "left_semi")
+    if not prints.groupBy("doc_id", "t").count().where("count > 1").isEmpty():  # rows repeated in id and text
+        out = out.dropDuplicates([key, text])
+    return out.drop(key, text)
