@@ -21,10 +21,10 @@ def labels_to_learn(labels: DataFrame, label: str) -> DataFrame:
             .groupBy("doc_id").agg(F.max("label").alias("label")))
 
 
-def sample(labels: DataFrame, most: int, seed: int = 7) -> DataFrame:
-    """Of each class about ``most`` rows in expectation (all, if there are fewer), chosen by a hash of the id."""
+def sample(labels: DataFrame, most: int, zeros: int | None = None, seed: int = 7) -> DataFrame:
+    """About ``most`` rows of label 1 and ``zeros`` (default: as many) of label 0, or all there are, chosen by a hash of the id."""
     counts = {r.label: r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two classes
-    share = F.when(F.col("label") == 1, min(1.0, most / max(1, counts.get(1, 0)))).otherwise(min(1.0, most / max(1, counts.get(0, 0))))
+    share = F.when(F.col("label") == 1, min(1.0, most / max(1, counts.get(1, 0)))).otherwise(min(1.0, (most if zeros is None else zeros) / max(1, counts.get(0, 0))))
     return labels.where(hash_unit(key_hash(seed, ["doc_id"])) < share)
 
 

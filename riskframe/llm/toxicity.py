@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import texts
+from riskframe.llm.common import checkpointed, texts
 from riskframe.llm.labelled import held_out, labels_to_learn, logistic, sample
+from riskframe.llm.simhash import shingle_hashes
 from riskframe.llm.stored import stored
 
 REJECT = 0.7
@@ -107,16 +108,42 @@ def _counted(rows: DataFrame, terms) -> DataFrame:
             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8000, least_docs: int = 4, purity: float = 0.95,
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """The bounded sample with near copies told apart by few: of rows with one label and one least shingle (by either of two
+    hashes) one stays. Words of a text that was copied often would otherwise look like words of many documents."""
+
+    def work(batches):
+        for batch in batches:
+            least = [[int(shingle_hashes(t, 5, seed).min(initial=2**64 - 1)) >> 1 for t in batch.column(0).to_pylist()] for seed in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in least]], names=["text", "label", "k1", "k2"])
+
+    out = rows.mapInArrow(work, "text string, label int, k1 long, k2 long")
+    for key in ("k1", "k2"):
+        out = out.groupBy("label", F.col(key).alias("k")).agg(F.min(F.struct("text", "k1", "k2")).alias("m")).select("label", "m.*")
+    return out.select("text", "label")
+
+
+def _least_documents(terms: dict[int, int], share: float) -> int:
+    """The least number of documents, 3 or more, at which not one of the terms that so many hold would be all toxic by chance.
+
+    terms: how many terms a number of documents hold; share: of toxic documents.
+    """
+    n = 3
+    while sum(k for held, k in terms.items() if held >= n) * share ** n > 0.5:
+        n += 1
+    return n
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, clean: int = 16_000, purity: float = 0.95,
           shortest: int = 4, longest: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Fit a lexicon to about ``most`` labelled documents of each class, held-out rows left aside.
+    """Fit a lexicon to about ``most`` toxic and ``clean`` other labelled documents, held-out rows left aside.
 
-    A word beginning enters if ``least_docs`` toxic documents at least hold it and its share of toxic among the documents
-    that hold it, at equal class sizes, reaches ``purity``; of nested beginnings the shortest that does. Without labelled
-    rows of both classes the lexicon is empty and scores are 0.
+    A word beginning enters if its share of toxic among the documents that hold it, at equal class sizes, reaches ``purity``, and
+    if so many toxic documents hold it that not one beginning is expected to enter by chance; of nested beginnings the
+    shortest that does. Without labelled rows of both classes the lexicon is empty and scores are 0.
     """
-    chosen = sample(labels_to_learn(labels, label), most)
-    rows = stored(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label"), "toxicity-sample")
+    chosen = sample(labels_to_learn(labels, label), most, clean)
+    rows = stored(_without_copies(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label")), "toxicity-sample")
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Lexicon()
@@ -125,8 +152,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         return {w[:k] for w in set(folded.split()) for k in range(shortest, min(longest, len(w)) + 1)}
 
     rate = F.col("toxic") / sizes[1], F.col("clean") / sizes[0]
-    pure = _counted(rows, beginnings).where((F.col("toxic") >= least_docs) & (rate[0] >= purity * (rate[0] + rate[1])))
-    counts = {r.term: (r.toxic, r.clean) for r in pure.collect()}  # at most the sample's beginnings / least_docs
+    counted = checkpointed(_counted(rows, beginnings).where("toxic + clean > 1"))
+    held = counted.groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count("*").alias("terms")).orderBy("n").collect()  # a row a count
+    least = _least_documents({r.n: r.terms for r in held}, sizes[1] / (sizes[0] + sizes[1]))
+    pure = counted.where((F.col("toxic") >= least) & (rate[0] >= purity * (rate[0] + rate[1])))
+    counts = {r.term: (r.toxic, r.clean) for r in pure.collect()}  # of the bounded sample
     stems = [t for t in counts if not any(t[:k] in counts for k in range(shortest, len(t)))]
     weights = {t: math.log((counts[t][0] + 0.5) / (sizes[1] + 1)) - math.log((counts[t][1] + 0.5) / (sizes[0] + 1)) for t in stems}
 
