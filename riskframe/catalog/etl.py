@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from riskframe.catalog.registry import LI, line_items, query, r, rounded, table
 from riskframe.operators import clean, profile
 from riskframe.plans import etl
+from riskframe.sources.lineage import checkpointed
 
 # a raw export: everything is text, missing values are tokens
 RAW = """raw AS (SELECT CAST(o_orderkey AS VARCHAR) AS id,
@@ -11,7 +12,7 @@ RAW = """raw AS (SELECT CAST(o_orderkey AS VARCHAR) AS id,
   CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN 'NaN' ELSE '1.5' END AS sparse,
   CASE WHEN o_orderkey % 5 < 2 THEN '0' ELSE CAST(o_orderkey % 5 AS VARCHAR) END AS zeros,
   CASE WHEN o_orderkey % 40 = 7 THEN 'nan' ELSE o_orderpriority END AS priority,
-  CASE WHEN o_custkey % 6 = 0 THEN '1' ELSE '0' END AS label FROM orders)"""
+  CASE WHEN o_custkey % 12 = 0 THEN '1' ELSE '0' END AS label FROM orders)"""
 TOKENS = "('\\N', '\\n', 'None', 'nan', 'NaN', '')"
 
 
@@ -24,7 +25,7 @@ def raw_orders(spark, sf):
         F.when(k % 3 == 0, "").when(k % 3 == 1, "NaN").otherwise("1.5").alias("sparse"),
         F.when(k % 5 < 2, "0").otherwise((k % 5).cast("string")).alias("zeros"),
         F.when(k % 40 == 7, "nan").otherwise(F.col("o_orderpriority")).alias("priority"),
-        F.when(F.col("o_custkey") % 6 == 0, "1").otherwise("0").alias("label"))
+        F.when(F.col("o_custkey") % 12 == 0, "1").otherwise("0").alias("label"))
 
 
 @query("proj_select", "SELECT c_custkey, c_mktsegment FROM customer")
@@ -164,20 +165,15 @@ def _flow(spark, sf):
     FROM done), bad AS (SELECT count(*) AS n FROM done WHERE label = 1)
   SELECT id, order_amount, order_priority, label FROM ranked, bad WHERE label = 1 OR rn <= 2 * n""")
 def etl_flow(spark, sf):
-    return etl.ratio_samples(_flow(spark, sf).rows, "id", ratios=[2])["data_ratio_1_2"]
+    return etl.ratio_samples(checkpointed(_flow(spark, sf).rows), "id", ratios=[2])["data_ratio_1_2"]
 
 
 @query("etl_flow_samples", f"""WITH {ETL}, c AS (SELECT count(*) FILTER (label = 1) AS bad, count(*) AS total FROM done)
   SELECT 'data_all' AS sample, total AS n_rows, bad AS n_bad FROM c
-  UNION ALL SELECT 'data_ratio_1_' || CAST(k AS VARCHAR), bad * (k + 1), bad FROM c, unnest([1, 2, 3, 4]) AS t(k)""")
+  UNION ALL SELECT 'data_ratio_1_' || CAST(k AS VARCHAR), bad * (k + 1), bad FROM c, unnest([1, 2, 3, 4, 5]) AS t(k)""")
 def etl_flow_samples(spark, sf):
-    samples = etl.ratio_samples(_flow(spark, sf).rows, "id", ratios=[1, 2, 3, 4])
-    out = None
-    for name, df in samples.items():
-        part = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("label") == 1).alias("n_bad")).select(
-            F.lit(name).alias("sample"), "n_rows", "n_bad")
-        out = part if out is None else out.unionByName(part)
-    return out
+    samples = etl.samples(checkpointed(_flow(spark, sf).rows), "id")
+    return samples.groupBy("sample").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("label") == 1).alias("n_bad"))
 
 
 @query("union_all", """SELECT s_suppkey AS id, s_acctbal AS balance, 'supplier' AS kind FROM supplier

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskframe.sources.lineage import ensure_checkpoint_dir
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,10 +28,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for written results: in the cluster's shared folder if it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="riskframe-out-")
+    """A new folder for written results in the folder that all executors share (see ``lineage``)."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/riskframe-{uuid.uuid4().hex}"
 
 

@@ -11,6 +11,11 @@ RANKED = f"""{OR}, rk AS (SELECT *, row_number() OVER (ORDER BY {H}) AS rn,
   count(*) OVER (PARTITION BY label) AS nc FROM o)"""
 
 
+# consecutive parts of the order, the larger ones first
+FOLD = """CAST(CASE WHEN {rank} <= ({size} % {k}) * ({size} // {k} + 1) THEN ({rank} - 1) // ({size} // {k} + 1)
+  ELSE {size} % {k} + ({rank} - 1 - ({size} % {k}) * ({size} // {k} + 1)) // ({size} // {k}) END AS INTEGER)"""
+
+
 @query("split_plain", f"""WITH {RANKED} SELECT o_orderkey, label,
   CASE WHEN rn <= ceil(n * 0.3) THEN 'test' ELSE 'train' END AS split FROM rk""")
 def split_plain(spark, sf):
@@ -32,24 +37,36 @@ def split_validation(spark, sf):
     return sampling.with_validation(train, KEY, "label", 0.1, seed=43).select("o_orderkey", "label", "is_validation")
 
 
-@query("kfold_assign", f"WITH {RANKED} SELECT o_orderkey, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM rk")
+@query("kfold_assign", f"WITH {RANKED} SELECT o_orderkey, {FOLD.format(rank='rn', size='n', k=5)} AS fold FROM rk")
 def kfold_assign(spark, sf):
     return sampling.with_folds(labelled_orders(spark, sf), KEY, 5).select("o_orderkey", "fold")
 
 
-@query("kfold_stratified", f"WITH {RANKED} SELECT o_orderkey, label, CAST((rc - 1) % 3 AS INTEGER) AS fold FROM rk")
+@query("kfold_stratified", f"WITH {RANKED} SELECT o_orderkey, label, {FOLD.format(rank='rc', size='nc', k=3)} AS fold FROM rk")
 def kfold_stratified(spark, sf):
     return sampling.with_folds(labelled_orders(spark, sf), KEY, 3, label="label").select("o_orderkey", "label", "fold")
 
 
-@query("sample_ratio_1_k", f"""WITH {RANKED}, b AS (SELECT count(*) AS bad FROM o WHERE label = 1)
-  SELECT k, o_orderkey, label FROM rk, b, unnest([1, 2, 3, 4]) AS t(k) WHERE label = 1 OR rc <= k * bad""")
+RARE = f"""{OR.replace("% 6 = 0", "% 12 = 0")}, rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H}) AS rc FROM o)"""
+
+
+@query("sample_ratio_1_k", f"""WITH {RARE}, b AS (SELECT count(*) AS bad FROM o WHERE label = 1)
+  SELECT k, o_orderkey, label FROM rk, b, unnest([1, 2, 3, 4, 5]) AS t(k) WHERE label = 1 OR rc <= k * bad""")
 def sample_ratio_1_k(spark, sf):
-    o, out = labelled_orders(spark, sf), None
-    for k in (1, 2, 3, 4):
-        part = sampling.ratio_sample(o, KEY, "label", k).select(F.lit(k).alias("k"), "o_orderkey", "label")
-        out = part if out is None else out.unionByName(part)
-    return out
+    o = labelled_orders(spark, sf).withColumn("label", F.when(F.col("o_custkey") % 12 == 0, 1).otherwise(0))
+    return sampling.ratio_samples(o, KEY, "label").select("k", "o_orderkey", "label")
+
+
+NO_LABEL = f"""{OR}, x AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN label END AS label FROM o),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H}) AS rc, count(*) OVER (PARTITION BY label) AS nc FROM x)"""
+
+
+@query("split_null_label", f"""WITH {NO_LABEL} SELECT o_orderkey, label, CASE WHEN rc <= floor(nc * 0.3 + 0.5) THEN 'test' ELSE 'train' END AS split,
+  {FOLD.format(rank='rc', size='nc', k=5)} AS fold FROM rk""")
+def split_null_label(spark, sf):
+    o = labelled_orders(spark, sf).withColumn("label", F.when(F.col("o_custkey") % 5 != 0, F.col("label")))
+    marked = sampling.with_folds(sampling.with_split(o, KEY, 0.3, label="label"), KEY, 5, label="label")
+    return marked.select("o_orderkey", "label", "split", "fold")
 
 
 @query("sample_fixed_n", f"WITH {RANKED} SELECT o_orderkey, label FROM rk WHERE label = 1 OR rc <= 1000")

@@ -6,6 +6,7 @@ from riskframe.functions.expr import (
     key_hash,
     known,
     long_form,
+    null_safe,
     ratio,
     round_half_up,
 )
@@ -18,6 +19,7 @@ __all__ = [
     "key_hash",
     "known",
     "long_form",
+    "null_safe",
     "ratio",
     "round_half_up",
 ]

@@ -29,6 +29,15 @@ def drop_nan(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                            if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))})
 
 
+def null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the named columns, where NULL equals NULL; the columns of the left side stay."""
+    right = right.withColumnsRenamed({b: f"_r_{b}" for b in by})
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(f"`{b}`").eqNullSafe(F.col(f"`_r_{b}`"))
+    return left.join(right, on, how).drop(*[f"_r_{b}" for b in by])
+
+
 def key_hash(seed: int, keys: Sequence[str]) -> Column:
     """A repeatable pseudo-random order: md5 of the seed and the row key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))

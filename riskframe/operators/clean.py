@@ -128,13 +128,21 @@ def split_by_type(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], list[s
     return numeric, [c for c in cols if c not in set(numeric)]
 
 
-def detect_categorical(df: DataFrame, cols: Sequence[str], limit: int = 10) -> DataFrame:
+def detect_categorical(df: DataFrame, cols: Sequence[str], limit: int = 10, count_all: bool = False) -> DataFrame:
     """(feature, n_distinct, is_categorical): text, or at most ``limit`` distinct non-null values.
 
     ``n_distinct`` is exact up to the limit and NULL above it: a sketch picks out the
-    columns that are far above the limit, and only the others are counted exactly.
+    columns that are far above the limit, and only the others are counted exactly. With
+    ``count_all`` every column is counted, by grouping its values.
     """
     numeric = set(split_by_type(df, cols)[0])
+    if count_all:
+        text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+        values = text.unpivot([], list(cols), "feature", "value").where("value is not null").distinct()
+        names = df.sparkSession.createDataFrame([(c, c not in numeric) for c in cols], "feature string, is_text boolean")
+        n = F.coalesce("n", F.lit(0)).alias("n_distinct")
+        return names.join(values.groupBy("feature").agg(F.count("value").alias("n")), "feature", "left").select(
+            "feature", n, (F.col("is_text") | (n <= limit)).alias("is_categorical"))
     guess = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}")
                      for i, c in enumerate(cols)]).first()
     near = [i for i in range(len(cols)) if guess[f"d{i}"] <= 5 * limit + 50]

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskframe.functions.expr import ratio
+from riskframe.functions.expr import drop_nan, null_safe, ratio
 from riskframe.operators.ordering import running_totals
 
 
@@ -18,9 +19,11 @@ def _or_zero(x: Column) -> Column:
 # ---- class predictions ---------------------------------------------------------------
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    """(label, prediction, n), rows are the truth."""
-    return df.groupBy(*by, F.col(label).cast("int").alias("label"),
-                      F.col(prediction).cast("int").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+    """(label, prediction, n), rows are the truth. Numeric classes are whole numbers, all others stay text."""
+    numbers = all(isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)) for c in (label, prediction))
+    kind = "int" if numbers else "string"
+    return df.groupBy(*by, F.col(label).cast(kind).alias("label"),
+                      F.col(prediction).cast(kind).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _per_class(cm: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -103,8 +106,8 @@ def binary_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str]
 # ---- scores --------------------------------------------------------------------------
 
 def score_steps(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score: positives and negatives at, up to and in all of the group."""
-    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    """Per distinct score: positives and negatives at, up to and in all of the group; a NaN score is missing."""
+    rows = drop_nan(df, [score]).where(F.col(label).isNotNull() & F.col(score).isNotNull())
     y = (F.col(label) == 1).cast("long")
     return running_totals(rows, by, score, {"pos": y, "neg": 1 - y})
 
@@ -161,12 +164,12 @@ def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] =
 
 def score_histogram(df: DataFrame, score: str, bins: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """(bin, low, high, n) over [0, 1]; empty bins are present, the last bin is closed."""
-    inside = df.where((F.col(score) >= 0) & (F.col(score) <= 1))
+    inside = drop_nan(df, [score]).where((F.col(score) >= 0) & (F.col(score) <= 1))
     number = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
     counts = inside.groupBy(*by, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     frame = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     every = frame.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return every.join(counts, [*by, "bin"], "left").select(
+    return null_safe(every, counts, [*by, "bin"], "left").select(
         *by, "bin", (F.col("bin") / bins).alias("low"), ((F.col("bin") + 1) / bins).alias("high"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -218,7 +221,7 @@ def evaluate_bundle(df: DataFrame, task: str, label: str, prediction: str, proba
         wide = weighted_metrics(df, label, prediction, [split])
         names = ["accuracy", "precision", "recall", "f1"]
         if probability:
-            wide = wide.join(auc_ks(df, label, probability, [split]), split)
+            wide = null_safe(wide, auc_ks(df, label, probability, [split]), [split], "left")
             names += ["auc", "ks"]
     return wide.select(split, F.lit(task).alias("task_type"),
                        *names).unpivot([split, "task_type"], names, "metric", "value")

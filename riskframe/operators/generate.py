@@ -15,12 +15,10 @@ from riskframe.operators.clean import split_by_type
 from riskframe.operators.ordering import cut_points, with_range
 from riskframe.operators.screening import quantile_edges
 
-MAX_NEW_COLUMNS = 5000
 
-
-def _guard(n: int) -> None:
-    if n > MAX_NEW_COLUMNS:
-        raise ValueError(f"{n} new columns asked for, at most {MAX_NEW_COLUMNS} are allowed")
+def _guard(n: int, most: int | None) -> None:
+    if most is not None and n > most:
+        raise ValueError(f"{n} new columns asked for, at most {most} are allowed")
 
 
 def polynomial_terms(cols: Sequence[str], degree: int = 2, bias: bool = False) -> dict[str, tuple[str, ...]]:
@@ -34,11 +32,11 @@ def polynomial_terms(cols: Sequence[str], degree: int = 2, bias: bool = False) -
 
 
 def add_polynomial(df: DataFrame, cols: Sequence[str] | None = None, degree: int = 2,
-                   bias: bool = False) -> DataFrame:
-    """Append every polynomial term of the numeric columns that is not a column already."""
+                   bias: bool = False, most: int | None = None) -> DataFrame:
+    """Append every polynomial term of the numeric columns that is not a column already; more than ``most`` are refused."""
     cols = list(cols) if cols is not None else split_by_type(df, df.columns)[0]
     terms = {n: t for n, t in polynomial_terms(cols, degree, bias).items() if n not in df.columns}
-    _guard(len(terms))
+    _guard(len(terms), most)
     new = []
     for name, factors in terms.items():
         e = F.lit(1.0)
@@ -57,10 +55,11 @@ def interaction_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = N
     return [(a, b) for a, b in pairs if a in set(num) and b in set(num)]
 
 
-def add_interactions(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """Append ``a_x_b`` products."""
+def add_interactions(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = None,
+                     most: int | None = None) -> DataFrame:
+    """Append ``a_x_b`` products; more than ``most`` are refused."""
     todo = interaction_pairs(df, pairs)
-    _guard(len(todo))
+    _guard(len(todo), most)
     return df.select("*", *[(F.col(f"`{a}`").cast("double") * F.col(f"`{b}`").cast("double")).alias(f"{a}_x_{b}")
                             for a, b in todo])
 
@@ -127,37 +126,38 @@ def add_components(df: DataFrame, cols: Sequence[str], k: int | None = None, sha
 
 
 def add_trailing(df: DataFrame, key: str, order: str, cols: Sequence[str], rows: int = 3,
-                 tie: Sequence[str] = ()) -> DataFrame:
+                 tie: Sequence[str] = (), per_range: int | None = None) -> DataFrame:
     """Append the sum and mean over the current and the ``rows`` preceding rows of the same key.
 
     A key's history is cut into ranges of the order column so that a key with a large share
     of all rows does not land in one task. Each range also receives the last ``rows`` rows
     of what came before it, which is all a trailing frame can reach.
     """
-    points = cut_points(df, [key], order)
-    tagged = with_range(df, order, points).withColumn("_own", F.lit(True))
+    points = cut_points(df, [key], order, per_range)
+    # a struct of NULL equals itself, so rows without a key keep theirs in the joins below
+    tagged = with_range(df, order, points).withColumns({"_own": F.lit(True), "_g": F.struct(F.col(key).alias("k"))})
     sort = [F.col(order), *[F.col(t) for t in tie]]
     back = [F.col(order).desc(), *[F.col(t).desc() for t in tie]]
     # the last rows of each (key, range), handed on to the following occupied ranges of the key
-    tail = (tagged.withColumn("_t", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*back)))
+    tail = (tagged.withColumn("_t", F.row_number().over(Window.partitionBy("_g", "_range").orderBy(*back)))
             .where(F.col("_t") <= rows).drop("_t"))
-    sizes = tail.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    by_range = Window.partitionBy(key).orderBy("_range")
+    sizes = tail.groupBy("_g", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    by_range = Window.partitionBy("_g").orderBy("_range")
     reach = sizes.withColumn("_next", F.collect_list(F.struct("_range", "_n")).over(
         by_range.rowsBetween(1, rows)))
     # a tail row is needed by later ranges until `rows` newer rows lie in between
-    fed = reach.select(key, "_range", F.explode(F.transform(
+    fed = reach.select("_g", "_range", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("_next"), F.lit(1))),
         lambda i: F.struct(F.try_element_at("_next", i)["_range"].alias("to"),
                            F.aggregate(F.slice("_next", 1, i - 1), F.lit(0).cast("long"),
                                        lambda a, s: a + s["_n"]).alias("between")))).alias("_f"))
     fed = fed.where(F.col("_f.to").isNotNull() & (F.col("_f.between") < rows))
-    halo = (tail.join(fed, [key, "_range"]).withColumn("_range", F.col("_f.to"))
+    halo = (tail.join(fed, ["_g", "_range"]).withColumn("_range", F.col("_f.to"))
             .withColumn("_own", F.lit(False)).drop("_f"))
-    w = Window.partitionBy(key, "_range").orderBy(*sort).rowsBetween(-rows, 0)
+    w = Window.partitionBy("_g", "_range").orderBy(*sort).rowsBetween(-rows, 0)
     both = tagged.unionByName(halo)
     new = {}
     for c in cols:
         new[f"{c}_sum_last_{rows}"] = F.sum(c).over(w)
         new[f"{c}_mean_last_{rows}"] = F.avg(c).over(w)
-    return both.withColumns(new).where("_own").drop("_own", "_range")
+    return both.withColumns(new).where("_own").drop("_own", "_range", "_g")

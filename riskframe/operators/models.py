@@ -25,7 +25,16 @@ from riskframe.sources.lineage import checkpointed
 CLASSIFIERS = ["LR", "XGB", "RF", "LGB", "DT"]
 BOOSTERS = ["XGB", "LGB", "XGB_REG", "LGB_REG"]
 REGRESSORS = ["RIDGE", "XGB_REG", "RF_REG", "LGB_REG"]
-DEEPEST = 30  # Spark's limit for trees
+DEEPEST = 30  # Spark's limit for trees, and what an unlimited depth means
+
+# Settings of each family besides those with a default. What the estimators have no counterpart for (the boosters' L1 and L2
+# penalties and bagging frequency, a least size for splits, a choice of ridge solver) is refused, not ignored.
+MORE_SETTINGS: dict[str, list[str]] = {
+    "XGB": ["min_child_weight", "colsample_bytree", "gamma"],
+    "XGB_REG": ["min_child_weight", "colsample_bytree", "gamma"],
+    "RF": ["max_features", "bootstrap"], "RF_REG": ["max_features", "bootstrap"],
+    "LGB": ["feature_fraction", "min_split_gain"], "LGB_REG": ["feature_fraction", "min_split_gain"],
+}
 
 # Default settings per family.
 DEFAULTS: dict[str, dict] = {
@@ -53,7 +62,7 @@ def task_of(code: str) -> str:
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Append the balanced weight n / (classes * n_class); the counts are inlined as constants."""
-    counts = sampling.class_counts(df, label)
+    counts = sampling.class_counts(df, label)  # rows without a label get no weight
     n, k = sum(counts.values()), len(counts)
     w = F.lit(None).cast("double")
     for c, m in counts.items():
@@ -69,7 +78,12 @@ def make_estimator(code: str, n_rows: int, label_std: float = 1.0, features: str
     Penalties are rescaled because Spark divides the loss by the number of rows, and for
     linear regression also scales the label.
     """
+    unknown = set(params) - set(DEFAULTS[code]) - set(MORE_SETTINGS.get(code, ()))
+    if unknown:
+        raise ValueError(f"{code} has no settings {sorted(unknown)}")
     p = {**DEFAULTS[code], **{k: v for k, v in params.items() if v is not None}}
+    if (p.get("max_depth") or 0) > DEEPEST:
+        raise ValueError(f"trees can be {DEEPEST} deep at most, not {p['max_depth']}")
     common = {"featuresCol": features, "labelCol": label}
     if weight:
         common["weightCol"] = weight
@@ -81,22 +95,25 @@ def make_estimator(code: str, n_rows: int, label_std: float = 1.0, features: str
                                 solver="normal", **common)
     trees = {"seed": seed, "maxBins": max_bins, "cacheNodeIds": False, **common}
     if code == "DT":
-        return DecisionTreeClassifier(maxDepth=min(DEEPEST, p["max_depth"]),
+        return DecisionTreeClassifier(maxDepth=p["max_depth"],
                                       minInstancesPerNode=p["min_samples_leaf"], **trees)
     if code in ("RF", "RF_REG"):
         kind = RandomForestClassifier if code == "RF" else RandomForestRegressor
         extra = {k: v for k, v in (("featureSubsetStrategy", p.get("max_features")), ("bootstrap", p.get("bootstrap")))
                  if v is not None}
-        return kind(numTrees=p["n_estimators"], maxDepth=min(DEEPEST, p["max_depth"] or DEEPEST),
+        return kind(numTrees=p["n_estimators"], maxDepth=p["max_depth"] or DEEPEST,
                     minInstancesPerNode=p["min_samples_leaf"], **extra, **trees)
     kind = GBTRegressor if code.endswith("_REG") else GBTClassifier
     if code.startswith("LGB"):
         depth = max(1, min(DEEPEST, (p["num_leaves"] - 1).bit_length()))  # about as many leaves
         share, least = p["bagging_fraction"], p["min_child_samples"]
+        columns, gain = p.get("feature_fraction", 1.0), p.get("min_split_gain", 0.0)
     else:
         depth, share, least = p["max_depth"], p["subsample"], max(1, int(p.get("min_child_weight", 1)))
+        columns, gain = p.get("colsample_bytree", 1.0), p.get("gamma", 0.0)
     booster = kind(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=depth, subsamplingRate=share,
-                   minInstancesPerNode=least, **trees)
+                   minInstancesPerNode=least, featureSubsetStrategy="all" if columns >= 1 else str(float(columns)),
+                   minInfoGain=float(gain), **trees)
     if validation:
         booster = booster.setValidationIndicatorCol(validation)
     return booster

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.expr import drop_nan, long_form
+from riskframe.functions.expr import drop_nan, long_form, null_safe
 from riskframe.operators.clean import split_by_type
 from riskframe.operators.evaluate import auc_ks, binary_metrics
 from riskframe.operators.ordering import running_totals
@@ -24,10 +24,9 @@ LOWER_IS_BETTER = ["mse", "rmse", "mae", "mape"]
 
 def performance(df: DataFrame, label: str, prediction: str, probability: str,
                 by: Sequence[str] = ("model_name",)) -> DataFrame:
-    """(by, n, positive_rate, predicted_positive_rate, accuracy, precision, recall, auc)."""
+    """(by, n, positive_rate, predicted_positive_rate, accuracy, precision, recall, auc); AUC is NULL without scores."""
     by = list(by)
-    return binary_metrics(df, label, prediction, by).join(
-        auc_ks(df, label, probability, by).select(*by, "auc"), by)
+    return null_safe(binary_metrics(df, label, prediction, by), auc_ks(df, label, probability, by).select(*by, "auc"), by, "left")
 
 
 def alerts(metrics: DataFrame, thresholds: Mapping[str, float], by: Sequence[str] = ("model_name",),

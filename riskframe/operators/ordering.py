@@ -87,24 +87,26 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, sums: dict[str,
     by = list(by)
     rows = df.where(F.col(value).isNotNull())
     points = cut_points(rows, by, value, per_range)
-    per_value = rows.groupBy(*by, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    whole = Window.partitionBy(*by)
+    # a struct of NULLs equals itself, so the group of NULLs keeps its rows in joins
+    per_value = (rows.groupBy(*by, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+                 .withColumn("_g", F.struct(F.lit(0).alias("_"), *by)))
+    whole = Window.partitionBy("_g")
     if not points:  # few distinct values in all: one sort per group will do
         up_to = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         return per_value.select(*by, value, *sums, *[F.sum(n).over(up_to).alias(f"{n}_cum") for n in sums],
                                 *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums])
     tagged = with_range(per_value, value, points)
-    per_range = tagged.groupBy(*by, "_range").agg(*[F.sum(n).alias(n) for n in sums])
+    per_range = tagged.groupBy("_g", "_range").agg(*[F.sum(n).alias(n) for n in sums])
     # at most MAX_RANGES rows per group from here on
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     marks = per_range.select(
-        *by, "_range",
+        "_g", "_range",
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}_off") for n in sums],
         *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums],
     )
-    local = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("_g", "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     # the join needs the rows placed exactly as the window does, so it adds no shuffle
-    return tagged.join(marks, [*by, "_range"]).select(
+    return tagged.join(marks, ["_g", "_range"]).select(
         *by, value, *sums,
         *[(F.sum(n).over(local) + F.col(f"_{n}_off")).alias(f"{n}_cum") for n in sums],
         *[f"{n}_all" for n in sums],

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import drop_nan
+from riskframe.functions.skew import HOT_SHARE, hot_keys, lookup
 from riskframe.operators.ordering import constant_array, exact_percentiles, running_totals, with_position
+from riskframe.sources.lineage import checkpointed
 
 MAX_CATEGORIES = 10_000
 SHORT_LIST = 16
@@ -298,15 +300,20 @@ class TabularPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritab
 # ---- further transforms --------------------------------------------------------------
 
 def log_transform(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Signed log1p, so that negative values stay defined."""
-    return df.withColumns({c: F.signum(F.col(c)) * F.log1p(F.abs(F.col(c))) for c in cols})
+    """Signed log1p, so that negative values stay defined; NaN is missing."""
+    return drop_nan(df, cols).withColumns({c: F.signum(F.col(c)) * F.log1p(F.abs(F.col(c))) for c in cols})
 
 
 def quantile_rank(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Share of rows with a value at or below each row's value, in (0, 1]; NULL stays NULL."""
-    ranks = running_totals(df.select(col), [], col, {"n": F.lit(1)})
-    table = ranks.select(col, (F.col("n_cum") / F.col("n_all")).alias("_rank"))
-    return df.join(table, col, "left").withColumn(out or f"{col}_rank", F.col("_rank")).drop("_rank")
+    """Share of rows with a value at or below each row's value, in (0, 1]; NULL stays NULL, NaN is missing.
+
+    A value with a large share of the rows is not gathered: hot values find their rank where their rows are.
+    """
+    df = drop_nan(df, [col])
+    ranks = checkpointed(running_totals(df.select(col), [], col, {"n": F.lit(1)}).select(
+        col, "n", "n_all", (F.col("n_cum") / F.col("n_all")).alias("_rank")))
+    hot = hot_keys(ranks.select(col, "n", "n_all"), col, F.col("n") > F.col("n_all") / HOT_SHARE)
+    return lookup(df, ranks.select(col, "_rank"), col, hot).withColumn(out or f"{col}_rank", F.col("_rank")).drop("_rank")
 
 
 POWER_GRID = [g / 4 for g in range(-8, 9)]

@@ -205,9 +205,9 @@ def leaf_scores(df: DataFrame, leaf: str, probability: str, base: float = BASE,
 
 
 def apply_leaf(df: DataFrame, leaf: str, scores: DataFrame, out: str = "score") -> DataFrame:
-    """Look up the leaf's score; an unknown leaf gets 300. A tree has a bounded number of leaves."""
+    """Look up the leaf's score; an unknown leaf gets 300. Spark picks the join by the table's size."""
     table = scores.select(F.col("leaf").alias(leaf), F.col("score").alias("_s"))
-    return df.join(F.broadcast(table), leaf, "left").withColumn(
+    return df.join(table, leaf, "left").withColumn(
         out, F.coalesce("_s", F.lit(UNKNOWN_LEAF)).cast("int")).drop("_s")
 
 

@@ -9,16 +9,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.profile import check_schema
+from riskframe.operators.profile import check_input, check_schema
 
 
 def predict(model, df: DataFrame, features: Sequence[str] | None = None, task: str = "classification") -> DataFrame:
     """Append ``prediction`` and, for classifiers, ``probability`` of class 1.
 
-    A missing feature fails here, before any job starts.
+    A missing feature fails here, before any job starts, and so does a batch table without rows.
     """
     if features is not None:
-        check_schema(df, features)
+        (check_schema if df.isStreaming else check_input)(df, features)
     # the model replaces columns by their encoded form; the table's own columns travel beside them
     scored = model.transform(df.select("*", F.struct("*").alias("_row")))
     if task == "regression":

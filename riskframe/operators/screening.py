@@ -264,9 +264,16 @@ def top_k(stats: DataFrame, stat: str, order: Sequence[str], k: int) -> DataFram
 def model_importance(df: DataFrame, label: str, cols: Sequence[str], threshold: float = 0.01,
                      family: str = "LR", task: str = "classification", trees: int = 100,
                      seed: int = 42) -> DataFrame:
-    """(feature, importance, kept) from a forest or from absolute linear coefficients."""
-    data = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df).select(
-        "_v", F.col(label).cast("double").alias("_y"))
+    """(feature, importance, kept) from a forest or from absolute linear coefficients.
+
+    Missing values are filled with the median first (0 if a column has none at all), as in training; only rows without
+    a label are left out.
+    """
+    rows = drop_nan(df.where(F.col(label).isNotNull()), cols)
+    middle = exact_percentiles(rows, cols, [0.5])
+    filled = rows.select(F.col(label).cast("double").alias("_y"), *[
+        F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(middle[c][0] or 0.0))).alias(c) for c in cols])
+    data = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(filled).select("_v", "_y")
     forest = family.upper() in ("RF", "XGB", "LGB")
     opts = {"featuresCol": "_v", "labelCol": "_y"}
     if forest:
@@ -340,8 +347,7 @@ class FeatureSelector:
         if step == "mutual_info":
             return mutual_information(df, self.label, num, text, self._k(self.mutual_info_k), self.task)
         if step == "importance" and num:
-            known_rows = df.dropna(subset=[*num, self.label])
-            return model_importance(known_rows, self.label, num, self.importance_threshold, self.family, self.task)
+            return model_importance(df, self.label, num, self.importance_threshold, self.family, self.task)
         if step == "f_regression" and not classes and num:
             return f_regression(df, self.label, num, self._k(self.f_regression_k))
         if step == "f_classif" and classes and num:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskframe.operators import clean, sampling
 
@@ -80,7 +81,11 @@ def clean_subscribers(tables: Sequence[DataFrame], key: str, label: str = "label
 def ratio_samples(df: DataFrame, key: str, label: str = "label", ratios: Sequence[int] = (1, 2, 3, 4, 5),
                   seed: int = 42) -> dict[str, DataFrame]:
     """'data_all' and one 'data_ratio_1_k' per ratio."""
-    out = {"data_all": df}
-    for k in ratios:
-        out[f"data_ratio_1_{k}"] = sampling.ratio_sample(df, [key], label, k, seed)
-    return out
+    return {"data_all": df, **{f"data_ratio_1_{k}": sampling.ratio_sample(df, [key], label, k, seed) for k in ratios}}
+
+
+def samples(df: DataFrame, key: str, label: str = "label", ratios: Sequence[int] = (1, 2, 3, 4, 5), seed: int = 42) -> DataFrame:
+    """The same tables as one, told apart by ``sample``: one counting pass and one scan for all ratios."""
+    part = sampling.ratio_samples(df, [key], label, ratios, seed, out="_k")
+    name = F.concat(F.lit("data_ratio_1_"), F.col("_k"))
+    return df.withColumn("sample", F.lit("data_all")).unionByName(part.withColumn("sample", name).drop("_k"))

@@ -12,11 +12,11 @@ SCHEMA = "name string, version string, path string, created_at timestamp"
 
 
 def save_model(model: PipelineModel, root: str, name: str, version: str, now: datetime) -> str:
-    """Save one version and record it; the newest record of a name is its latest version."""
+    """Save one version and record it; the newest record of a name is its latest version. A version is saved once."""
     root = root.rstrip("/")
     path = f"{root}/models/{name}/{version}"
-    model.write().overwrite().save(path)
     spark = SparkSession.getActiveSession()
+    model.write().save(path)  # refuses a version that is there
     spark.createDataFrame([(name, version, path, now)], SCHEMA).write.mode("append").parquet(f"{root}/registry")
     return path
 

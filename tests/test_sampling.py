@@ -47,7 +47,9 @@ def test_third_round_ranks_rows_with_a_common_prefix(spark, monkeypatch):
 def test_folds(table):
     folds = {r["id"]: r["fold"] for r in sampling.with_folds(table, ["id"], 5).collect()}
     order = sorted(range(N), key=digest)
-    assert folds == {k: i % 5 for i, k in enumerate(order)}
+    assert folds == {k: i // (N // 5) for i, k in enumerate(order)}
+    uneven = {r["id"]: r["fold"] for r in sampling.with_folds(table.where("id < 13"), ["id"], 5).collect()}
+    assert [uneven[k] for k in sorted(range(13), key=digest)] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 4, 4]
     strat = sampling.with_folds(table, ["id"], 5, label="label").collect()
     per_class = Counter((r["label"], r["fold"]) for r in strat)
     for c, n in ((1, POS), (0, N - POS)):
@@ -94,6 +96,36 @@ def test_split_needs_no_shuffle_of_the_table(table):
     assert "Window" not in plan and "Sort" not in plan
 
 
+def test_folds_need_no_shuffle(table):
+    plan = sampling.with_folds(table, ["id"], 5, label="label")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Exchange hash" not in plan
+
+
+def test_rows_without_a_label_are_never_lost(spark):
+    df = spark.createDataFrame([(i, None if i % 8 == 0 else i % 2) for i in range(400)], "id int, label int")
+    train, test = sampling.train_test(df, ["id"], 0.3, label="label")
+    assert (train.count(), test.count()) == (280, 120)
+    assert test.where("label is null").count() == 15
+    folds = sampling.with_folds(df, ["id"], 5, label="label")
+    assert folds.where("fold is null").count() == 0 and folds.where("label is null").groupBy("fold").count().count() == 5
+    assert sampling.with_validation(df, ["id"], "label").where("is_validation is null").count() == 0
+    assert sampling.over_sample(df, ["id"], "label").where("label is null").count() == 50
+    assert sampling.under_sample(df, ["id"], "label").where("label is null").count() == 50
+    with pytest.raises(ValueError, match="50 rows"):
+        sampling.fixed_sample(df, ["id"], "label", 10)
+
+
+def test_many_classes(spark):
+    df = spark.range(4000).selectExpr("id", "cast(id % 500 as string) as label")
+    train, test = sampling.train_test(df, ["id"], 0.25, label="label")
+    assert test.groupBy("label").count().where("count = 2").count() == 500
+
+
+def test_all_ratios_at_once(table):
+    got = Counter((r["k"], r["label"]) for r in sampling.ratio_samples(table, ["id"], "label", (1, 5)).collect())
+    assert got == {(1, 1): POS, (1, 0): POS, (5, 1): POS, (5, 0): 5 * POS}
+
+
 def test_class_weights(table):
     got = {r["label"]: r["weight"] for r in class_weights(table, "label").collect()}
     assert got[1] == pytest.approx(N / (2 * POS)) and got[0] == pytest.approx(N / (2 * (N - POS)))
