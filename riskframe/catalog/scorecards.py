@@ -72,12 +72,12 @@ LEAF = f"""{SC}, lf AS (SELECT *, CAST(floor(score * 12) AS INTEGER) AS leaf FRO
   ld AS (SELECT leaf, p, n, p / (1 - p) AS odds, CAST(round(600 - (20 / ln(2)) * ln(p / (1 - p))) AS INTEGER) AS score FROM lc)"""
 
 
-def _leaves(spark, sf):
+def _leaves(spark, sf, unknown=-1):
     df = scored_items(spark, sf).withColumn("leaf", F.floor(F.col("score") * 12).cast("int"))
-    return df, scorecard.leaf_scores(df.where("split = 'train' AND leaf <> 5"), "leaf", "score")
+    return df, scorecard.leaf_scores(df.where((F.col("split") == "train") & (F.col("leaf") != unknown)), "leaf", "score")
 
 
-@query("leaf_scores", f"WITH {LEAF} SELECT leaf, {r('p')} AS probability, n, {r('odds')} AS odds, score FROM ld")
+@query("leaf_scores", f"WITH {LEAF.replace('AND leaf <> 5', '')} SELECT leaf, {r('p')} AS probability, n, {r('odds')} AS odds, score FROM ld")
 def leaf_scores(spark, sf):
     return rounded(_leaves(spark, sf)[1])
 
@@ -85,7 +85,7 @@ def leaf_scores(spark, sf):
 @query("apply_leaf", f"""WITH {LEAF} SELECT lf.leaf, coalesce(ld.score, 300) AS score, count(*) AS n FROM lf LEFT JOIN ld ON lf.leaf = ld.leaf
   GROUP BY ALL""")
 def apply_leaf(spark, sf):
-    df, scores = _leaves(spark, sf)
+    df, scores = _leaves(spark, sf, unknown=5)
     return scorecard.apply_leaf(df.drop("score"), "leaf", scores).groupBy("leaf", "score").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -191,8 +191,8 @@ def sel_all_steps(spark, sf):
 
 @query("sel_importance")
 def sel_importance(spark, sf):
-    df = line_items(spark, sf).dropna(subset=["tax"])
-    forest = screening.model_importance(df, "label", LI_NUM, family="RF", trees=10)
+    df = line_items(spark, sf)
+    forest = screening.model_importance(df, "label", LI_NUM, family="RF")
     linear = screening.model_importance(df, "label", LI_NUM, family="LR")
     return forest.withColumn("family", F.lit("RF")).unionByName(linear.withColumn("family", F.lit("LR")))
 

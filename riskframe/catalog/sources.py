@@ -20,11 +20,11 @@ def src_table_scan(spark, sf):
     return tables.read_table(spark, f"{sf.rstrip('/')}/customer.parquet")
 
 
-_VERSIONS = """v AS (SELECT o_orderpriority AS name, 'v' || CAST(o_orderkey AS VARCHAR) AS version, o_orderdate AS created_at FROM orders WHERE o_custkey % 50 = 0)"""
+_VERSIONS = """v AS (SELECT o_orderpriority AS name, 'v' || CAST(o_orderkey AS VARCHAR) AS version, o_orderdate AS created_at FROM orders)"""
 
 
 def _registry(spark, sf):
-    return table(spark, sf, "orders").where("o_custkey % 50 = 0").select(
+    return table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("name"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("version"),
         F.lit("path").alias("path"), F.col("o_orderdate").alias("created_at"))
 

@@ -140,3 +140,25 @@ def test_batch_summary_and_best_model(spark):
     assert evaluate.evaluate_bundle(spark.createDataFrame([("test", 1.0, 1.5), ("train", 2.0, 2.0), ("train", 1.0, 1.0)],
                                                           "split string, y double, p double"),
                                     "regression", "y", "p").where(F.col("metric") == "mae").count() == 2
+
+
+def test_groups_without_scores_stay(spark):
+    df = spark.createDataFrame([("train", 1, 1, 0.9), ("train", 0, 0, 0.1), ("test", 1, 1, None), (None, 1, 0, 0.5), (None, 0, 0, float("nan"))],
+                               "split string, y int, p int, s double")
+    got = {(r["split"], r["metric"]): r["value"] for r in evaluate.evaluate_bundle(df, "classification", "y", "p", "s").collect()}
+    assert got["train", "auc"] == 1.0 and got["test", "auc"] is None and got["test", "accuracy"] == 1.0 and got[None, "accuracy"] == 0.5
+    hist = evaluate.score_histogram(df, "s", 2, ["split"])
+    assert {(r["split"], r["bin"]): r["n"] for r in hist.collect()}[None, 1] == 1
+
+
+def test_scores_that_are_not_numbers_are_missing(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (0, float("nan"))], "y int, s double")
+    assert evaluate.auc_ks(df, "y", "s").first()["auc"] == 1.0
+
+
+def test_classes_can_be_text(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "y string, p string")
+    assert {(r["label"], r["prediction"], r["n"]) for r in evaluate.confusion_matrix(df, "y", "p").collect()} == {
+        ("a", "a", 1), ("a", "b", 1), ("b", "b", 1)}
+    report = {r["class"]: r["recall"] for r in evaluate.classification_report(df, "y", "p").collect()}
+    assert report["a"] == 0.5 and report["b"] == 1.0

@@ -69,3 +69,22 @@ def test_percentiles_of_one_row_and_of_none(spark):
     for small in (10, 0):
         assert ordering.exact_percentiles(one, ["a"], [0.0, 0.5, 1.0], small) == {"a": [4.0, 4.0, 4.0]}
         assert ordering.exact_percentiles(one.where("false"), ["a"], [0.5], small) == {"a": [None]}
+
+
+def test_group_of_nulls_on_both_paths(spark):
+
+    df = spark.createDataFrame([("a" if i < 20 else None, float(i)) for i in range(30)], "g string, v double")
+    for per_range in (None, 3):
+        got = ordering.running_totals(df, ["g"], "v", {"n": F.lit(1)}, per_range).collect()
+        assert sorted((r["g"] or "", r["v"], r["n_cum"], r["n_all"]) for r in got) == sorted(
+            [("a", float(i), i + 1, 20) for i in range(20)] + [("", float(i), i - 19, 10) for i in range(20, 30)])
+
+
+def test_trailing_without_a_key_on_both_paths(spark):
+    from riskframe.operators.generate import add_trailing
+
+    df = spark.createDataFrame([(None if i < 12 else 1, i, 1.0) for i in range(20)], "k int, t int, x double")
+    want = sorted([(i, float(min(i + 1, 4))) for i in range(12)] + [(i, float(min(i - 11, 4))) for i in range(12, 20)])
+    for per_range in (None, 3):
+        got = add_trailing(df, "k", "t", ["x"], 3, per_range=per_range)
+        assert sorted((r["t"], r["x_sum_last_3"]) for r in got.collect()) == want
