@@ -122,11 +122,35 @@ def drift_log(spark, sf):
         F.sort_array(F.collect_set("event_type")).alias("drifted_features"))
 
 
+def _stored_logs(spark, sf):
+    """The prediction and the drift log, written and read back."""
+    base = scratch(spark)
+    out = []
+    for name, log, schema in (("predictions", prediction_log(spark, sf), logs.PREDICTIONS), ("drift", drift_log(spark, sf), logs.DRIFT)):
+        logs.append_log(log.withColumn("timestamp", F.col("timestamp").cast("timestamp")), f"{base}/{name}", NOW)
+        out.append(logs.read_log(spark, f"{base}/{name}", schema))
+    return out
+
+
 @query("mon_report", f"""WITH {LOGS}, a AS (SELECT count(*) AS n, avg(coalesce(p, 0)) AS m FROM pl WHERE timestamp > TIMESTAMP '2024-01-24'),
   b AS (SELECT count(*) AS n, count(*) FILTER (drift_detected) AS k FROM dl WHERE timestamp > TIMESTAMP '2024-01-24')
   SELECT a.n AS total_predictions, {r('a.m')} AS avg_probability, b.n AS drift_records, b.k AS drift_events_count, 7 AS report_period_days FROM a, b""")
 def mon_report(spark, sf):
-    return rounded(monitor.monitoring_report(prediction_log(spark, sf), drift_log(spark, sf), NOW, 7))
+    predictions, drifts = _stored_logs(spark, sf)
+    return rounded(monitor.monitoring_report(predictions, drifts, NOW, 7))
+
+
+# the trend: one performance record a day, of the last days
+@query("mon_trend", f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS model_name, count(*) AS sample_count,
+  {r("avg(value / 500.0)")} AS accuracy FROM events WHERE CAST(date_trunc('day', ts) AS TIMESTAMP) > TIMESTAMP '2024-01-24' GROUP BY ALL""")
+def mon_trend(spark, sf):
+    e = table(spark, sf, "events")
+    daily = e.groupBy(F.date_trunc("day", "ts").alias("timestamp"), F.col("event_type").alias("model_name")).agg(
+        F.count(F.lit(1)).alias("sample_count"), F.avg(F.col("value") / 500.0).alias("accuracy"))
+    path = scratch(spark) + "/performance_log"
+    logs.append_log(daily, path, NOW)
+    trend = monitor.performance_trend(logs.read_log(spark, path, logs.PERFORMANCE), NOW, 7)
+    return rounded(trend.select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "model_name", "sample_count", "accuracy"))
 
 
 # one performance record per day: an alert for each event type that is rarer than 18 percent

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskframe.catalog.evaluation import RESULTS, _results
@@ -44,34 +45,38 @@ def registry_latest(spark, sf):
     return latest.select("name", "version", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
-def _documents(spark, sf):
-    """One result document per model, shaped like those a training run stores."""
-    m = F.struct("accuracy", "precision", "recall", "f1", "auc", "ks")
-    return _results(spark, sf).select(
-        "model_name", F.struct(F.col("model_name"), F.lit("line_items").alias("data_name"),
-                               F.lit("random_over").alias("imbalance_method"),
-                               F.struct(m.alias("train_metrics"), m.alias("test_metrics")).alias("metrics"),
-                               F.lit("success").alias("status")).alias("evaluation_results"))
+def _stored_documents(spark, sf):
+    """One result document per model, each in a file of its own as a training run stores it, read back."""
+    folder = scratch(spark) + "/results"
+    for x in _results(spark, sf).collect():  # three models
+        metrics = {m: x[m] for m in ("accuracy", "precision", "recall", "f1", "auc", "ks")}
+        reports.write_result(spark, folder, {"model_name": x.model_name, "evaluation_results": {
+            "model_name": x.model_name, "data_name": "line_items", "imbalance_method": "random_over", "status": "success",
+            "metrics": {"train_metrics": metrics, "test_metrics": metrics}}})
+    return reports.read_results(spark, folder)
 
 
 @query("global_comparison", f"""WITH {RESULTS} SELECT 'line_items' AS data_name, 'random_over' AS imbalance_method, model_name,
   'classification' AS task_type, {r('acc')} AS accuracy, {r('wp')} AS precision, {r('wr')} AS recall, {r('wf')} AS f1, {r('auc')} AS auc, {r('ks')} AS ks FROM res""")
 def global_comparison(spark, sf):
-    path = scratch(spark) + "/results"
-    reports.write_json(_documents(spark, sf), path)
-    # one JSON record per line here, one document per file in a training run
-    stored = spark.read.schema(reports.RESULT_SCHEMA).json(path)
-    return rounded(evaluate.compare_runs(stored))
+    return rounded(evaluate.compare_runs(_stored_documents(spark, sf)))
 
 
 @query("global_summary", f"""WITH {RESULTS} SELECT count(*) AS n_runs, count(DISTINCT 1) AS n_data, count(DISTINCT 2) AS n_samplers,
   count(DISTINCT model_name) AS n_models, 'line_items' AS best_data, 'random_over' AS best_sampler,
   arg_max(model_name, auc) AS best_model, {r('max(auc)')} AS best_auc FROM res""")
 def global_summary(spark, sf):
-    path = scratch(spark) + "/results"
-    reports.write_json(_documents(spark, sf), path)
-    stored = spark.read.schema(reports.RESULT_SCHEMA).json(path)
-    return rounded(evaluate.runs_summary(evaluate.compare_runs(stored)))
+    return rounded(evaluate.runs_summary(evaluate.compare_runs(_stored_documents(spark, sf))))
+
+
+# three files of many are read as one table; their names say what they hold
+@query("result_files", f"""WITH {RESULTS} SELECT 'line_items' AS data_name, 'random_over' AS imbalance_method, model_name,
+  {r('auc')} AS auc, CAST(row_number() OVER (ORDER BY auc DESC) AS INTEGER) AS place FROM res""")
+def result_files(spark, sf):
+    found = _stored_documents(spark, sf)
+    auc = F.col("evaluation_results.metrics.test_metrics.auc")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(auc.desc()))  # a row a result file
+    return rounded(found.select(*[e.alias(n) for n, e in reports.names_from_file().items()], auc.alias("auc"), place.alias("place")))
 
 
 @query("feature_list_sink", """SELECT 'orders' AS name, 'o_custkey,o_totalprice' AS features, 2 AS feature_count, '2024-02-01' AS created

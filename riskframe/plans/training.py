@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import evaluate, sampling, scoring, tuning
 from riskframe.operators.models import task_of, train
+from riskframe.sources import reports
+from riskframe.sources.lineage import checkpointed
 
 
 def evaluate_model(model: PipelineModel, df: DataFrame, label: str, task: str, split: str = "split") -> DataFrame:
@@ -24,8 +26,11 @@ def evaluate_model(model: PipelineModel, df: DataFrame, label: str, task: str, s
 def train_and_evaluate(df: DataFrame, label: str, code: str, numeric: Sequence[str], text: Sequence[str] = (),
                        key: str = "key", sampler: str | None = None, data_name: str = "data", test_size: float = 0.3,
                        search: int = 0, folds: int = 5, space: Mapping | None = None, seed: int = 42,
-                       **params) -> tuple[PipelineModel, dict]:
-    """Split, optionally search, fit, evaluate both splits; returns the model and its result document."""
+                       results: str | None = None, **params) -> tuple[PipelineModel, dict]:
+    """Split, optionally search, fit, evaluate both splits; returns the model and its result document.
+
+    With ``results`` the document is also stored below that folder.
+    """
     task = task_of(code)
     strata = label if task == "classification" else None
     split = sampling.with_split(df, [key], test_size, seed, strata).persist()
@@ -42,11 +47,13 @@ def train_and_evaluate(df: DataFrame, label: str, code: str, numeric: Sequence[s
     metrics: dict[str, dict] = {"train": {}, "test": {}}
     for r in evaluate_model(model, split, label, task).collect():  # a dozen rows
         metrics[r["split"]][r["metric"]] = r["value"]
-    matrix = None
+    matrix = report = None
     if task == "classification":
         test = scoring.predict(model, split.where(F.col("split") == "test"))
-        cells = {(r["label"], r["prediction"]): r["n"] for r in
-                 evaluate.confusion_matrix(test, label, "prediction").collect()}  # classes squared
+        counted = checkpointed(evaluate.confusion_matrix(test, label, "prediction"))
+        cells = {(r["label"], r["prediction"]): r["n"] for r in counted.collect()}  # classes squared
+        report = {r["class"]: {m: float(r[m]) for m in ("precision", "recall", "f1", "support")}
+                  for r in evaluate.report_from_matrix(counted).collect()}
         classes = sorted({c for pair in cells for c in pair})
         matrix = [[cells.get((a, b), 0) for b in classes] for a in classes]
     split.unpersist()
@@ -55,11 +62,13 @@ def train_and_evaluate(df: DataFrame, label: str, code: str, numeric: Sequence[s
         "evaluation_results": {
             "model_name": code, "data_name": data_name, "imbalance_method": sampler or "none",
             "metrics": {"train_metrics": metrics["train"], "test_metrics": metrics["test"],
-                        "detailed_report": {"confusion_matrix": matrix}},
+                        "detailed_report": {"confusion_matrix": matrix, "classification_report": report}},
             "best_params": best, "training_time": seconds,
             "feature_count": len(model.stages[0].outputs()), "status": "success"},
         "timestamp": datetime.now().isoformat(),
     }
+    if results is not None:
+        reports.write_result(df.sparkSession, results, document)
     return model, document
 
 

@@ -1,7 +1,8 @@
 """The prediction and performance logs as streams.
 
-Every function is a plain DataFrame plan, so it gives the same rows on a batch table; in a
-stream a window is emitted once the watermark has passed its end.
+Every function is a plain DataFrame plan, so it gives the same rows on a batch table. In append
+mode a window is emitted once the watermark has passed its end; ``run_updates`` also writes
+windows that are still open, and ``latest`` reads the newest state of each.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe.operators.evaluate import binary_counts, binary_rates
 from riskframe.operators.monitor import alerts
@@ -59,3 +61,25 @@ def run_to_files(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parqu
     query = (stream.writeStream.format(fmt).option("path", out).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def run_updates(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Process what is there, write every window that changed, open ones included, and stop. Restartable.
+
+    Each batch writes a folder of its own and replaces it when it is repeated.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = (stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+             .outputMode("update").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def latest(spark: SparkSession, out: str, schema, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each window and key that ``run_updates`` wrote."""
+    values = [f.name for f in schema if f.name not in keys]
+    rows = spark.read.option("basePath", out).schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(out)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return newest.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
