@@ -123,6 +123,19 @@ def nearest_neighbours(spark, sf):
         F.col("e.distance").alias("distance")))
 
 
+# the same in few dimensions, with blocks so small that cells are cut and excluded
+_FLAT = "round(sqrt((a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)), 9)"
+
+
+@query("nearest_neighbours_cut", f"""WITH nn AS (SELECT a.p_partkey, b.p_partkey AS other, {_FLAT} AS d,
+    row_number() OVER (PARTITION BY a.p_partkey ORDER BY {_FLAT}, b.p_partkey) AS place FROM part a JOIN part b ON a.p_partkey <> b.p_partkey)
+  SELECT p_partkey, CAST(place AS INTEGER) AS place, other, {r('d')} AS distance FROM nn WHERE place <= 5""")
+def nearest_neighbours_cut(spark, sf):
+    near = neighbours.nearest_neighbours(table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"], 5, block=64)
+    return rounded(near.select(F.col("key").alias("p_partkey"), F.posexplode("neighbours").alias("p", "e")).select(
+        "p_partkey", (F.col("p") + 1).cast("int").alias("place"), F.col("e.key").alias("other"), F.col("e.distance").alias("distance")))
+
+
 _MIX = "list_sum(list_transform(range(1, 65), lambda i: i * x[i]))"
 
 

@@ -2,8 +2,10 @@
 
 Rows are grouped around pivots (Voronoi cells) and cells are cut into blocks of bounded
 size. A first pass finds an upper bound of each row's neighbour distance inside its own
-block; by the triangle inequality only cells that can hold something closer are looked
-at in the second pass. Copies of one vector are compared once. Distances are rounded to
+block; only cells that can hold something closer are looked at in the second pass: by the
+triangle inequality with the cell's pivot, its nearest and its farthest row, and by the plane
+half way between two pivots. In few dimensions that leaves a small share of the cells; with
+many and no structure it cannot exclude any, and the work is that of all pairs. Copies of one vector are compared once. Distances are rounded to
 nine decimals, and equal distances are ordered by the key.
 """
 
@@ -27,7 +29,6 @@ from riskframe.sources.lineage import checkpointed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 2048
-MAX_PIVOTS = 512
 DIGITS = 9
 
 
@@ -45,6 +46,18 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _reachable(v: np.ndarray, pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, hole: np.ndarray, k: int,
+               slack: float) -> np.ndarray:
+    """Which cells may hold one of the k nearest others of each row; the rows of v are of one block."""
+    to_pivot = _distances(v, pivots)
+    roomy = counts > k
+    limit = ((to_pivot + radius)[:, roomy].min(axis=1) if roomy.any() else np.full(len(v), np.inf))
+    if len(v) > k:
+        limit = np.minimum(limit, np.partition(_distances(v, v), k, axis=1)[:, k])
+    least = np.maximum(np.maximum(to_pivot - radius, hole - to_pivot), (to_pivot - to_pivot.min(axis=1)[:, None]) / 2)
+    return (least <= limit[:, None] + slack) & (counts > 0)
+
+
 def nearest_neighbours(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, block: int = BLOCK) -> DataFrame:
     """(key, vector, neighbours): the k nearest other rows as (distance, key, vector), nearest first."""
     points = df.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
@@ -64,7 +77,7 @@ def vector_neighbours(points: DataFrame, k: int = 5, block: int = BLOCK) -> Data
     if n <= block:  # everything fits one block
         whole = reps.withColumns({c: F.lit(0) for c in GROUP})
         return _finish(points, reps, _nearest_in_blocks(whole, whole, k, kind), k)
-    n_pivots = max(1, min(MAX_PIVOTS, int(math.sqrt(n / 8))))
+    n_pivots = max(1, int(math.sqrt(n)))  # so many cells of so many rows
     pivots = np.array([r["v"] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).select("v").collect()])
 
     def place(batches):
@@ -74,10 +87,9 @@ def vector_neighbours(points: DataFrame, k: int = 5, block: int = BLOCK) -> Data
             yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(pdf)), cell])
 
     placed = reps.mapInPandas(place, f"v array<double>, keys array<{kind}>, rep {kind}, cell int, reach double")
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in
-             placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).collect()}
-    counts = np.array([stats.get(c, (0, 0.0))[0] for c in range(len(pivots))])
-    radius = np.array([stats.get(c, (0, 0.0))[1] for c in range(len(pivots))])
+    stats = {r["cell"]: (r["n"], r["radius"], r["hole"]) for r in placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"), F.min("reach").alias("hole")).collect()}
+    counts, radius, hole = (np.array([stats.get(c, (0, 0.0, 0.0))[i] for c in range(len(pivots))]) for i in range(3))
     blocks = np.maximum(1, -(-counts // block))
     sizes = spark.createDataFrame([(c, int(b)) for c, b in enumerate(blocks)], "cell int, n_blocks int")
     data = placed.join(F.broadcast(sizes), "cell").withColumn(
@@ -85,13 +97,7 @@ def vector_neighbours(points: DataFrame, k: int = 5, block: int = BLOCK) -> Data
     slack = 1e-8 + 1e-9 * float(radius.max(initial=0.0))
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = _matrix(pdf["v"])
-        to_pivot = _distances(v, pivots)
-        roomy = counts > k
-        limit = ((to_pivot + radius)[:, roomy].min(axis=1) if roomy.any() else np.full(len(v), np.inf))
-        if len(v) > k:
-            limit = np.minimum(limit, np.partition(_distances(v, v), k, axis=1)[:, k])
-        near = (to_pivot - radius <= limit[:, None] + slack) & (counts > 0)
+        near = _reachable(_matrix(pdf["v"]), pivots, counts, radius, hole, k, slack)
         return pd.DataFrame({"rep": pdf["rep"], "v": pdf["v"], "cells": [np.flatnonzero(r).tolist() for r in near]})
 
     asked = checkpointed(data.groupBy("cell", "block").applyInPandas(

@@ -31,6 +31,21 @@ def test_equal_to_brute_force(spark, block):
     assert got == brute(points, 5)
 
 
+def test_few_cells_are_looked_at_in_few_dimensions():
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 1, (4000, 2))
+    pivots = x[:63]
+    d = neighbours._distances(x, pivots)
+    cell = d.argmin(axis=1)
+    counts = np.bincount(cell, minlength=63)
+    reach = d[np.arange(4000), cell]
+    radius, hole = np.zeros(63), np.zeros(63)
+    for c in range(63):
+        radius[c], hole[c] = reach[cell == c].max(), reach[cell == c].min()
+    share = np.concatenate([neighbours._reachable(x[cell == c], pivots, counts, radius, hole, 5, 1e-8).mean(axis=1) for c in range(63)])
+    assert share.mean() < 0.06  # of 63 cells fewer than four
+
+
 def test_copies_and_ties_are_ordered_by_key(spark):
     # a third of all rows are copies of one vector, the others lie on a grid
     points = [(i, [0.0, 0.0]) for i in range(100, 200)] + [(i, [float(i % 14), float(i // 14)]) for i in range(100)]
