@@ -22,7 +22,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -
     """
     if hot is None:
         return left.join(right, key, "left")
-    few = right.join(F.broadcast(hot), key, "left_semi")
+    few = hot.join(right, key, "left")  # every hot key, found or not
     mine = left.join(F.broadcast(few), key, "inner")
     rest = left.join(F.broadcast(hot), key, "left_anti").join(right.join(F.broadcast(hot), key, "left_anti"), key, "left")
     return mine.unionByName(rest)
