@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,6 @@ from riskframe.functions.skew import HOT_SHARE, hot_keys, lookup
 from riskframe.operators.ordering import constant_array, exact_percentiles, running_totals, with_position
 from riskframe.sources.lineage import checkpointed
 
-MAX_CATEGORIES = 10_000
 SHORT_LIST = 16
 
 # What each model family does to numeric and categorical columns.
@@ -74,16 +74,20 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-def bounded_counts(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, dict[str, int]]:
-    """Value counts per column, for columns with at most ``limit`` distinct values."""
+def bounded_counts(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> dict[str, dict[str, int]]:
+    """Value counts per column, a row a category on the driver; with ``limit``, columns with more distinct values are refused.
+
+    For columns like identifiers use ``ordinal_table`` or ``sparse_onehot``, whose dictionaries stay tables.
+    """
     if not cols:
         return {}
-    sizes = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    wide = [c for i, c in enumerate(cols) if sizes[f"d{i}"] > limit]
-    if wide:
-        raise ValueError(f"more than {limit} categories in {wide}: use ordinal_table and encode_by_table")
+    counts = checkpointed(category_counts(df, cols))
+    if limit is not None:
+        wide = [r["feature"] for r in counts.groupBy("feature").count().where(F.col("count") > limit).collect()]
+        if wide:
+            raise ValueError(f"more than {limit} categories in {wide}: use ordinal_table or sparse_onehot")
     out: dict[str, dict[str, int]] = {c: {} for c in cols}
-    for r in category_counts(df, cols).collect():  # bounded by the check above
+    for r in counts.collect():
         out[r["feature"]][r["value"]] = r["n"]
     return out
 
@@ -136,6 +140,20 @@ def encode_by_table(df: DataFrame, col: str, table: DataFrame, out: str | None =
     return joined.withColumn(out, F.coalesce("_code", F.lit(-1))).drop("_code")
 
 
+def sparse_onehot(df: DataFrame, col: str, table: DataFrame, out: str | None = None) -> DataFrame:
+    """Append a sparse vector with a 1 at the code of the value, for any number of values; unseen and missing ones are all 0.
+
+    The dictionary (``ordinal_table``) stays a table, and planning does not depend on its size.
+    """
+    out = out or f"{col}_vector"
+    n = table.count()
+    code = f"_{out}_code"
+    coded = encode_by_table(df, col, table, code).withColumn(code, F.when(F.col(code) < 0, F.lit(n)).otherwise(F.col(code)).cast("double"))
+    model = OneHotEncoder(inputCol=code, outputCol=out, dropLast=True)  # the last place is that of unknown values
+    sizes = df.sparkSession.createDataFrame([(float(n),)], f"{code} double")
+    return model.fit(sizes).transform(coded).drop(code)
+
+
 # ---- estimator -----------------------------------------------------------------------
 
 class _PreprocessParams(Params):

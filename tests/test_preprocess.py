@@ -82,6 +82,16 @@ def test_too_many_categories_is_refused(spark):
         preprocess.bounded_counts(df, ["c"], limit=100)
 
 
+def test_sparse_vectors_for_many_values(spark):
+    train = spark.range(20_000).select(F.concat(F.lit("c"), "id").alias("c"))
+    df = spark.createDataFrame([("c0",), ("c19999",), ("new",), (None,)], "c string")
+    got = {r["c"]: r["v"] for r in preprocess.sparse_onehot(df, "c", preprocess.ordinal_table(train, "c"), "v").collect()}
+    order = sorted(f"c{i}" for i in range(20_000))
+    assert {v.size for v in got.values()} == {20_000}
+    assert got["c0"].indices.tolist() == [order.index("c0")] and got["c19999"].indices.tolist() == [order.index("c19999")]
+    assert not len(got["new"].indices) and not len(got[None].indices)
+
+
 def test_saved_inside_a_model(spark, train, tmp_path):
     model = PipelineModel([fit(train, family="LR"), VectorAssembler(inputCols=["x", "c_a"], outputCol="v")])
     model.write().overwrite().save(str(tmp_path / "m"))
