@@ -58,13 +58,27 @@ class Block:
         return self.ids[order][best], score[best]
 
 
+def spread(x: np.ndarray, count: int, alike: float = 0.8) -> np.ndarray:
+    """Up to ``count`` of the unit vectors, in order, none of which has a cosine above ``alike`` with one before it.
+
+    Pivots from one group of near copies would all stand at one place in every order. If too few are left, others fill up.
+    """
+    kept: list[int] = []
+    near = np.full(len(x), -1.0)
+    for k in range(len(x)):
+        if len(kept) < count and near[k] <= alike:
+            kept.append(k)
+            near = np.maximum(near, x @ x[k])
+    rest = [k for k in np.unique(np.round(x, 6), axis=0, return_index=True)[1].tolist() if k not in set(kept)]
+    return x[kept + sorted(rest)[:count - len(kept)]]
+
+
 def choose_pivots(rows: DataFrame, count: int) -> np.ndarray:
-    """Up to ``count`` different directions among 4 x count vectors, the first in the order of a hash of the id."""
+    """Up to ``count`` directions, spread out, among 4 x count vectors that come first in the order of a hash of the id."""
     found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * count).select("v").collect()
     x = np.array([r.v for r in found])
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    _, first = np.unique(np.round(x, 6), axis=0, return_index=True)
-    return x[np.sort(first)[:count]]
+    return spread(x, count)
 
 
 def search(rows: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST,
