@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.functions import skew
+from riskframe.functions.skew import HOT_SHARE, lookup  # noqa: F401  (the operators take them from here)
 from riskframe.sources.lineage import checkpointed
 
-#: A key is hot if it holds more than one row in HOT_SHARE, so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -46,24 +45,9 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Iterat
         yield batch.slice(a, b - a)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Left join on ``key`` with a table that has one row a key; rows of hot keys stay where they are.
-
-    ``hot``: the hot keys, at most HOT_SHARE (see there), hence a broadcast of bounded size. Null keys find nothing.
-    """
-    if hot is None:
-        return left.join(right, key, "left")
-    hot = hot.select(key)
-    few = right.join(F.broadcast(hot), key, "left_semi")
-    mine = left.join(F.broadcast(few), key, "inner")
-    rest = left.join(F.broadcast(hot), key, "left_anti").join(right.join(F.broadcast(hot), key, "left_anti"), key, "left")
-    return mine.unionByName(rest)
-
-
 def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
     """Of one row a key, those with more than total / HOT_SHARE rows; None if there are none."""
-    hot = counts.where(F.col(n) > max(total / HOT_SHARE, 1000)).select(key)
-    return None if hot.isEmpty() else hot
+    return skew.hot_keys(counts, key, F.col(n) > max(total / HOT_SHARE, 1000))
 
 
 def _order(c: Column) -> Column:

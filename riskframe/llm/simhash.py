@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import (
@@ -129,42 +129,65 @@ def close_rows(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray,
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def hamming_links(prints: DataFrame, radius: int, blocks: int, words: int = 1, bucket_rows: int = 4096) -> DataFrame:
-    """(a, b) hex fingerprints that connect all distinct fingerprints (f0, f1) within the radius.
-
-    Exact if ``blocks - 2 >= radius``; with a larger radius (two words) pairs are missed that agree on fewer than two
-    blocks of the first word.
-    """
+def block_masks(blocks: int) -> tuple[list[int], list[int]]:
+    """Masks of the first word for every pair of blocks: of pairs that share no block, and of all others."""
     cut = [round(64 * k / blocks) for k in range(blocks + 1)]
     block = [((1 << (b - a)) - 1) << a for a, b in zip(cut, cut[1:], strict=False)]
-    masks = [int(np.uint64(x | y).view(np.int64)) for x, y in combinations(block, 2)]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
-    rows = prints.select("f0", "f1", F.explode(keys).alias("bucket"))
+    apart = [(k, k + 1) for k in range(0, blocks - 1, 2)]
+    mask = lambda pair: int(np.uint64(block[pair[0]] | block[pair[1]]).view(np.int64))
+    return [mask(x) for x in apart], [mask(x) for x in combinations(range(blocks), 2) if x not in apart]
+
+
+def hamming_links(prints: DataFrame, masks: list[int], radius: int, words: int = 1, bucket_rows: int = 4096) -> DataFrame:
+    """(a, b): nodes that connect all fingerprints (f0, f1, node) within the radius that agree on one of the masks.
+
+    Fingerprints of one node are connected already, and nothing is said of them.
+    """
+    keys = F.array(*[F.xxhash64(F.lit(m), F.col("f0").bitwiseAND(F.lit(m))) for m in masks])
+    rows = prints.select("f0", "f1", "node", F.explode(keys).alias("bucket"))
     large = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
     if not large.isEmpty():
         parts = F.ceil(F.col("n") / bucket_rows).cast("int")
         own = F.pmod(F.xxhash64("f1", "f0"), parts).cast("int")
-        split = (rows.join(large, "bucket").select("bucket", "f0", "f1", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-                 .select("f0", "f1", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")))
-        rows = rows.join(large, "bucket", "left_anti").select("f0", "f1", "bucket").unionAll(split)
+        split = (rows.join(large, "bucket").select("bucket", "f0", "f1", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+                 .select("f0", "f1", "node", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")))
+        rows = rows.join(large, "bucket", "left_anti").select("f0", "f1", "node", "bucket").unionAll(split)
 
     def work(batches):
-        for group in whole_runs(batches, 2):
-            key = group.column(2).to_numpy()
+        for group in whole_runs(batches, 3):
+            key, node = group.column(3).to_numpy(), group.column(2).to_numpy()
             f = np.stack([group.column(w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
             i, j = close_rows(key, f, radius)
-            lab = local_components(len(key), i, j)
-            member = np.flatnonzero(lab != np.arange(len(key)))
+            again = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] == node[:-1]))
+            lab = local_components(len(key), np.concatenate([i, again]), np.concatenate([j, again + 1]))
+            first = np.ones(len(key), bool)
+            first[again + 1] = False
+            member = np.flatnonzero(first & (node[lab] != node))
             if len(member):
-                name = lambda k: "".join(f"{int(x):016x}" for x in f[k])
-                yield pa.RecordBatch.from_arrays([pa.array([name(lab[m]) for m in member]), pa.array([name(m) for m in member])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[lab[member]]), pa.array(node[member])], names=["a", "b"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(work, "a long, b long")
+
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a string, b string")
+def linked(prints: DataFrame, radius: int, blocks: int, words: int = 1, bucket_rows: int = 4096) -> DataFrame:
+    """(node, root) for the ids of distinct fingerprints (id, f0, f1) that are linked to others, directly or not.
+
+    Exact if ``blocks - 2 >= radius``; with a larger radius (two words) pairs are missed that agree on fewer than two
+    blocks of the first word. The few tables of disjoint pairs of blocks come first; the others only have to tell of links between what
+    those left apart, so a large group of near copies is not reported once a table.
+    """
+    some, others = block_masks(blocks)
+    prints = prints.select("f0", "f1", F.col("id").alias("node"))
+    first = components(hamming_links(prints, some, radius, words, bucket_rows))
+    merged = prints.join(first, "node", "left").select("f0", "f1", F.coalesce("root", "node").alias("node"))
+    second = components(hamming_links(merged, others, radius, words, bucket_rows)).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    everyone = first.unionAll(second.select(F.col("root").alias("node"), F.col("root").alias("root")).join(first.select("node"), "node", "left_anti"))
+    sizes = everyone.groupBy("root").agg(F.count("*").alias("n"))
+    return checkpointed(lookup(everyone, second, "root", hot_keys(sizes, "root", "n", everyone.count())).select("node", F.coalesce("to", "root").alias("root")))
 
 
-def hex_print(words: int) -> F.Column:
-    parts = [F.lower(F.lpad(F.hex(f"f{w}"), 16, "0")) for w in range(words)]
-    return parts[0] if words == 1 else F.concat(*parts)
+def hex_print(word: str = "f0") -> Column:
+    return F.lower(F.lpad(F.hex(word), 16, "0"))
 
 
 def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,13 +201,12 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6,
         raise ValueError("blocks must be radius + 2 at least, or pairs would be missed")
     prints = checkpointed(fingerprints(docs, shingle, 1, id_col, text_col))
     classes = checkpointed(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
-                           .withColumn("fingerprint", hex_print(1)))
-    linked = components(hamming_links(classes, radius, blocks))
-    members = classes.select(F.col("fingerprint").alias("node"), "least_id")
-    far = least_member(linked, members, "least_id").select(F.col("node").alias("fingerprint"), F.col("least").alias("_linked"))
-    names = classes.join(far, "fingerprint", "left").select("f0", F.coalesce("_linked", "least_id").alias("component_id"))
+                           .withColumn("id", F.monotonically_increasing_id()))
+    members = classes.select(F.col("id").alias("node"), "least_id")
+    far = least_member(linked(classes, radius, blocks), members, "least_id").select(F.col("node").alias("id"), F.col("least").alias("_linked"))
+    names = classes.join(far, "id", "left").select("f0", F.coalesce("_linked", "least_id").alias("component_id"))
     hot = hot_keys(classes, "f0", "n", prints.count())
-    return lookup(prints.select("doc_id", "f0", hex_print(1).alias("fingerprint")), names, "f0", hot).select(
+    return lookup(prints.select("doc_id", "f0", hex_print().alias("fingerprint")), names, "f0", hot).select(
         "doc_id", "fingerprint", "component_id")
 
 
@@ -232,7 +254,7 @@ def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataF
                 sets = [np.unique(shingle_hashes(x, shingle, SEEDS[0])).tobytes() for x in batch.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["t", "coarse", "n", "set"])
 
-    rows = suspects.select("t", "coarse", "n", "text").mapInArrow(shingles, "t string, coarse string, n long, set binary")
+    rows = suspects.select("t", "coarse", "n", "text").mapInArrow(shingles, "t string, coarse long, n long, set binary")
     rows = (rows.select("t", "set", "coarse", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
             .select(F.concat_ws("/", "coarse", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "t", "set",
                     (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("inner")))
@@ -259,7 +281,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     """The rows of docs, all columns kept, with one document of each group of near copies: the one with the least id.
 
     Candidates come from 128-bit fingerprints of word shingles within ``radius`` bits (found over the first word, see
-    hamming_links); two texts link if their sets of shingles reach the Jaccard ``similarity``, and a group is what links reach.
+    linked); two texts link if their sets of shingles reach the Jaccard ``similarity``, and a group is what links reach.
     Equal texts always group. Only (id, text) decides: of rows that are equal in both, one stays. Null texts are empty texts,
     which group with texts of white space; a null id is the last choice. An empty table gives no rows.
     """
@@ -278,10 +300,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
                                                  names=["doc_id", "f0", "f1", "t"])
 
     prints = checkpointed(rows.withColumn("t", F.sha2("text", 256)).mapInArrow(work, "doc_id long, f0 long, f1 long, t string"))
-    each = checkpointed(prints.groupBy("t", "f0", "f1").agg(F.min("doc_id").alias("doc_id")).withColumn("print", hex_print(2)))
-    coarse = components(hamming_links(each.select("f0", "f1").distinct(), radius, blocks, 2))
-    each = each.join(coarse.select(F.col("node").alias("print"), F.col("root").alias("_root")), "print", "left")
-    each = checkpointed(each.select("t", "doc_id", F.coalesce("_root", "print").alias("coarse")))
+    each = checkpointed(prints.groupBy("t", "f0", "f1").agg(F.min("doc_id").alias("doc_id")))
+    ids = checkpointed(each.groupBy("f0", "f1").agg(F.count("*").alias("texts")).withColumn("id", F.monotonically_increasing_id()))
+    coarse = linked(ids, radius, blocks, 2).select(F.col("node").alias("id"), "root")
+    names = ids.join(coarse, "id", "left").select("f0", "f1", F.coalesce("root", "id").alias("coarse"))
+    each = checkpointed(each.join(names, ["f0", "f1"]).select("t", "doc_id", "coarse"))
     sizes = checkpointed(each.groupBy("coarse").agg(F.count("*").alias("n")).where("n > 1"))
     hot = hot_keys(sizes, "coarse", "n", each.count())
     suspects = checkpointed(lookup(each, sizes, "coarse", hot).where("n > 1"))
