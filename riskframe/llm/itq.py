@@ -25,7 +25,7 @@ from riskframe.llm.common import (
     runs,
     whole_runs,
 )
-from riskframe.llm.vectors import commonest_size, matrix, vectors
+from riskframe.llm.vectors import commonest_size, matrix, some, vectors
 
 PARTS = 4
 NEAR_BITS = 16  # codes further apart are not compared
@@ -97,10 +97,11 @@ def _classes(points: DataFrame, width: int) -> DataFrame:
 def links(classes: DataFrame, width: int, least_cosine: float, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(c, n_links) and edges (a, b): vectors that a class links to, copies counted, and pairs that connect all linked classes.
 
-    ``most``: vectors that the rotation is learned on, chosen by a hash.
+    ``most``: about how many vectors the rotation is learned on, chosen by a hash.
     """
     spark = classes.sparkSession
-    x = np.array([r.v for r in classes.orderBy(F.xxhash64("k"), "k").limit(most).select("v").collect()])
+    chosen = some(classes, "k", most, classes.count()).select("k", "v").collect()
+    x = np.array([r.v for r in sorted(chosen, key=lambda r: r.k)])
     mean, projection = learn_rotation(x / np.sqrt((x * x).sum(axis=1))[:, None])
     part = -(-projection.shape[1] // PARTS)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import checkpointed, whole_runs
-from riskframe.llm.vectors import commonest_size, cosines, matrix, vectors
+from riskframe.llm.vectors import commonest_size, cosines, matrix, some, vectors
 
 PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.12, 1024
 BLOCK, QUERY_BLOCK = 16_384, 2_048
@@ -73,10 +73,11 @@ def spread(x: np.ndarray, count: int, alike: float = 0.8) -> np.ndarray:
     return x[kept + sorted(rest)[:count - len(kept)]]
 
 
-def choose_pivots(rows: DataFrame, count: int) -> np.ndarray:
-    """Up to ``count`` directions, spread out, among 4 x count vectors that come first in the order of a hash of the id."""
-    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * count).select("v").collect()
+def choose_pivots(rows: DataFrame, count: int, n: int) -> np.ndarray:
+    """Up to ``count`` directions, spread out, among about 4 x count of the n vectors, chosen by a hash of the id."""
+    found = sorted(some(rows, "vec_id", 4 * count, n).select("vec_id", "v").collect(), key=lambda r: r.vec_id)
     x = np.array([r.v for r in found])
+    x = x[np.random.default_rng(1).permutation(len(x))]
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     return spread(x, count)
 
@@ -98,7 +99,7 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS, p
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = points.where(F.col("vec_id") % every == 0)
     blocks, query_blocks = -(-n // block), max(1, -(-queries.count() // query_block))
-    near_to = choose_pivots(points, pivots)
+    near_to = choose_pivots(points, pivots, n)
     shared = rows.sparkSession.sparkContext.broadcast(near_to)  # pivots x width doubles
     size = min(prefix, len(near_to))
     place = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")

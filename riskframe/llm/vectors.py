@@ -26,6 +26,11 @@ def commonest_size(rows: DataFrame) -> int:
     return first.d if first else 0
 
 
+def some(rows: DataFrame, key: str, most: int, n: int, seed: int = 5) -> DataFrame:
+    """About ``most`` of n rows (all, if there are fewer), chosen by a hash of the key: no task hands more than its share on."""
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """A column of vectors of one length as an array of doubles."""
     if isinstance(column, pa.ChunkedArray):
