@@ -119,5 +119,6 @@ def shuffle(rows: DataFrame, shards: int = 8, seed: int = 11, block_rows: int =
     dealt = rows.mapInArrow(work, f"{fields}, _to int, _order long")
     at = Window.partitionBy("_to").orderBy("_order", F.xxhash64("row"))
     plan = spark.createDataFrame([(k, s, a) for k, (s, a, _) in enumerate(blocks)], "_to int, shard int, _first long")
-    placed = dealt.repartition("_to").withColumn("_place", F.row_number().over(at) - 1)
+    # a task a block, however many there are
+    placed = dealt.repartition(max(1, len(blocks)), "_to").withColumn("_place", F.row_number().over(at) - 1)
     return placed.join(F.broadcast(plan), "_to").select("shard", (F.col("_first") + F.col("_place")).alias("slot"), "row")
