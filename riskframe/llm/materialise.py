@@ -91,7 +91,7 @@ def _tokens(docs: DataFrame, tokenizer: str, separator: int, kind: str, id_col:
 
     def work(batches):
         encoder, part, start = byte_encoder(spec.value), TaskContext.get().partitionId(), 0
-        pack, stop = zstandard.ZstdCompressor(level=3), np.asarray([separator], kind)
+        pack, stop = zstandard.ZstdCompressor(level=8), np.asarray([separator], kind)
         for whole in batches:
             for batch in slices(whole, 1, 4_000_000):
                 parts = [np.concatenate([encoder.encode(t).astype(kind), stop]) for t in batch.column(1).to_pylist()]
@@ -129,7 +129,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     item = np.dtype(kind).itemsize
 
     def deal(batches):
-        pack, open_ = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        pack, open_ = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
         held, held_bytes = [], 0
 
         def out():
