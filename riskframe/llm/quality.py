@@ -85,7 +85,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     rows = texts(docs, id_col, text_col).join(chosen, "doc_id").select("text", "label").mapInArrow(work, "x array<double>, label int")
-    fit = rows.orderBy("label", "x").collect()
+    fit = sorted(rows.collect(), key=lambda r: (r.label, r.x))
     y = np.array([r.label for r in fit], float)
     if not 0 < y.sum() < len(y):
         return None

@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
                                              names=["a", "b", "label"])
 
     if weights:
-        fit = np.array(rows.select("text", "label").mapInArrow(features, "a double, b double, label int").orderBy("a", "b", "label").collect())
+        fit = np.array(sorted(tuple(r) for r in rows.select("text", "label").mapInArrow(features, "a double, b double, label int").collect()))
         y = fit[:, 2]
         equal = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
         lexicon.curve = logistic(fit[:, :2], y, equal).tolist()
