@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm.byte_tokens import shared_file, tokenizer_file
-from riskframe.llm.common import slices, texts, worker_cache
+from riskframe.llm.common import checkpointed, slices, texts, worker_cache
 from riskframe.llm.segment import byte_alphabet, cut, kinds
 from riskframe.llm.stored import shared_folder
 
@@ -241,11 +241,22 @@ def word_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """The compiled lexicon of the ``frequent`` most frequent words (that many rows at most reach the driver)."""
-    top = word_counts(docs, tokenizer, id_col, text_col).orderBy(F.desc("n"), "word").limit(frequent)
+    """The compiled lexicon of the most frequent words, about ``frequent`` and never more (that many rows reach the driver).
+
+    Words enter by the logarithm of their count, so that a small histogram tells from which count on they fit.
+    """
+    level = F.floor(F.log2("n") * 64).cast("int")
+    counted = checkpointed(word_counts(docs, tokenizer, id_col, text_col).where("n > 1").withColumn("level", level))
+    least, room = None, frequent
+    for r in counted.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # 64 levels a doubling
+        room -= r.words
+        if room < 0:
+            break
+        least = r.level
+    top = [] if least is None else counted.where(F.col("level") >= least).select("word").collect()
     with open(tokenizer, "rb") as f:
         bpe = word_bpe(f.read())
-    words = sorted((x.word.encode(), x.word) for x in top.select("word").collect())
+    words = sorted((x.word.encode(), x.word) for x in top)
     return compile_lexicon((data, bpe.merge(word)) for data, word in words)
 
 
@@ -294,9 +305,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None, frequent: int = FREQUE
 
     def work(batches):
         cache, bpe = worker_cache(), word_bpe(spec.value)
-        if name not in cache:
-            cache[name] = WordIds(bpe, Lexicon(SparkFiles.get(name)))
-        ids = cache[name]
+        if cache.get("lexicon", ("",))[0] != name:  # a worker keeps the last one only
+            cache["lexicon"] = (name, WordIds(bpe, Lexicon(SparkFiles.get(name))))
+        ids = cache["lexicon"][1]
         for whole in batches:
             for batch in slices(whole, 1):
                 lists = [bpe.words(t) for t in batch.column(1).to_pylist()]
