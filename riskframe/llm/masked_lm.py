@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import checkpointed, slices, texts
 
 OWN, SHARED, CLASSES = 512, 512, 32
-REACH, WIDTH, BATCH, RATE = 2, 16, 2048, 0.1
+REACH, WIDTH, BATCH, RATE = 2, 16, 8192, 0.4
 EDGE = OWN + SHARED  # id of what lies beyond a document's ends
 CHUNK = 4096  # weights that travel together
 
