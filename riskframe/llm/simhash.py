@@ -280,7 +280,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
                 text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, with one document of each group of near copies: the one with the least id.
 
-    Candidates come from 128-bit fingerprints of word shingles within ``radius`` bits (found over the first word, see
+    Candidates come from 128-bit fingerprints of different word shingles within ``radius`` bits (found over the first word, see
     linked); two texts link if their sets of shingles reach the Jaccard ``similarity``, and a group is what links reach.
     Equal texts always group. Only (id, text) decides: of rows that are equal in both, one stays. Null texts are empty texts,
     which group with texts of white space; a null id is the last choice. An empty table gives no rows.
@@ -295,7 +295,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
                 out = np.zeros((2, batch.num_rows), np.uint64)
                 for k, x in enumerate(batch.column(1).to_pylist()):
                     for w, seed in enumerate(SEEDS):
-                        out[w, k] = simhash(shingle_hashes(x, shingle, seed))
+                        out[w, k] = simhash(np.unique(shingle_hashes(x, shingle, seed)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), batch.column(2)],
                                                  names=["doc_id", "f0", "f1", "t"])
 

@@ -149,3 +149,18 @@ def test_one_of_each(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 4)  # groups in several cells
     assert sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=repr) == sorted(ids, key=repr)
     assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def survivors(rows):
+    """Ids of the least members of the groups that links of Jaccard 0.8 reach, by brute force."""
+    root = grouped(len(rows), lambda a, b: jaccard(rows[a][1], rows[b][1]) >= 0.8)
+    return sorted({rows[r][0] for r in root})
+
+
+def test_one_of_each_with_repeated_lines(spark):
+    rng, rows = random.Random(21), []
+    for k in range(30):  # a line stands once in one copy and several times in the other
+        body, line = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(n)) for c, n in (("b", 200), ("l", 20)))
+        rows += [(10 * k, f"{body} {line}"), (10 * k + 1, " ".join([body] + [line] * rng.choice([5, 10, 30])))]
+    got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS).repartition(3)).collect())
+    assert got == survivors(rows) == [10 * k for k in range(30)]
