@@ -153,7 +153,8 @@ def test_one_of_each(spark, monkeypatch):
 
 def survivors(rows):
     """Ids of the least members of the groups that links of Jaccard 0.8 reach, by brute force."""
-    root = grouped(len(rows), lambda a, b: jaccard(rows[a][1], rows[b][1]) >= 0.8)
+    words = [set(t.split()) for _, t in rows]  # texts without a common word are not compared
+    root = grouped(len(rows), lambda a, b: not words[a].isdisjoint(words[b]) and jaccard(rows[a][1], rows[b][1]) >= 0.8)
     return sorted({rows[r][0] for r in root})
 
 
@@ -164,3 +165,26 @@ def test_one_of_each_with_repeated_lines(spark):
         rows += [(10 * k, f"{body} {line}"), (10 * k + 1, " ".join([body] + [line] * rng.choice([5, 10, 30])))]
     got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS).repartition(3)).collect())
     assert got == survivors(rows) == [10 * k for k in range(30)]
+
+
+def test_one_of_each_at_the_similarity(spark):
+    rng, rows = random.Random(22), []
+    for k in range(240):  # pairs at 0.80 to 0.85, some of them short
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([24, 60, 300, 700]))]
+        want, copy = rng.uniform(0.8, 0.85), words
+        while jaccard(" ".join(words), " ".join(longer := [*copy, f"w{rng.randrange(10**6)}"])) >= want:
+            copy = longer
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(copy))]
+    got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS).repartition(3)).collect())
+    assert got == survivors(rows) == [10 * k for k in range(240)]
+
+
+def test_bands_are_shared_by_similarity():
+    rng = np.random.default_rng(3)
+    agree = []
+    for _ in range(200):
+        x = rng.integers(0, 2**64, 1000, np.uint64)
+        agree.append((simhash.bands(x[:900]) == simhash.bands(x[100:])).mean())  # Jaccard 0.8
+    assert np.mean(agree) == pytest.approx(0.8 ** simhash.ROWS, abs=0.02) and min(agree) > 0
+    none = np.empty(0, np.uint64)
+    assert (simhash.bands(none) == simhash.bands(none)).all() and len(set(simhash.bands(none).tolist())) == simhash.BANDS
