@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every token from both sides.
 
 The vocabulary comes from word counts over the whole corpus: the most frequent words have ids of their own, all others share ids
-by their last letters. The network adds up an embedding for each of the positions around the masked one, and predicts first
+by their last letters, and such a word's share of its id comes from the counts of all words. The network adds up an embedding for each of the positions around the masked one, and predicts first
 the token's class (ids are classed by frequency), then the token within its class. It is trained data-parallel: in each
 round every task goes once over the tokens of its share of the documents from common weights, and the weights of all tasks are averaged
 by tokens seen, on the cluster. The score of a document is the sum over all its tokens of the log-probability given their neighbours.
@@ -27,6 +27,7 @@ OWN, SHARED, CLASSES = 512, 512, 32
 REACH, WIDTH, BATCH, RATE = 2, 16, 8192, 0.4
 EDGE = OWN + SHARED  # id of what lies beyond a document's ends
 CHUNK = 4096  # weights that travel together
+KNOWN = 131_072  # words whose counts every task holds; the counts of all others are joined
 
 
 def words(text: str) -> list[str]:
@@ -69,7 +70,9 @@ class Vocabulary(dict):
         return k
 
     def ids(self, text: str) -> np.ndarray:
-        found = words(text)
+        return self.of(words(text))
+
+    def of(self, found: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
@@ -177,13 +180,48 @@ def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     vocabulary: Broadcast
     weights: Broadcast
+    counts: DataFrame  # (word, n) of the whole corpus
+    known: Broadcast  # the counts of the commonest words
+    shared: Broadcast  # of each shared id, the count of all its words
+
+
+def frequent_counts(counts: DataFrame, most: int) -> dict[str, int]:
+    """The counts of the commonest words, ``most`` at most: a histogram by the logarithm tells from which count on they fit."""
+    level = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
+        total += r.words
+        if total > most:
+            break
+        least = r.level
+    return {} if least is None else {r.word: r.n for r in counts.where(level >= least).collect()}
+
+
+def shared_counts(counts: DataFrame, own: list[str]) -> np.ndarray:
+    """The count of all words of each shared id."""
+
+    def work(batches):
+        total, ids_of = np.zeros(SHARED, np.int64), Vocabulary(own)
+        for batch in batches:
+            ids = ids_of.of(batch.column(0).to_pylist())
+            np.add.at(total, ids[ids >= OWN] - OWN, batch.column(1).to_numpy()[ids >= OWN])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARED)), pa.array(total)], names=["id", "n"])
+
+    out = np.zeros(SHARED, np.int64)
+    for r in counts.select("word", "n").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r.id] = r.n
+    return out
 
 
 def train(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Vocabulary and weights from all documents: in round r, those whose id's hash leaves r, so each is seen once."""
     spark = docs.sparkSession
-    top = word_counts(docs, id_col, text_col).orderBy(F.desc("n"), "word").limit(OWN).select("word").collect()
-    vocabulary = spark.sparkContext.broadcast([r.word for r in top])
+    counts = checkpointed(word_counts(docs, id_col, text_col))
+    top = counts.orderBy(F.desc("n"), "word").limit(OWN).select("word").collect()
+    own = [r.word for r in top]
+    vocabulary = spark.sparkContext.broadcast(own)
+    known = spark.sparkContext.broadcast(frequent_counts(counts, KNOWN))
+    shared = spark.sparkContext.broadcast(shared_counts(counts, own))
     net = Network.start()
     rows = texts(docs, id_col, text_col).withColumn("_round", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)))
     for r in range(rounds):
@@ -212,7 +250,7 @@ def train(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: st
         got = checkpointed(means).orderBy("chunk").collect()  # the size of the network
         if got:
             net = net.filled(np.concatenate([np.asarray(x.w, np.float32) for x in got]))
-    return Model(vocabulary, spark.sparkContext.broadcast(net.flat()))
+    return Model(vocabulary, spark.sparkContext.broadcast(net.flat()), counts, known, shared)
 
 
 def _mean(rows: pd.DataFrame) -> pd.DataFrame:
@@ -224,23 +262,44 @@ def _mean(rows: pd.DataFrame) -> pd.DataFrame:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_probability) for every row.
 
-    Whole texts. A null or empty text has no words, likelihood 0 and a null mean; null ids and repeated rows are kept; an
+    A word with a shared id has the probability of the id times n / (1 + the count of all words of the id), where n is the
+    word's count in the corpus; the 1 is left for all words that the corpus does not hold. Whole texts. A null or empty text has no words, likelihood 0 and a null mean; null ids and repeated rows are kept; an
     empty table gives no rows (and trains nothing).
     """
 
+    vocabulary, weights, common, shared = model.vocabulary, model.weights, model.known, model.shared
+
     def work(batches):
-        ids_of, net = Vocabulary(model.vocabulary.value), Network.start().filled(model.weights.value)
+        ids_of, net = Vocabulary(vocabulary.value), Network.start().filled(weights.value)
+        known, all_of = common.value, np.log1p(shared.value)
         for whole in batches:
-            for batch in slices(whole, 1, 500_000):
-                ids = [ids_of.ids(t) for t in batch.column(1).to_pylist()]
+            for batch in slices(whole, 2, 500_000):
+                found = [words(t) for t in batch.column(2).to_pylist()]
+                ids = [ids_of.of(x) for x in found]
                 around, token = contexts(ids)
-                found = [net.log_probability(around[:, a:a + 8192], token[a:a + 8192]) for a in range(0, len(token), 8192)]
+                each = np.concatenate([net.log_probability(around[:, a:a + 8192], token[a:a + 8192]) for a in range(0, len(token), 8192)] + [np.empty(0)])
+                line = [w for x in found for w in x]
+                at = np.flatnonzero(token >= OWN)
+                n = np.fromiter((known.get(line[k], 0) for k in at.tolist()), np.int64, len(at))
+                each[at] += np.log(np.maximum(n, 1)) - all_of[token[at] - OWN]
                 size = np.array([len(x) for x in ids])
-                total = np.concatenate([[0.0], np.cumsum(np.concatenate(found))]) if found else np.zeros(1)
+                total = np.concatenate([[0.0], np.cumsum(each)])
                 ends = np.cumsum(size)
                 summed = total[ends] - total[ends - size]
-                mean = [s / n if n else None for s, n in zip(summed.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.where(size > 0, summed, 0.0)), pa.array(mean, pa.float64())],
-                                                 names=["doc_id", "n_words", "log_likelihood", "mean_log_probability"])
-
-    return texts(docs, id_col, text_col).mapInArrow(work, "doc_id long, n_words long, log_likelihood double, mean_log_probability double")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(np.where(size > 0, summed, 0.0)),
+                                                  pa.nulls(len(size), pa.string())], names=["row", *names, "word"])
+                at = at[n == 0]
+                if len(at):
+                    row = np.repeat(batch.column(0).to_numpy(), size)[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()),
+                                                      pa.array([line[k] for k in at.tolist()], pa.string())], names=["row", *names, "word"])
+
+    names = ["doc_id", "n_words", "log_likelihood"]
+    rows = texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = rows.mapInArrow(work, "row long, doc_id long, n_words long, log_likelihood double, word string")
+    rows = rows.withColumn("word", F.coalesce("word", F.concat(F.lit(" "), "row")))  # no word has a space: documents find nothing, and are spread out
+    counted = rows.join(model.counts.where("n > 1").select("word", "n"), "word", "left")
+    more = F.coalesce(F.sum(F.log("n")), F.lit(0.0))
+    out = counted.groupBy("row").agg(*[F.max(x).alias(x) for x in names], more.alias("more"))
+    likelihood = F.col("log_likelihood") + F.col("more")
+    return out.select("doc_id", "n_words", likelihood.alias("log_likelihood"), F.when(F.col("n_words") > 0, likelihood / F.col("n_words")).alias("mean_log_probability"))

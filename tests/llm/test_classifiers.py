@@ -233,6 +233,23 @@ def test_scores_against_token_by_token(spark):
     assert masked_lm.score(docs.limit(0), masked_lm.train(docs.limit(0))).collect() == []
 
 
+@pytest.mark.parametrize("known", [0, 700, 131_072])
+def test_words_that_share_an_id_are_told_apart(spark, monkeypatch, known):
+    monkeypatch.setattr(masked_lm, "KNOWN", known)
+    line = " ".join([f"c{k}" for k in range(masked_lm.OWN)] * 20)
+    docs = spark.createDataFrame([(1, line), (2, "oneing " * 8 + "twoing " * 2 + "junking")], DOCS)
+    model = masked_lm.train(docs)
+    rows = [(k, f"c1 {w} c2") for k, w in enumerate(["oneing", "twoing", "junking", "unseening"])] + [(0, "c1 oneing c2"), (None, "c1 c2")]
+    got = masked_lm.score(spark.createDataFrame(rows, DOCS), model).collect()
+    assert sorted(((r.doc_id, r.n_words) for r in got), key=repr) == sorted(((i, len(t.split())) for i, t in rows), key=repr)
+    of = {r.doc_id: r.log_likelihood for r in got}
+    net, ids = masked_lm.Network.start().filled(model.weights.value), masked_lm.Vocabulary(model.vocabulary.value).ids("c1 oneing c2").tolist()
+    line = [masked_lm.EDGE] * 2 + ids + [masked_lm.EDGE] * 2
+    plain = net.log_probability(np.array([[line[k], line[k + 1], line[k + 3], line[k + 4]] for k in range(3)]).T, np.array(ids)).sum()
+    for k, n in enumerate([8, 2, 1, 1]):
+        assert of[k] == pytest.approx(plain + np.log(n / 12), abs=1e-3)
+
+
 def test_queries(spark, tables, tmp_path):
     for name, df in zip(("documents", "labels"), tables, strict=True):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
