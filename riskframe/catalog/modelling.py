@@ -130,7 +130,7 @@ def train_lgb_reg(spark, sf):
 
 @query("train_rf_reg")
 def train_rf_reg(spark, sf):
-    return _regressor(spark, sf, "RF_REG", n_estimators=20, max_depth=12)
+    return _regressor(spark, sf, "RF_REG")
 
 
 @query("importance_table")

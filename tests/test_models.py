@@ -139,3 +139,10 @@ def test_tables(spark, loans, tmp_path):
     assert tables.read_table(spark, "loans_view").count() == 400
     tables.write_samples({"a": loans.limit(3)}, str(tmp_path / "s"), ["id"])
     assert tables.read_csv(spark, str(tmp_path / "s" / "a")).count() == 3
+
+
+def test_registered_forest_regression_keeps_its_defaults(monkeypatch):
+    from riskframe.catalog import modelling
+
+    monkeypatch.setattr(modelling, "_regressor", lambda spark, sf, code, **kw: (code, kw))
+    assert modelling.train_rf_reg(None, None) == ("RF_REG", {})
