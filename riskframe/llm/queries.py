@@ -10,6 +10,8 @@ from riskframe.llm import (
     lexicon,
     masked_lm,
     materialise,
+    merkle,
+    oracles,
     packing,
     permutation_index,
     quality,
@@ -82,3 +84,11 @@ def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_itq_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.groups(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = oracles.merkle()
