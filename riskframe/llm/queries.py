@@ -15,6 +15,7 @@ from riskframe.llm import (
     packing,
     permutation_index,
     quality,
+    recompression,
     sharding,
     simhash,
     toxicity,
@@ -86,6 +87,14 @@ def op10_itq_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.groups(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_recompression_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.removed(table(spark, sf_dir, "documents")).drop("ranges")
+
+
+ORACLES["op12_recompression_cut"] = oracles.repeated_windows()
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
