@@ -56,9 +56,9 @@ def repeated_windows(window: int = 50) -> str:
 starts AS (SELECT k, place, w, unnest(range(1, len(w) - {window} + 2)) AS p FROM given),
 windows AS (SELECT k, place, p, md5(array_to_string(w[p:p + {window - 1}], ' ')) AS key FROM starts),
 late AS (SELECT k, p FROM (SELECT k, p, place, min(place) OVER (PARTITION BY key) AS least FROM windows) WHERE least < place),
-gone AS (SELECT DISTINCT k, p + o AS at FROM late CROSS JOIN (SELECT unnest(range(0, {window})) AS o)),
-words AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM given),
-kept AS (SELECT k, string_agg(word, ' ' ORDER BY at) AS text FROM words ANTI JOIN gone USING (k, at) GROUP BY k),
+gone AS (SELECT DISTINCT k, p + o AS spot FROM late CROSS JOIN (SELECT unnest(range(0, {window})) AS o)),
+words AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS spot FROM given),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY spot) AS text FROM words ANTI JOIN gone USING (k, spot) GROUP BY k),
 cut AS (SELECT k, count(*) AS n FROM gone GROUP BY k)
 SELECT g.doc_id, len(g.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256
 FROM given g LEFT JOIN kept t USING (k) LEFT JOIN cut c USING (k)"""
