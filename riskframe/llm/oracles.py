@@ -62,3 +62,30 @@ kept AS (SELECT k, string_agg(word, ' ' ORDER BY spot) AS text FROM words ANTI J
 cut AS (SELECT k, count(*) AS n FROM gone GROUP BY k)
 SELECT g.doc_id, len(g.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256
 FROM given g LEFT JOIN kept t USING (k) LEFT JOIN cut c USING (k)"""
+
+
+def spelling(least_length: int = 7, least_count: int = 2, noise: int = 31, times: int = 10) -> str:
+    """Near words meet where one letter is left out: at the same place for a replacement, or in the other word itself."""
+    capitals = "".join(map(chr, range(65, 91)))
+    return f"""WITH RECURSIVE runs AS (
+  SELECT id, translate(run, '{capitals}', '{capitals.lower()}') AS run, count(*) AS n
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= {least_length} GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32("id || ':' || run")} AS h FROM runs),
+cut AS (SELECT CASE WHEN h % {noise} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= {least_length} GROUP BY word HAVING sum(n) >= {least_count}),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+less AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN less b ON a.word = b.rest
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+known AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.other_n >= {times} * w.n THEN b.other END AS form,
+    CASE WHEN b.other_n >= {times} * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+way AS (
+  SELECT word, word AS root, form AS next FROM known
+  UNION ALL SELECT w.word, k.word, k.form FROM way w JOIN known k ON k.word = w.next)
+SELECT k.word, k.form, w.root, k.n, k.n_near, k.form_n FROM known k JOIN way w ON w.word = k.word AND w.next IS NULL"""

@@ -18,6 +18,7 @@ from riskframe.llm import (
     recompression,
     sharding,
     simhash,
+    spelling,
     toxicity,
 )
 from riskframe.llm.common import table
@@ -87,6 +88,14 @@ def op10_itq_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.groups(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_spelling_variants"] = oracles.spelling()
+
+
 @query
 def op12_recompression_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.removed(table(spark, sf_dir, "documents")).drop("ranges")
