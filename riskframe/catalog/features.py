@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import LI, OR, labelled_orders, line_items, query, r, rounded, table
+from riskframe.catalog.sampling import FOLD, RANKED
 from riskframe.operators import generate, preprocess, sampling
 from riskframe.operators.preprocess import TabularPreprocessor
 
@@ -129,8 +130,7 @@ def encode_ordinal(spark, sf):
     return preprocess.encode_by_table(c, "c_name", codes, "code").select("c_custkey", "code")
 
 
-@query("encode_target", f"""WITH {OR}, f AS (SELECT *, CAST((row_number() OVER (ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)))
-    - 1) % 5 AS INTEGER) AS fold FROM o),
+@query("encode_target", f"""WITH {RANKED}, f AS (SELECT *, {FOLD.format(rank='rn', size='n', k=5)} AS fold FROM rk),
   t AS (SELECT sum(label) AS s, count(*) AS n FROM f), g AS (SELECT fold, sum(label) AS s, count(*) AS n FROM f GROUP BY 1),
   v AS (SELECT o_orderpriority AS p, sum(label) AS s, count(*) AS n FROM f GROUP BY 1),
   vf AS (SELECT o_orderpriority AS p, fold, sum(label) AS s, count(*) AS n FROM f GROUP BY 1, 2)
