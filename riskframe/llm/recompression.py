@@ -227,7 +227,6 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
                                                  names=["doc_id", "doc", "h", "n_words", "sha", "z"])
 
     packed = given.mapInArrow(pack, "doc_id long, doc long, h long, n_words long, sha string, z binary")
-    # placed by (doc, h) from here on, so what is found about a document comes to it and its text stays
     base = checkpointed(packed.join(shared, ["doc", "h"], "left").withColumn("z", F.when(F.col("places").isNotNull(), F.col("z"))))
     suspects = base.where("places IS NOT NULL")
 
@@ -266,7 +265,7 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
                             [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(n, doc)), pa.array(np.full(n, h)), pa.array(np.full(n, span["s1"])),
                              pa.array(np.arange(first, first + n) - span["first"])], names=["k1", "k2", "doc", "h", "s1", "w"])
 
-    lead_texts = suspects.select("doc", "h", "z").join(leads, ["doc", "h"])
+    lead_texts = checkpointed(suspects.select("doc", "h", "z").join(leads, ["doc", "h"]))
     windows = lambda of: of.mapInArrow(lay_out, "k1 long, k2 long, doc long, h long, s1 long, w long")
     some = checkpointed(windows(lead_texts.where(F.pmod(F.col("h"), F.lit(SAMPLE)) == 0)).groupBy("k1").agg(F.count("*").alias("n")))
     total = some.agg(F.sum("n")).first()[0] or 0
@@ -275,9 +274,16 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     if hot.isEmpty():
         group = Window.partitionBy("k1", "k2")
         late = rows.repartition("k1").withColumn("lo", F.min("doc").over(group)).where("doc > lo")
-    else:  # the least documents of the common windows are found beforehand
-        least = checkpointed(rows.join(F.broadcast(hot), "k1", "left_semi").groupBy("k1", "k2").agg(F.min("doc").alias("known")))
-        rows = _spread(rows, ["k1"], hot).join(F.broadcast(least), ["k1", "k2"], "left")  # 64-bit keys of HOT_SHARE hashes
+    else:  # the least documents of the common windows are found beforehand; a task tells one for each window and batch
+        common = np.array(sorted(r[0] for r in hot.collect()), np.int64)  # HOT_SHARE at most
+
+        def least_of(batches):
+            for batch in lay_out(batches):
+                few = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), common))).select(["k1", "k2", "doc"])
+                yield from pa.Table.from_batches([few]).group_by(["k1", "k2"]).aggregate([("doc", "min")]).rename_columns(["k1", "k2", "doc"]).to_batches()
+
+        least = checkpointed(lead_texts.mapInArrow(least_of, "k1 long, k2 long, doc long").groupBy("k1", "k2").agg(F.min("doc").alias("known")))
+        rows = _spread(rows, ["k1"], hot).join(F.broadcast(least), ["k1", "k2"], "left")  # 128-bit hashes for HOT_SHARE 64-bit ones
         group = Window.partitionBy("slot", "k1", "k2")
         late = rows.repartition("slot").withColumn("lo", F.coalesce("known", F.min("doc").over(group))).where("doc > lo")
     late = late.groupBy("doc", "s1").agg(F.collect_list("w").alias("ws"))
