@@ -165,19 +165,25 @@ def mask_keys(masks: list[int]) -> Column:
     return F.array(*[F.xxhash64(F.lit(m), F.col("f0").bitwiseAND(F.lit(m))) for m in masks])
 
 
+def _buckets(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows with ``bucket``, of which the large ones are split into pairs of sub-blocks."""
+    large = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
+    if large.isEmpty():
+        return rows
+    names = [c for c in rows.columns if c != "bucket"]
+    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
+    own = F.pmod(F.xxhash64("f1", "f0"), parts).cast("int")
+    split = (rows.join(large, "bucket").select("bucket", *names, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+             .select(*names, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")))
+    return rows.join(large, "bucket", "left_anti").select(*names, "bucket").unionAll(split)
+
+
 def hamming_links(prints: DataFrame, keys: Column, radius: int, words: int = 1, bucket_rows: int = 4096) -> DataFrame:
     """(a, b): nodes that connect all fingerprints (f0, f1, node) within the radius that share one of the keys, an array of prints.
 
     Fingerprints of one node are connected already, and nothing is said of them.
     """
-    rows = prints.select("f0", "f1", "node", F.explode(keys).alias("bucket"))
-    large = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
-    if not large.isEmpty():
-        parts = F.ceil(F.col("n") / bucket_rows).cast("int")
-        own = F.pmod(F.xxhash64("f1", "f0"), parts).cast("int")
-        split = (rows.join(large, "bucket").select("bucket", "f0", "f1", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-                 .select("f0", "f1", "node", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")))
-        rows = rows.join(large, "bucket", "left_anti").select("f0", "f1", "node", "bucket").unionAll(split)
+    rows = _buckets(prints.select("f0", "f1", "node", F.explode(keys).alias("bucket")), bucket_rows)
 
     def work(batches):
         for group in whole_runs(batches, 3):
@@ -205,11 +211,6 @@ def linked(prints: DataFrame, radius: int, blocks: int, words: int = 1, bucket_r
     return _linked_by(prints, mask_keys(some), mask_keys(others), radius, words, bucket_rows)
 
 
-def linked_by_bands(prints: DataFrame, radius: int, bucket_rows: int = 4096) -> DataFrame:
-    """(node, root) like linked, for (id, f0, f1, bands): of fingerprints within the radius that share a band."""
-    return _linked_by(prints, F.slice("bands", 1, FIRST), F.slice("bands", FIRST + 1, BANDS - FIRST), radius, 2, bucket_rows)
-
-
 def _linked_by(prints: DataFrame, some: Column, others: Column, radius: int, words: int, bucket_rows: int) -> DataFrame:
     """The links of the keys ``some`` come first; the others only have to tell of links between what those left apart, so a
     large group of near copies is not reported once a table.
@@ -280,27 +281,54 @@ def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | N
     return lab
 
 
+def near_clusters(prints: DataFrame, keys: Column, radius: int, bucket_rows: int = 4096) -> DataFrame:
+    """(cluster, id): the rows (id, node, f0, f1) that fingerprints within the radius connect inside a bucket, if they are of several nodes.
+
+    A cluster is named by its rows, so buckets that agree about it give the same cluster.
+    """
+    rows = _buckets(prints.select("f0", "f1", "node", "id", F.explode(keys).alias("bucket")), bucket_rows)
+
+    def work(batches):
+        for group in whole_runs(batches, 4):
+            key, node, name = (group.column(k).to_numpy() for k in (4, 2, 3))
+            f = np.stack([group.column(w).to_numpy().view(np.uint64) for w in (0, 1)], axis=1)
+            lab = local_components(len(key), *close_rows(key, f, radius))
+            order = np.argsort(lab, kind="stable")
+            starts, ends = runs(lab[order])
+            clusters, ids = [], []
+            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                member = order[a:b]
+                if (node[member] != node[member[0]]).any():
+                    mine = np.unique(name[member])
+                    clusters.append(np.full(len(mine), np.uint64(xxhash.xxh64_intdigest(mine.tobytes())).view(np.int64)))
+                    ids.append(mine)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(clusters)), pa.array(np.concatenate(ids))], names=["cluster", "id"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "cluster long, id long").distinct()
+
+
 def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): keys of texts that connect all similar texts within a coarse group. suspects: (t, text, coarse, n)."""
+    """(a, b): ids that connect all similar texts within a cluster of n. suspects: (id, cluster, n, text)."""
     parts = F.ceil(F.col("n") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("t"), parts).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
 
     def shingles(batches):
         for whole in batches:
             for batch in slices(whole, 3):
                 sets = [np.unique(shingle_hashes(x, shingle, SEEDS[0])).tobytes() for x in batch.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["t", "coarse", "n", "set"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["id", "cluster", "n", "set"])
 
-    rows = suspects.select("t", "coarse", "n", "text").mapInArrow(shingles, "t string, coarse long, n long, set binary")
-    rows = (rows.select("t", "set", "coarse", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-            .select(F.concat_ws("/", "coarse", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "t", "set",
+    rows = suspects.select("id", "cluster", "n", "text").mapInArrow(shingles, "id long, cluster long, n long, set binary")
+    rows = (rows.select("id", "set", "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+            .select(F.concat_ws("/", "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "set",
                     (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("inner")))
 
     def work(batches):
         for group in whole_runs(batches, 0):
             for cell in pa.compute.unique(group.column(0)).to_pylist():
                 here = group.filter(pa.compute.equal(group.column(0), cell)) if group.num_rows > 1 else group
-                names, first = np.unique(np.array(here.column(1).to_pylist()), return_index=True)
+                names, first = np.unique(here.column(1).to_numpy(), return_index=True)
                 sets = [np.frombuffer(x, np.uint64) for x in here.column(2).take(pa.array(first)).to_pylist()]
                 second = here.column(3).to_numpy(zero_copy_only=False)[first]
                 inner = here.column(4).to_numpy(zero_copy_only=False)[first]
@@ -308,53 +336,61 @@ def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataF
                 lab = similar_sets(sets, left, right, similarity)
                 member = np.flatnonzero(lab != np.arange(len(names)))
                 if len(member):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[lab[member]].tolist()), pa.array(names[member].tolist())], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[lab[member]]), pa.array(names[member])], names=["a", "b"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a string, b string")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 44, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, with one document of each group of near copies: the one with the least id.
 
-    Candidates share a band of least hashes of their different word shingles and have 128-bit fingerprints of these within
-    ``radius`` bits; at a Jaccard of 0.8 about 7 in 100 million pairs do not (1 in 100,000 for sets of 4 and 5 shingles). Two texts link if their sets of shingles reach the Jaccard ``similarity``, and a group is what links reach.
-    Equal texts always group. Only (id, text) decides: of rows that are equal in both, one stays. Null texts are empty texts,
+    Candidates share a band of least hashes of their different word shingles and have 128-bit fingerprints of these within ``radius`` bits; at
+    a Jaccard of 0.8 about 7 in 100 million pairs do not (1 in 100,000 for sets of 4 and 5 shingles). Within each bucket of a band, the
+    candidates that fingerprints connect are compared shingle by shingle: two texts link if their sets reach the Jaccard ``similarity``, and a
+    group is what links reach. The first bands come first; the others only look at what these left apart.
+    Equal sets of shingles always group, hence equal texts. Only (id, text) decides: of rows that are equal in both, one stays. Null texts are empty texts,
     which group with texts of white space; a null id is the last choice. An empty table gives no rows.
     """
-    key, text = "_near_id", "_near_text"
+    taken = {c.lower() for c in docs.columns}
+    key, text = (next(n for k in range(len(taken) + 1) if (n := f"_near_{base}{k}") not in taken) for base in ("id", "text"))
     named = docs.withColumns({key: docs[id_col].cast("long"), text: F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)})
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col).withColumn("t", F.sha2("text", 256))
 
     def work(batches):
         for whole in batches:
             for batch in slices(whole, 1):
-                out, shared = np.zeros((2, batch.num_rows), np.uint64), []
+                out, shared, sets = np.zeros((2, batch.num_rows), np.uint64), [], []
                 for k, x in enumerate(batch.column(1).to_pylist()):
                     for w, seed in enumerate(SEEDS):
                         hashes = np.unique(shingle_hashes(x, shingle, seed))
                         out[w, k] = simhash(hashes)
                         if not w:
                             shared.append(bands(hashes).view(np.int64))
+                            sets.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)),
-                                                  pa.array(shared, pa.list_(pa.int64())), batch.column(2)], names=["doc_id", "f0", "f1", "bands", "t"])
-
-    prints = checkpointed(rows.withColumn("t", F.sha2("text", 256)).mapInArrow(work, "doc_id long, f0 long, f1 long, bands array<long>, t string"))
-    each = checkpointed(prints.groupBy("t", "f0", "f1", F.xxhash64("bands").alias("set")).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    ids = checkpointed(each.groupBy("f0", "f1", "set").agg(F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
-    coarse = linked_by_bands(ids.drop("set"), radius).select(F.col("node").alias("id"), "root")
-    names = ids.join(coarse, "id", "left").select("f0", "f1", "set", F.coalesce("root", "id").alias("coarse"))
-    each = checkpointed(each.join(names, ["f0", "f1", "set"]).select("t", "doc_id", "coarse"))
-    sizes = checkpointed(each.groupBy("coarse").agg(F.count("*").alias("n")).where("n > 1"))
-    hot = hot_keys(sizes, "coarse", "n", each.count())
-    suspects = checkpointed(lookup(each, sizes, "coarse", hot).where("n > 1"))
-    # by id and key, so that many copies of one text do not meet in one task
-    here = rows.withColumn("t", F.sha2("text", 256)).alias("x").join(
-        suspects.alias("s"), (F.col("x.t") == F.col("s.t")) & F.col("x.doc_id").eqNullSafe(F.col("s.doc_id"))).select("x.t", "x.text", "s.coarse", "s.n")
-    same = components(_linked_texts(here, shingle, similarity)).select(F.col("node").alias("t"), "root")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("m")
-    kept = each.join(same, "t", "left").groupBy(F.coalesce("root", "t").alias("g")).agg(first).select(F.col("m.doc_id").alias("doc_id"), F.col("m.t").alias("t"))
-    kept = checkpointed(kept)
+                                                  pa.array(shared, pa.list_(pa.int64())), batch.column(2), pa.array(sets, pa.binary())],
+                                                 names=["doc_id", "f0", "f1", "bands", "t", "shingles"])
+
+    prints = checkpointed(rows.mapInArrow(work, "doc_id long, f0 long, f1 long, bands array<long>, t string, shingles binary"))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("lead")
+    ids = prints.groupBy("shingles").agg(*[F.first(c).alias(c) for c in ("f0", "f1", "bands")], lead)
+    ids = checkpointed(ids.select("f0", "f1", "bands", "lead").withColumn("id", F.monotonically_increasing_id()))
+
+    def links(nodes: DataFrame, keys: Column) -> DataFrame:
+        found = checkpointed(near_clusters(nodes, keys, radius))
+        sizes = found.groupBy("cluster").agg(F.count("*").alias("n"))  # two sub-blocks of a bucket at most
+        named = found.join(sizes, "cluster").join(ids.select("id", "lead"), "id").alias("s")
+        match = (F.col("x.t") == F.col("s.lead.t")) & F.col("x.doc_id").eqNullSafe(F.col("s.lead.doc_id"))
+        # texts that are equal in both come several times and say the same
+        return _linked_texts(rows.alias("x").join(named, match).select("s.id", "s.cluster", "s.n", "x.text"), shingle, similarity)
+
+    first = components(links(ids.withColumn("node", F.col("id")), F.slice("bands", 1, FIRST)))
+    merged = ids.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("node", F.coalesce("root", "id")).drop("root")
+    second = links(merged, F.slice("bands", FIRST + 1, BANDS - FIRST))
+    same = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(second))
+    kept = ids.join(same.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("lead").alias("m"))
+    kept = checkpointed(kept.select(F.col("m.doc_id").alias("doc_id"), F.col("m.t").alias("t")))
     match = (named[text] == kept["t"]) & named[key].eqNullSafe(kept["doc_id"])
     out = named.join(kept, match, "left_semi")
     if not prints.groupBy("doc_id", "t").count().where("count > 1").isEmpty():  # rows repeated in id and text

@@ -188,3 +188,11 @@ def test_bands_are_shared_by_similarity():
     assert np.mean(agree) == pytest.approx(0.8 ** simhash.ROWS, abs=0.02) and min(agree) > 0
     none = np.empty(0, np.uint64)
     assert (simhash.bands(none) == simhash.bands(none)).all() and len(set(simhash.bands(none).tolist())) == simhash.BANDS
+
+
+def test_one_of_each_along_a_chain(spark):
+    words = [f"w{k}" for k in range(8 * 2000 + 100)]  # only neighbours reach the similarity
+    rows = [(k, " ".join(words[8 * k:8 * k + 100])) for k in range(2000)]
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8 > jaccard(rows[0][1], rows[2][1])
+    kept = simhash.one_of_each(spark.createDataFrame([*rows, (5000, "quite another text")], DOCS).repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 5000]
