@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import query, r, rounded, scratch, table
-from riskframe.operators import evaluate, generate, sampling, scorecard, scoring, tuning
+from riskframe.operators import boosting, evaluate, generate, sampling, scorecard, scoring, tuning
 from riskframe.operators.models import importances, prepare, train
 from riskframe.operators.preprocess import TabularPreprocessor
 from riskframe.plans import training
@@ -128,6 +128,53 @@ def train_lgb_reg(spark, sf):
     return _regressor(spark, sf, "LGB_REG", early_stopping=True)
 
 
+# ---- second-order boosting -----------------------------------------------------------
+
+def _leaves(model, data, label, slope, curve):
+    """One row: rows, base and leaves of the first tree, and how many leaves are not -rate * G / (H + lambda) by sums over their rows."""
+    s = model.settings
+    sums = model.transform(data, leaf=True).groupBy(F.col("leaf").alias("node")).agg(
+        F.sum(slope(F.lit(model.base), F.col(label))).alias("g"), F.sum(curve(F.lit(model.base))).alias("h"), F.count("*").alias("rows"))
+    off = F.abs(F.col("value") + s.learning_rate * F.col("g") / (F.col("h") + s.reg_lambda)) > 1e-6 * (1 + F.abs("value"))
+    first = model.table(data.sparkSession).where("tree = 0 AND feature < 0").select("node", "value", "n")
+    return first.join(sums.drop("n"), "node", "left").agg(
+        F.sum("rows").alias("n_rows"), F.round(F.lit(float(model.base)), 4).alias("base"), F.count("*").alias("leaves"),
+        F.sum((off | (F.col("n") != F.col("rows"))).cast("int")).cast("long").alias("wrong"))
+
+
+def _lines(spark, sf, label):
+    x = [F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")]
+    return table(spark, sf, "lineitem").select(F.array(*x).alias("features"), label.cast("double").alias("label"))
+
+
+@query("boost_leaves", "SELECT count(*) AS n_rows, round(avg(l_extendedprice), 4) AS base, 0 AS wrong FROM lineitem")
+def boost_leaves(spark, sf):
+    df = _lines(spark, sf, F.col("l_extendedprice"))
+    model = boosting.fit(df, boosting.Settings(objective="squared", n_estimators=1))
+    return _leaves(model, df, "label", lambda base, y: base - y, lambda base: F.lit(1.0)).drop("leaves")
+
+
+@query("boost_leafwise", """SELECT count(*) AS n_rows, round(ln(avg((l_returnflag = 'R')::INT) / (1 - avg((l_returnflag = 'R')::INT))), 4) AS base,
+    31 AS leaves, 0 AS wrong FROM lineitem""")
+def boost_leafwise(spark, sf):
+    df = _lines(spark, sf, F.col("l_returnflag") == "R")
+    model = boosting.fit(df, boosting.Settings(n_estimators=1, num_leaves=31, max_depth=None, min_child_samples=20, reg_lambda=0.0, min_child_weight=1e-3))
+    p = lambda base: 1 / (1 + F.exp(-base))
+    return _leaves(model, df, "label", lambda base, y: p(base) - y, lambda base: p(base) * (1 - p(base)))
+
+
+@query("boost_stopped")
+def boost_stopped(spark, sf):
+    """Test metrics of up to 1000 rounds that end after ten without a lower validation loss."""
+    df = checkpointed(sampling.with_split(labelled(spark, sf), ["doc_id"], 0.3, label="label"))
+    ready = prepare(df.where("split = 'train'").drop("split"), "label", "XGB", NUM, TEXT, key="doc_id", early_stopping=True)
+    model = boosting.fit(ready.data, boosting.Settings(patience=10), weight=ready.weight, validation=ready.validation)
+    test = ready.assembler.transform(ready.prep.transform(df.where("split = 'test'"))).select("features", F.col("label").cast("double").alias("label"))
+    scored = model.transform(test)
+    scored = scored.select(F.lit("test").alias("split"), "label", "prediction", vector_to_array("probability")[1].alias("probability"))
+    return evaluate.evaluate_bundle(scored, "classification", "label", "prediction", "probability")
+
+
 @query("train_rf_reg")
 def train_rf_reg(spark, sf):
     return _regressor(spark, sf, "RF_REG")
