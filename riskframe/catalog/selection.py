@@ -138,6 +138,25 @@ def sel_vif(spark, sf):
     return rounded(screening.variance_inflation(line_items(spark, sf), ["qty", "price"]))
 
 
+# coefficients of three, two and one standardised features in closed form from the correlations
+@query("sel_recursive", f"""WITH {LI}, w AS (SELECT qty, disc, tax, price FROM li WHERE qty IS NOT NULL AND disc IS NOT NULL AND tax IS NOT NULL AND price IS NOT NULL),
+  c AS (SELECT corr(qty, disc) AS a, corr(qty, tax) AS b, corr(disc, tax) AS c, corr(qty, price) AS x, corr(disc, price) AS y, corr(tax, price) AS z FROM w),
+  d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c),
+  three AS (SELECT unnest(['qty', 'disc', 'tax']) AS feature, unnest([((1 - c * c) * x + (b * c - a) * y + (a * c - b) * z) / det,
+    ((b * c - a) * x + (1 - b * b) * y + (a * b - c) * z) / det, ((a * c - b) * x + (a * b - c) * y + (1 - a * a) * z) / det]) AS beta FROM d),
+  one AS (SELECT feature, beta FROM three ORDER BY abs(beta) LIMIT 1),
+  two AS (SELECT unnest(CASE one.feature WHEN 'qty' THEN ['disc', 'tax'] WHEN 'disc' THEN ['qty', 'tax'] ELSE ['qty', 'disc'] END) AS feature,
+    unnest(CASE one.feature WHEN 'qty' THEN [(y - c * z) / (1 - c * c), (z - c * y) / (1 - c * c)] WHEN 'disc' THEN [(x - b * z) / (1 - b * b), (z - b * x) / (1 - b * b)]
+      ELSE [(x - a * y) / (1 - a * a), (y - a * x) / (1 - a * a)] END) AS beta FROM one, d),
+  next AS (SELECT feature, beta FROM two ORDER BY abs(beta) LIMIT 1),
+  last AS (SELECT f.feature, CASE f.feature WHEN 'qty' THEN x WHEN 'disc' THEN y ELSE z END AS beta FROM (SELECT feature FROM three
+    EXCEPT SELECT feature FROM one EXCEPT SELECT feature FROM next) f, d)
+  SELECT feature, 3 AS rank, {r('beta')} AS beta, false AS kept FROM one UNION ALL SELECT feature, 2, {r('beta')}, false FROM next
+  UNION ALL SELECT feature, 1, {r('beta')}, true FROM last""")
+def sel_recursive(spark, sf):
+    return rounded(screening.recursive_elimination(line_items(spark, sf), "price", ["qty", "disc", "tax"], 1))
+
+
 # chosen on the training rows by the F test, then counted in both tables
 @query("select_k_best", f"""WITH {LI2.replace('l2 AS', 'l2all AS')}, l2 AS (SELECT * FROM l2all WHERE l_orderkey % 10 < 7),
   {F_CLASS[F_CLASS.index('long AS'):]}

@@ -172,6 +172,52 @@ def correlation_screen(df: DataFrame, cols: Sequence[str], threshold: float = 0.
     return df.sparkSession.createDataFrame(rows, "feature string, max_abs_r double, kept boolean")
 
 
+def sweep(m: np.ndarray, k: int, back: bool = False) -> np.ndarray:
+    """The sweep of a symmetric matrix on its k-th diagonal element, or what undoes it; p x p steps."""
+    out = m - np.outer(m[:, k], m[k]) / m[k, k]
+    sign = -1.0 if back else 1.0
+    out[k], out[:, k] = sign * m[k] / m[k, k], sign * m[:, k] / m[k, k]
+    out[k, k] = -1.0 / m[k, k]
+    return out
+
+
+def recursive_elimination(df: DataFrame, label: str, cols: Sequence[str], keep: int) -> DataFrame:
+    """(feature, rank, beta, kept): least squares on standardised features, without the weakest one after each fit, until ``keep`` are left.
+
+    The weakest has the smallest absolute coefficient ``beta`` (ties: the later column); rank is 1 for those kept, then counts back from the one
+    removed last. Rows with a missing value are left out. Constant columns and those that earlier ones determine go first, with beta 0.
+    The table is read for one matrix of correlations; an elimination then sweeps that matrix and reads nothing.
+    """
+    cols = list(cols)
+    if not 1 <= keep <= len(cols):
+        raise ValueError("keep must be 1 to the number of features")
+    every = [*cols, label]
+    whole = drop_nan(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in every]), every).dropna(subset=[f"`{c}`" for c in every])
+    r = correlations(whole, every)
+    p = len(cols)
+    m = np.eye(p + 1)
+    for i, a in enumerate(every):
+        for j in range(i + 1, p + 1):
+            m[i, j] = m[j, i] = r[a, every[j]] or 0.0
+    constant = {i for i in range(p) if p > 1 and all(r[tuple(every[k] for k in sorted((i, j)))] is None for j in range(p) if j != i)}
+    inside, removed = [], []  # removed: (column, beta), the first one first
+    for k in range(p):
+        if k in constant or m[k, k] < 1e-10:
+            removed.append((k, 0.0))
+        else:
+            m = sweep(m, k)
+            inside.append(k)
+    removed = removed[:p - keep]
+    while len(inside) > keep and len(removed) < p - keep:
+        k = min(inside, key=lambda j: (round(abs(m[j, p]), 12), -j))
+        removed.append((k, float(m[k, p])))
+        m = sweep(m, k, back=True)
+        inside.remove(k)
+    gone = {k: (p - keep + 1 - at, beta) for at, (k, beta) in enumerate(removed)}
+    rows = [(c, *gone[k], False) if k in gone else (c, 1, float(m[k, p]) if k in inside else 0.0, True) for k, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "feature string, rank int, beta double, kept boolean")
+
+
 def variance_inflation(df: DataFrame, cols: Sequence[str], threshold: float = 10.0) -> DataFrame:
     """(feature, vif, kept): the diagonal of the inverse correlation matrix."""
     r = correlations(df, cols)

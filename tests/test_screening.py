@@ -121,3 +121,31 @@ def test_exploration_maps_encoded_columns_back(sample):
     found = explore.explore_features(df, "y", ["age", "score", "holes", "flat"], ["t"], missing_rate_threshold=0.4)
     assert found.sources == ["age", "score", "t"]
     assert found.selector.removed["missing_rate"] == ["holes"] and "flat" in found.selector.removed["variance"]
+
+
+def test_recursive_elimination(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    x[:, 3] = x[:, 0] * 0.9 + 0.3 * x[:, 3]
+    x[:, 5] = 2.0
+    y = x @ [3.0, -0.2, 1.0, 0.5, 0.05, 0.0] + rng.normal(size=400)
+    names = [f"c{k}" for k in range(6)]
+    rows = [(*map(float, v), float(t)) for v, t in zip(x, y, strict=True)]
+    rows += [(None, *[1.0] * 5, 9.0), (*[1.0] * 6, float("nan"))]
+    df = spark.createDataFrame(rows, [*names, "y"]).repartition(3)
+    left, want = [0, 1, 2, 3, 4], {5: 0.0}
+    order = [5]
+    z = (x[:, :5] - x[:, :5].mean(axis=0)) / x[:, :5].std(axis=0)
+    t = (y - y.mean()) / y.std()
+    while len(left) > 2:  # refit every time
+        beta = np.linalg.lstsq(z[:, left], t, rcond=None)[0]
+        k = left[int(np.abs(beta).argmin())]
+        want[k] = beta[np.abs(beta).argmin()]
+        order.append(k)
+        left.remove(k)
+    want.update(zip(left, np.linalg.lstsq(z[:, left], t, rcond=None)[0], strict=True))
+    got = {r.feature: r for r in screening.recursive_elimination(df, "y", names, 2).collect()}
+    assert [got[f"c{k}"].rank for k in order] == [5, 4, 3, 2] and [got[f"c{k}"].kept for k in left] == [True, True]
+    assert all(got[f"c{k}"].beta == pytest.approx(b, abs=1e-9) for k, b in want.items())
+    with pytest.raises(ValueError):
+        screening.recursive_elimination(df, "y", names, 0)
