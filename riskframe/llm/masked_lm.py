@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,56 +112,67 @@ class Network:
             total += self.embed[k][around[k]]
         return np.tanh(total + self.bias)
 
-    def by_class(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        per = EDGE // CLASSES
-        cls = token // per
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if ends[c] < ends[c + 1]:
-                rows = order[ends[c]:ends[c + 1]]
-                yield c, rows, token[rows] % per
+    def by_class(self, token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order that puts the tokens of a class together, and each class with its stretch of that order."""
+        cls = (token // (EDGE // CLASSES)).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")  # a radix sort, as the numbers are small
+        ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token given the ids around it."""
-        h = self.hidden(around)
-        out = log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(token)), token // (EDGE // CLASSES)].astype(np.float64)
-        for c, rows, within in self.by_class(token):
-            out[rows] += log_softmax(h[rows] @ self.to_token[c] + self.token_bias[c])[np.arange(len(rows)), within]
+        per = EDGE // CLASSES
+        order, parts = self.by_class(token)
+        h, met = self.hidden(around[:, order]).T, token[order]
+        here = np.arange(len(token))
+        each = log_softmax(self.to_class.T @ h + self.class_bias[:, None])[met // per, here].astype(np.float64)
+        for c, a, b in parts:
+            each[a:b] += log_softmax(self.to_token[c].T @ h[:, a:b] + self.token_bias[c][:, None])[met[a:b] % per, here[:b - a]]
+        out = np.empty(len(token))
+        out[order] = each
         return out
 
     def learn(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean log-loss of a batch."""
         n, per = len(token), EDGE // CLASSES
-        h = self.hidden(around)
-        p = np.exp(log_softmax(h @ self.to_class + self.class_bias))
-        p[np.arange(n), token // per] -= 1
-        back = p @ self.to_class.T
-        steps = []
-        for c, rows, within in self.by_class(token):
-            mine = h[rows]
-            q = np.exp(log_softmax(mine @ self.to_token[c] + self.token_bias[c]))
-            q[np.arange(len(rows)), within] -= 1
-            back[rows] += q @ self.to_token[c].T
-            steps.append((c, mine.T @ q, q.sum(axis=0)))
+        order, parts = self.by_class(token)
+        around, token, here = around[:, order], token[order], np.arange(n)
+        h = self.hidden(around).T
+        p = softmax(self.to_class.T @ h + self.class_bias[:, None])
+        p[token // per, here] -= 1
+        back = self.to_class @ p
         scale = np.float32(rate / n)
-        self.to_class -= 4 * scale * (h.T @ p)
-        self.class_bias -= 4 * scale * p.sum(axis=0)
-        for c, weight, offset in steps:
-            self.to_token[c] -= 16 * scale * weight
-            self.token_bias[c] -= 16 * scale * offset
+        self.to_class -= 4 * scale * (h @ p.T)
+        self.class_bias -= 4 * scale * p.sum(axis=1)
+        for c, a, b in parts:
+            mine = h[:, a:b]
+            q = softmax(self.to_token[c].T @ mine + self.token_bias[c][:, None])
+            q[token[a:b] % per, here[:b - a]] -= 1
+            back[:, a:b] += self.to_token[c] @ q
+            self.to_token[c] -= 16 * scale * (mine @ q.T)
+            self.token_bias[c] -= 16 * scale * q.sum(axis=1)
         back *= 1 - h * h
-        self.bias -= scale * back.sum(axis=0)
-        back *= 64 * scale  # a row of the embedding is met rarely
+        self.bias -= scale * back.sum(axis=1)
+        back = np.ascontiguousarray(back.T) * (64 * scale)  # a row of the embedding is met rarely
         for k, ids in enumerate(around):
-            order = np.argsort(ids, kind="stable")
-            met, first = np.unique(ids[order], return_index=True)
-            self.embed[k][met] -= np.clip(np.add.reduceat(back[order], first, axis=0), -0.5, 0.5)
+            order = np.argsort(ids.astype(np.uint16), kind="stable")
+            line = ids[order]
+            first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+            self.embed[k][line[first]] -= np.clip(np.add.reduceat(back[order], first, axis=0), -0.5, 0.5)
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Of each column, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Of each column, in place."""
+    x -= x.max(axis=0)
+    x -= np.log(np.exp(x).sum(axis=0))
     return x
 
 
