@@ -27,6 +27,7 @@ REACH, WIDTH, BATCH, RATE = 2, 16, 8192, 0.4
 EDGE = OWN + SHARED  # id of what lies beyond a document's ends
 CHUNK = 4096  # weights that travel together
 KNOWN = 131_072  # words whose counts every task holds; the counts of all others are joined
+BITS = 1 << 25  # of the bitmap that tells words met once, at every size of the corpus
 
 
 def words(text: str) -> list[str]:
@@ -193,6 +194,7 @@ class Model:
     counts: DataFrame  # (word, n) of the whole corpus
     known: Broadcast  # the counts of the commonest words
     shared: Broadcast  # of each shared id, the count of all its words
+    repeated: Broadcast  # bitmap of words met twice or more
 
 
 def frequent_counts(counts: DataFrame, most: int) -> dict[str, int]:
@@ -207,6 +209,16 @@ def frequent_counts(counts: DataFrame, most: int) -> dict[str, int]:
     return {} if least is None else {r.word: r.n for r in counts.where(level >= least).collect()}
 
 
+def repeated_bits(counts: DataFrame) -> np.ndarray:
+    """A bitmap, by crc32, of the words met twice or more. Other words on a set bit cost a look into the table and change no result."""
+    bit = F.crc32(F.col("word").cast("binary")) % F.lit(BITS)
+    cells = counts.where("n > 1").select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
+    found, out = cells.toArrow(), np.zeros(BITS // 64, np.int64)
+    out[found["cell"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
 def shared_counts(counts: DataFrame, own: list[str]) -> np.ndarray:
     """The count of all words of each shared id."""
 
@@ -232,6 +244,7 @@ def train(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: st
     vocabulary = spark.sparkContext.broadcast(own)
     known = spark.sparkContext.broadcast(frequent_counts(counts, KNOWN))
     shared = spark.sparkContext.broadcast(shared_counts(counts, own))
+    repeated = spark.sparkContext.broadcast(repeated_bits(counts))
     net = Network.start()
     rows = texts(docs, id_col, text_col).withColumn("_round", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)))
     for r in range(rounds):
@@ -260,7 +273,7 @@ def train(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: st
         got = checkpointed(means).orderBy("chunk").collect()  # the size of the network
         if got:
             net = net.filled(np.concatenate([np.asarray(x.w, np.float32) for x in got]))
-    return Model(vocabulary, spark.sparkContext.broadcast(net.flat()), counts, known, shared)
+    return Model(vocabulary, spark.sparkContext.broadcast(net.flat()), counts, known, shared, repeated)
 
 
 def _mean(rows: pd.DataFrame) -> pd.DataFrame:
@@ -277,11 +290,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty table gives no rows (and trains nothing).
     """
 
-    vocabulary, weights, common, shared = model.vocabulary, model.weights, model.known, model.shared
+    vocabulary, weights, common, shared, repeated = model.vocabulary, model.weights, model.known, model.shared, model.repeated
 
     def work(batches):
         ids_of, net = Vocabulary(vocabulary.value), Network.start().filled(weights.value)
-        known, all_of = common.value, np.log1p(shared.value)
+        known, all_of, often = common.value, np.log1p(shared.value), repeated.value
         for whole in batches:
             for batch in slices(whole, 2, 500_000):
                 found = [words(t) for t in batch.column(2).to_pylist()]
@@ -299,6 +312,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(np.where(size > 0, summed, 0.0)),
                                                   pa.nulls(len(size), pa.string())], names=["row", *names, "word"])
                 at = at[n == 0]
+                bit = np.fromiter((zlib.crc32(line[k].encode()) for k in at.tolist()), np.int64, len(at)) % BITS
+                at = at[(often[bit >> 6] >> (bit & 63)) & 1 == 1]  # a word met once, or never, adds log 1
                 if len(at):
                     row = np.repeat(batch.column(0).to_numpy(), size)[at]
                     yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()),
