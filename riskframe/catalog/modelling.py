@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import query, r, rounded, scratch, table
-from riskframe.operators import boosting, evaluate, generate, sampling, scorecard, scoring, tuning
+from riskframe.operators import boosting, evaluate, forest, generate, sampling, scorecard, scoring, tuning
 from riskframe.operators.models import importances, prepare, train
 from riskframe.operators.preprocess import TabularPreprocessor
 from riskframe.plans import training
@@ -180,6 +180,30 @@ def train_rf_reg(spark, sf):
     return _regressor(spark, sf, "RF_REG")
 
 
+# a tree without limits ends at rows that cannot be told apart, so it predicts their mean
+@query("forest_cell_means", f"""SELECT {r('avg(l_extendedprice) OVER (PARTITION BY l_quantity, l_discount, l_tax, l_linenumber)', 3)} AS prediction,
+    l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem""")
+def forest_cell_means(spark, sf):
+    x = [F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")]
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array(*x).alias("features"),
+                                             F.col("l_extendedprice").cast("double").alias("label"))
+    model = forest.fit(df, forest.Settings(n_estimators=3, bootstrap=False, max_features=2))
+    return model.transform(df).drop("features", "label").withColumn("prediction", F.round("prediction", 3))
+
+
+# every leaf of a forest of classes that ends early: the rows that reach it, and the share of the class among them
+@query("forest_leaves", "SELECT count(*) AS n_rows, true AS several, 0 AS wrong FROM lineitem")
+def forest_leaves(spark, sf):
+    df = _lines(spark, sf, F.col("l_returnflag") == "R")
+    model = forest.fit(df, forest.Settings("classification", n_estimators=1, bootstrap=False, min_samples_leaf=50, subtree_rows=20_000))
+    scored = model.transform(df).select("label", vector_to_array("probability")[1].alias("p"))
+    shares = scored.groupBy(F.round("p", 9).alias("p")).agg(F.sum("label").alias("hits"), F.count("*").alias("rows"))
+    leaves = model.nodes().where("feature < 0").groupBy(F.round(F.col("value")[1], 9).alias("p")).agg(F.sum("rows").alias("held"), F.count("*").alias("leaves"))
+    off = (F.col("rows") != F.col("held")) | (F.abs(F.col("hits") / F.col("rows") - F.col("p")) > 1e-6) | (F.col("rows") < 50 * F.col("leaves"))
+    return shares.join(leaves, "p", "full").agg(F.sum("rows").alias("n_rows"), (F.sum("leaves") > 1).alias("several"),
+                                                F.sum(F.coalesce(off, F.lit(True)).cast("int")).cast("long").alias("wrong"))
+
+
 @query("importance_table")
 def importance_table(spark, sf):
     model = train(labelled(spark, sf), "label", "RF", NUM, TEXT)

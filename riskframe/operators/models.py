@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators import sampling
+from riskframe.operators import forest, sampling
 from riskframe.operators.neighbours import smote
 from riskframe.operators.preprocess import TabularPreprocessor, TabularPreprocessorModel
 from riskframe.sources.lineage import checkpointed
@@ -25,14 +25,14 @@ from riskframe.sources.lineage import checkpointed
 CLASSIFIERS = ["LR", "XGB", "RF", "LGB", "DT"]
 BOOSTERS = ["XGB", "LGB", "XGB_REG", "LGB_REG"]
 REGRESSORS = ["RIDGE", "XGB_REG", "RF_REG", "LGB_REG"]
-DEEPEST = 30  # Spark's limit for trees, and what an unlimited depth means
+DEEPEST = 30  # Spark's limit for trees; forests without a depth are grown by operators/forest
 
 # Settings of each family besides those with a default. What the estimators have no counterpart for (the boosters' L1 and L2
-# penalties and bagging frequency, a least size for splits, a choice of ridge solver) is refused, not ignored.
+# penalties and bagging frequency, a least size for splits of trees with a depth, a choice of ridge solver) is refused, not ignored.
 MORE_SETTINGS: dict[str, list[str]] = {
     "XGB": ["min_child_weight", "colsample_bytree", "gamma"],
     "XGB_REG": ["min_child_weight", "colsample_bytree", "gamma"],
-    "RF": ["max_features", "bootstrap"], "RF_REG": ["max_features", "bootstrap"],
+    "RF": ["max_features", "bootstrap", "min_samples_split"], "RF_REG": ["max_features", "bootstrap", "min_samples_split"],
     "LGB": ["feature_fraction", "min_split_gain"], "LGB_REG": ["feature_fraction", "min_split_gain"],
 }
 
@@ -97,11 +97,18 @@ def make_estimator(code: str, n_rows: int, label_std: float = 1.0, features: str
     if code == "DT":
         return DecisionTreeClassifier(maxDepth=p["max_depth"],
                                       minInstancesPerNode=p["min_samples_leaf"], **trees)
+    if code in ("RF", "RF_REG") and p["max_depth"] is None:
+        more = {k: p[k] for k in ("max_features", "bootstrap") if k in p}
+        settings = forest.Settings("classification" if code == "RF" else "regression", p["n_estimators"], min_samples_leaf=p["min_samples_leaf"],
+                                   min_samples_split=p.get("min_samples_split", 2), seed=seed, **more)
+        return forest.Forest(settings=settings, weightCol=weight, featuresCol=features, labelCol=label)
+    if "min_samples_split" in p:
+        raise ValueError("a least size for splits needs trees without a depth")
     if code in ("RF", "RF_REG"):
         kind = RandomForestClassifier if code == "RF" else RandomForestRegressor
         extra = {k: v for k, v in (("featureSubsetStrategy", p.get("max_features")), ("bootstrap", p.get("bootstrap")))
                  if v is not None}
-        return kind(numTrees=p["n_estimators"], maxDepth=p["max_depth"] or DEEPEST,
+        return kind(numTrees=p["n_estimators"], maxDepth=p["max_depth"],
                     minInstancesPerNode=p["min_samples_leaf"], **extra, **trees)
     kind = GBTRegressor if code.endswith("_REG") else GBTClassifier
     if code.startswith("LGB"):
