@@ -181,18 +181,18 @@ def train_rf_reg(spark, sf):
 
 
 # a tree without limits ends at rows that cannot be told apart, so it predicts their mean
-@query("forest_cell_means", f"""SELECT {r('avg(l_extendedprice) OVER (PARTITION BY l_quantity, l_discount, l_tax, l_linenumber)', 3)} AS prediction,
+@query("forest_cell_means", f"""SELECT {r('avg(l_extendedprice) OVER (PARTITION BY l_quantity, l_discount, l_tax, l_linenumber)', 7)} AS prediction,
     l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem""")
 def forest_cell_means(spark, sf):
     x = [F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")]
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array(*x).alias("features"),
                                              F.col("l_extendedprice").cast("double").alias("label"))
     model = forest.fit(df, forest.Settings(n_estimators=3, bootstrap=False, max_features=2))
-    return model.transform(df).drop("features", "label").withColumn("prediction", F.round("prediction", 3))
+    return model.transform(df).drop("features", "label").withColumn("prediction", F.round("prediction", 7))
 
 
 # every leaf of a forest of classes that ends early: the rows that reach it, and the share of the class among them
-@query("forest_leaves", "SELECT count(*) AS n_rows, true AS several, 0 AS wrong FROM lineitem")
+@query("forest_leaves", "SELECT count(*) AS n_rows, true AS several, 0::BIGINT AS wrong FROM lineitem")
 def forest_leaves(spark, sf):
     df = _lines(spark, sf, F.col("l_returnflag") == "R")
     model = forest.fit(df, forest.Settings("classification", n_estimators=1, bootstrap=False, min_samples_leaf=50, subtree_rows=20_000))

@@ -2,9 +2,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from riskframe.catalog.registry import LI_NUM, SC, query, r, rounded, scored_items, table
-from riskframe.catalog.selection import COUNTS, TEXT, items
-from riskframe.operators import scorecard, scoring
+from riskframe.catalog.registry import LI_NUM, SC, long_sql, query, r, rounded, scored_items, table
+from riskframe.catalog.selection import COUNTS, LI2, TEXT, items
+from riskframe.operators import binning, scorecard, scoring
 
 WOE_BINS = f"""{COUNTS}, lim AS (SELECT feature, e[2:len(e) - 1] AS c FROM edges),
   wb AS (SELECT w.feature, w.bin, w.good, w.bad, w.woe,
@@ -20,6 +20,33 @@ def woe_bins(spark, sf):
     return rounded(model.bins().select("feature", "bin", "low", "high", "good", "bad", "woe"))
 
 
+# every set of cuts of twelve fine bins, the valid one with the greatest information value
+_SUPERVISED = f"""WITH {LI2}, long AS ({long_sql(LI_NUM, 'l2')}),
+  lim AS (SELECT feature, e[2:len(e) - 1] AS c FROM (SELECT feature, list_sort(list_distinct(quantile_cont(x, {[k / 12 for k in range(13)]}))) AS e
+    FROM long GROUP BY feature)),
+  fine AS (SELECT feature, len(list_filter(c, lambda v: v < x)) AS b, count(*) - sum(label) AS good, sum(label) AS bad FROM long JOIN lim USING (feature)
+    WHERE x IS NOT NULL GROUP BY ALL),
+  known AS (SELECT feature, sum(good) AS tg, sum(bad) AS tb FROM fine GROUP BY feature),
+  masks AS (SELECT feature, unnest(range(0, 1 << len(c))) AS m FROM lim),
+  parts AS (SELECT feature, m, bit_count(m & ((1 << b) - 1)) AS s, sum(good) AS good, sum(bad) AS bad FROM masks JOIN fine USING (feature) GROUP BY ALL),
+  rated AS (SELECT *, bad / (good + bad) AS rate, good > 0 AND bad > 0 AND good + bad >= 0.05 * (tg + tb) AS fits,
+    CASE WHEN good > 0 AND bad > 0 THEN (bad / tb - good / tg) * ln((bad / tb) / (good / tg)) END AS iv FROM parts JOIN known USING (feature)),
+  steps AS (SELECT *, rate - lag(rate) OVER (PARTITION BY feature, m ORDER BY s) AS step FROM rated),
+  best AS (SELECT feature, arg_max(m, iv) AS m FROM (SELECT feature, m, sum(iv) AS iv FROM steps GROUP BY feature, m
+    HAVING bool_and(fits) AND count(*) <= 5 AND (count(*) = 1 OR bool_and(step > 0) OR bool_and(step < 0))) GROUP BY feature),
+  kept AS (SELECT feature, list_filter(c, lambda v, i: (m >> (i - 1)) & 1 = 1) AS c FROM lim JOIN best USING (feature)),
+  whole AS (SELECT feature, count(*) - sum(label) AS ag, sum(label) AS ab FROM long GROUP BY feature)"""
+
+
+@query("woe_bins_supervised", f"""{_SUPERVISED} SELECT feature, CAST(s AS VARCHAR) AS bin, {r('c[s]')} AS low, {r('c[s + 1]')} AS high,
+    CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, {r('ln((bad / ab) / (good / ag))')} AS woe
+  FROM parts JOIN best USING (feature, m) JOIN kept USING (feature) JOIN whole USING (feature)""")
+def woe_bins_supervised(spark, sf):
+    model = binning.fit_woe_supervised(items(spark, sf), "label", LI_NUM, fine=12, bins=5)
+    found = model.bins().where(F.col("bin") != "missing").select("feature", "bin", "low", "high", "good", "bad", "woe")
+    return rounded(found)
+
+
 def _bin_of(c: str) -> str:
     return (f"CASE WHEN {c} IS NULL THEN 'missing' ELSE CAST(len(list_filter((SELECT c FROM lim WHERE feature = '{c}'), "
             f"lambda v: v < {c})) AS VARCHAR) END")
