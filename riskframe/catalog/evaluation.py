@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import SC, query, r, rounded, scored_items, table
-from riskframe.operators import evaluate
+from riskframe.operators import evaluate, permutation
 
 CM = f"""{SC}, cm AS (SELECT model_name, label, prediction, count(*) AS n FROM sc GROUP BY ALL),
   k AS (SELECT DISTINCT model_name, label AS c FROM cm UNION SELECT DISTINCT model_name, prediction FROM cm),
@@ -202,3 +202,30 @@ def auc_by_group_nulls(spark, sf):
         F.when(F.col("user_id") % 4 != 0, F.col("event_type")).alias("grp"), (F.col("event_id") % 3 == 0).cast("int").alias("label"),
         F.when(gap == 1, F.lit(float("nan"))).when(gap > 1, F.col("value")).alias("score"))
     return rounded(evaluate.auc_ks(e, "label", "score", ["grp"]).select("grp", "auc"))
+
+
+# ---- permutation importance of a fixed linear model ----------------------------------
+
+_PLACED = """placed AS (SELECT l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice AS y, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber))) - 1 AS p FROM lineitem)"""
+_PREDICTED = "20000 + 1000.0 * {} + 50000.0 * {} - 10000.0 * {}"
+
+
+def _fallen(k: int, repeat: int) -> str:
+    names = ["x.a", "x.b", "x.c"]
+    names[k] = names[k].replace("x.", "d.")
+    shift = 1 + k * 3 + repeat
+    return (f"SELECT '{('l_quantity', 'l_discount', 'l_tax')[k]}' AS feature, avg(pow({_PREDICTED.format(*names)} - x.y, 2)"
+            f" - pow({_PREDICTED.format('x.a', 'x.b', 'x.c')} - x.y, 2)) / var_pop(x.y) AS fall"
+            f" FROM placed x JOIN placed d ON d.p = (x.p + {shift}) % x.n")
+
+
+@query("permutation_importance", f"""WITH {_PLACED}, falls AS ({' UNION ALL '.join(_fallen(k, i) for k in range(3) for i in range(3))})
+  SELECT feature, {r('avg(fall)')} AS importance_mean, {r('stddev_pop(fall)')} AS importance_std, 3 AS repeats FROM falls GROUP BY feature""")
+def permutation_importance(spark, sf):
+    df = table(spark, sf, "lineitem")
+    names = ["l_quantity", "l_discount", "l_tax"]
+    y = F.lit(20000.0) + 1000.0 * F.col(names[0]) + 50000.0 * F.col(names[1]) - 10000.0 * F.col(names[2])
+    found = permutation.permutation_importance(df, lambda rows: rows.withColumn("prediction", y), "l_extendedprice", names,
+                                               ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "r2", 3)
+    return rounded(found)

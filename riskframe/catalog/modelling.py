@@ -147,7 +147,7 @@ def _lines(spark, sf, label):
     return table(spark, sf, "lineitem").select(F.array(*x).alias("features"), label.cast("double").alias("label"))
 
 
-@query("boost_leaves", "SELECT count(*) AS n_rows, round(avg(l_extendedprice), 4) AS base, 0 AS wrong FROM lineitem")
+@query("boost_leaves", "SELECT count(*) AS n_rows, round(avg(l_extendedprice), 4) AS base, 0::BIGINT AS wrong FROM lineitem")
 def boost_leaves(spark, sf):
     df = _lines(spark, sf, F.col("l_extendedprice"))
     model = boosting.fit(df, boosting.Settings(objective="squared", n_estimators=1))
@@ -155,7 +155,7 @@ def boost_leaves(spark, sf):
 
 
 @query("boost_leafwise", """SELECT count(*) AS n_rows, round(ln(avg((l_returnflag = 'R')::INT) / (1 - avg((l_returnflag = 'R')::INT))), 4) AS base,
-    31 AS leaves, 0 AS wrong FROM lineitem""")
+    31::BIGINT AS leaves, 0::BIGINT AS wrong FROM lineitem""")
 def boost_leafwise(spark, sf):
     df = _lines(spark, sf, F.col("l_returnflag") == "R")
     model = boosting.fit(df, boosting.Settings(n_estimators=1, num_leaves=31, max_depth=None, min_child_samples=20, reg_lambda=0.0, min_child_weight=1e-3))

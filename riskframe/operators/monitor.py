@@ -18,6 +18,7 @@ from riskframe.operators.ordering import running_totals
 
 # Metrics that are better when smaller.
 LOWER_IS_BETTER = ["mse", "rmse", "mae", "mape"]
+KS_EXACT = 10_000
 
 
 # ---- performance ---------------------------------------------------------------------
@@ -48,8 +49,13 @@ def alerts(metrics: DataFrame, thresholds: Mapping[str, float], by: Sequence[str
 # ---- drift ---------------------------------------------------------------------------
 
 def drift_ks(current: DataFrame, reference: DataFrame, cols: Sequence[str] | None = None,
-             threshold: float = 0.05) -> DataFrame:
-    """(feature, n_current, n_reference, ks_statistic, p_value, drift) for numeric columns of both tables."""
+             threshold: float = 0.05, method: str = "asymptotic") -> DataFrame:
+    """(feature, n_current, n_reference, ks_statistic, p_value, drift) for numeric columns of both tables.
+
+    ``method``: "asymptotic", or "auto", the exact p-value of a continuous distribution where neither side has more than KS_EXACT values.
+    """
+    if method not in ("asymptotic", "auto"):
+        raise ValueError(f"unknown method {method!r}")
     if cols is None:
         cols = [c for c in split_by_type(current, current.columns)[0] if c in reference.columns]
     sides = [long_form(drop_nan(t, cols), cols).withColumn("_side", F.lit(i))
@@ -62,9 +68,38 @@ def drift_ks(current: DataFrame, reference: DataFrame, cols: Sequence[str] | Non
                                       F.max(gap).alias("ks_statistic"))
     n, m = F.col("n_current").cast("double"), F.col("n_reference").cast("double")
     p = kolmogorov_p(F.col("ks_statistic") * F.sqrt(F.try_divide(n * m, n + m)))
+    if method == "auto":
+        small = (F.greatest("n_current", "n_reference") <= KS_EXACT) & (F.least("n_current", "n_reference") > 0)
+        fits = [F.when(small, F.col(c)) for c in ("ks_statistic", "n_current", "n_reference")]
+        p = F.when(small, exact_ks_p(*fits)).otherwise(p)  # a row a feature: two long arrays in a task's Python, whatever the rows
     return d.withColumn("p_value", p).withColumn("drift", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
 
 
+def ks_tail(d: float, n: int, m: int) -> float:
+    """The share of orders of n and m values in which the distribution functions come as far apart as ``d``.
+
+    An order is a path on a lattice; the share of paths to a point that stayed inside the band follows from the two points before it. Points of
+    one diagonal are taken together.
+    """
+    far, i = round(d * n * m), np.arange(n + 1)
+    inside = (i == 0).astype(float)
+    if far <= 0:
+        return 1.0
+    for s in range(1, n + m + 1):
+        j = s - i
+        step = inside * j / s
+        step[1:] += inside[:-1] * i[1:] / s
+        inside = np.where((j >= 0) & (j <= m) & (np.abs(i * m - j * n) < far), step, 0.0)
+    return float(min(1.0, max(0.0, 1.0 - inside[n])))
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_ks_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """``ks_tail`` of rows without NULL; called once a feature, not once a row."""
+    return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else ks_tail(a, int(min(b, c)), int(max(b, c))) for a, b, c in zip(d, n, m, strict=True)],
+                     dtype="float64")
+
+
 def kolmogorov_p(x: Column, terms: int = 100) -> Column:
     """Asymptotic two-sided p-value; the series needs no more than 100 terms above 0.2, where it is 1."""
     total = F.aggregate(

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from datetime import datetime, timedelta
@@ -113,3 +114,28 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     assert rows(got) == rows(batch) and got.count() == 6
     perf = stream.windowed_alerts(spark.read.schema(schema).parquet(src), "ts", "model", "y", "p", {"accuracy": 0.99})
     assert perf.count() == 8
+
+
+def test_exact_ks_p_against_all_orders():
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 5)):
+        gaps = []
+        for first in itertools.combinations(range(n + m), n):
+            a, far = 0, 0
+            for k in range(n + m):
+                a += k in first
+                far = max(far, abs(a * m - (k + 1 - a) * n))
+            gaps.append(far)
+        for far in set(gaps):
+            assert monitor.ks_tail(far / n / m, n, m) == pytest.approx(sum(g >= far for g in gaps) / len(gaps), abs=1e-12)
+    assert monitor.ks_tail(0.0, 3, 4) == 1.0
+
+
+def test_exact_ks_p_nears_the_asymptotic(spark):
+    a = spark.range(2000).select((F.col("id") / 2000).alias("x"))
+    b = spark.range(1500).select((F.col("id") / 1500 * 0.96).alias("x"))
+    exact, limit = (monitor.drift_ks(a, b, method=m).first() for m in ("auto", "asymptotic"))
+    assert exact.ks_statistic == limit.ks_statistic and exact.p_value == pytest.approx(limit.p_value, abs=0.02)
+    none = monitor.drift_ks(a, b.withColumn("x", F.lit(None).cast("double")), method="auto").first()
+    assert none.p_value is None and not none.drift
+    with pytest.raises(ValueError):
+        monitor.drift_ks(a, b, method="exact")
