@@ -7,12 +7,13 @@ buckets by shifting the sorted rows against each other, long ones tile by tile w
 tiles are sorted by population count and pairs of tiles that cannot come within the radius are left out. Very large buckets are
 split into pairs of sub-blocks that different tasks compare. A task reports a spanning forest of what it found, never all pairs.
 
-No pigeonhole reaches the wide radius that near copies at a Jaccard of 0.8 need, so their buckets come from bands of least shingle hashes
-(minhash) instead, which sets of shingles share with a probability that grows with their Jaccard similarity.
+No pigeonhole reaches the wide radius that near copies at a Jaccard of 0.8 need, so their 256-bit fingerprints are looked up in tables that
+each name a bucket by a few of the bits (see ``sampled_bits``); what shares a bucket is compared bit by bit, and what is near then by its shingles.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -35,10 +36,14 @@ from riskframe.llm.common import (
 )
 
 SEEDS = (42, 43)  # seeds of the first and the second word
-TILE = 1024
+TILE = 256
 SHORT = 48  # runs up to this length are compared by shifting
-BANDS, ROWS = 32, 4  # buckets by least hashes: a set is in BANDS of them, each made of ROWS least hashes
-FIRST = 4  # bands whose links are merged before the others are looked at
+WIDE = 4  # words of the fingerprints that near copies are found by
+SHIFTS = np.array([w * 0x9E3779B97F4A7C15 % 2**64 for w in range(WIDE)], np.uint64)
+BITS = 8  # bits that name a bucket, of tables with up to 2**BITS * FULL rows
+FULL = 8192  # rows of an average bucket at most; a table of more rows takes more bits, and then there are more tables
+FIRST = 4  # tables whose links are merged before the others are looked at
+BANDS, ROWS = 32, 4  # keys by least hashes: a set has BANDS of them, each made of ROWS least hashes
 
 
 def shingle_spans(text: str, words: int) -> tuple[bytes, list[int], list[int]]:
@@ -70,6 +75,40 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of WIDE words: the first from the hashes, the others from hashes of these."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for k in range(0, len(hashes), 255):  # counts of a part fit in a byte
+        part = hashes[k:k + 255, None] + SHIFTS
+        x = part[:, 1:]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        np.bitwise_xor(x, x >> np.uint64(31), out=part[:, 1:])
+        counts += np.unpackbits(part.view(np.uint8).ravel()).reshape(-1, 64 * WIDE).sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes)).view(np.uint64)
+
+
+def sampled_bits(rows: int, seed: int = 7) -> list[tuple[int, int]]:
+    """(word, mask) for each table: its buckets are named by the bits of the mask in that word of the fingerprint.
+
+    The bits of a word are dealt to tables at random, again and again, so tables of one deal share no bit. Two sets of Jaccard similarity 0.8
+    differ in 15 % of the bits; with 8 bits a bucket and 64 tables they share none with probability 1.3 in a million.
+    """
+    bits = max(BITS, math.ceil(math.log2(max(rows, 1) / FULL)))
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < 16 * (bits - 4):
+        deal = [rng.permutation(64) for _ in range(WIDE)]
+        for k in range(0, 64 - bits + 1, bits):
+            out += [(w, sum(1 << b for b in deal[w][k:k + bits].tolist())) for w in range(WIDE)]
+    return out[:16 * (bits - 4)]
+
+
+def table_keys(tables: list[tuple[int, int]], start: int = 0) -> Column:
+    """The buckets of a fingerprint, one for each table; 32 bits of a hash, as a chance meeting only costs a comparison."""
+    signed = [(w, int(np.uint64(m).view(np.int64))) for w, m in tables]
+    return F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col(f"f{w}").bitwiseAND(F.lit(m))), 32) for k, (w, m) in enumerate(signed, start)])
+
+
 def _orders(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and offsets that order 32-bit hashes anew, once for each least hash."""
     rng = np.random.default_rng(seed)
@@ -80,7 +119,7 @@ FACTORS, OFFSETS = _orders()
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: sets of Jaccard similarity s have equal keys of a band with probability s ** ROWS."""
+    """A key for each band: sets of Jaccard similarity s have equal keys of a band with probability s ** ROWS. The operators do not use them."""
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     for k in range(0, len(short), 512):
@@ -105,34 +144,50 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, id_col: str
     return texts(docs, id_col, text_col).mapInArrow(work, "doc_id long, f0 long, f1 long")
 
 
-def _close_in_tiles(f: np.ndarray, radius: int) -> np.ndarray:
-    """Least connected index of the rows of f (n, words) within a total radius."""
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits of the first two words (the last axis) differ."""
+    gap = np.bitwise_count(x[..., 0] ^ y[..., 0])
+    if x.shape[-1] > 1:
+        gap += np.bitwise_count(x[..., 1] ^ y[..., 1])
+    return gap
+
+
+def _near(f: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of rows that all words leave within the radius."""
+    if f.shape[1] > 2 and len(i):
+        near = np.bitwise_count(f[i] ^ f[j]).sum(axis=1) <= radius
+        i, j = i[near], j[near]
+    return i, j
+
+
+def _close_in_tiles(f: np.ndarray, radius: int, begin: int) -> np.ndarray:
+    """Least connected index of the rows of f (n, words) within a total radius; see close_rows."""
     pop = np.bitwise_count(f[:, 0])
     order = np.argsort(pop, kind="stable")
-    f, pop, n = f[order], pop[order].astype(np.int64), len(f)
+    f, pop, n = np.asfortranarray(f[order]), pop[order].astype(np.int64), len(f)
     lab = np.arange(n)
     for a in range(0, n, TILE):
         for b in range(a, n, TILE):
             if pop[b] - pop[min(a + TILE, n) - 1] > radius:
                 break
-            gap = np.bitwise_count(f[a:a + TILE, 0][:, None] ^ f[b:b + TILE, 0][None, :])
-            i, j = np.nonzero(gap <= radius)
-            if f.shape[1] > 1 and len(i):
-                near = gap[i, j] + np.bitwise_count(f[a + i, 1] ^ f[b + j, 1]) <= radius
-                i, j = i[near], j[near]
-            lab = local_components(n, a + i, b + j, lab)
+            i, j = np.nonzero(_differing(f[a:a + TILE, None], f[None, b:b + TILE]) <= begin)
+            lab = local_components(n, *_near(f, a + i, b + j, radius), lab)
     out = np.empty(n, np.int64)
     out[order] = order[lab]
     return out
 
 
-def close_rows(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that connect, within each run of equal keys, all rows within the radius of each other."""
+def close_rows(key: np.ndarray, f: np.ndarray, radius: int, begin: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect, within each run of equal keys, all rows within the radius of each other.
+
+    ``begin``: with more than two words, how many bits of the first two may differ, the radius by default; the others are only compared then.
+    """
+    begin = radius if begin is None else begin
     starts, ends = runs(key)
     size = ends - starts
     found_i, found_j = [], []
     for a, b in zip(starts[size > SHORT].tolist(), ends[size > SHORT].tolist(), strict=True):
-        lab = _close_in_tiles(f[a:b], radius)
+        lab = _close_in_tiles(f[a:b], radius, begin)
         member = np.flatnonzero(lab != np.arange(b - a))
         found_i.append(a + lab[member])
         found_j.append(a + member)
@@ -140,13 +195,10 @@ def close_rows(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray,
     at = np.flatnonzero(left > 1)
     d = 1
     while len(at):
-        gap = np.bitwise_count(f[at, 0] ^ f[at + d, 0])
-        near = at[gap <= radius]
-        if f.shape[1] > 1 and len(near):
-            total = gap[gap <= radius] + np.bitwise_count(f[near, 1] ^ f[near + d, 1])
-            near = near[total <= radius]
+        near = at[_differing(f[at], f[at + d]) <= begin]
+        near, other = _near(f, near, near + d, radius)
         found_i.append(near)
-        found_j.append(near + d)
+        found_j.append(other)
         d += 1
         at = at[left[at] > d]
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -281,18 +333,21 @@ def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | N
     return lab
 
 
-def near_clusters(prints: DataFrame, keys: Column, radius: int, bucket_rows: int = 4096) -> DataFrame:
-    """(cluster, id): the rows (id, node, f0, f1) that fingerprints within the radius connect inside a bucket, if they are of several nodes.
+def near_clusters(prints: DataFrame, keys: Column, radius: int, begin: int, bucket_rows: int = 2 * FULL) -> DataFrame:
+    """(cluster, id): the rows (id, node, f0, f1 ..) that fingerprints within the radius connect inside a bucket, if they are of several nodes.
 
-    A cluster is named by its rows, so buckets that agree about it give the same cluster.
+    At most ``begin`` bits of the first two words may differ. A null node is the row's id. A cluster is named by its rows, so buckets that agree
+    about it give the same cluster.
     """
-    rows = _buckets(prints.select("f0", "f1", "node", "id", F.explode(keys).alias("bucket")), bucket_rows)
+    words = [f"f{w}" for w in range(WIDE)]
+    rows = _buckets(prints.select(*words, "node", "id", F.explode(keys).alias("bucket")), bucket_rows)
 
     def work(batches):
-        for group in whole_runs(batches, 4):
-            key, node, name = (group.column(k).to_numpy() for k in (4, 2, 3))
-            f = np.stack([group.column(w).to_numpy().view(np.uint64) for w in (0, 1)], axis=1)
-            lab = local_components(len(key), *close_rows(key, f, radius))
+        for group in whole_runs(batches, WIDE + 2):
+            key, name = group.column(WIDE + 2).to_numpy(), group.column(WIDE + 1).to_numpy()
+            node = pa.compute.coalesce(group.column(WIDE), group.column(WIDE + 1)).to_numpy()
+            f = np.stack([group.column(w).to_numpy().view(np.uint64) for w in range(WIDE)], axis=1)
+            lab = local_components(len(key), *close_rows(key, f, radius, begin))
             order = np.argsort(lab, kind="stable")
             starts, ends = runs(lab[order])
             clusters, ids = [], []
@@ -341,14 +396,14 @@ def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataF
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 44, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 76, begin: int = 44,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, with one document of each group of near copies: the one with the least id.
 
-    Candidates share a band of least hashes of their different word shingles and have 128-bit fingerprints of these within ``radius`` bits; at
-    a Jaccard of 0.8 about 7 in 100 million pairs do not (1 in 100,000 for sets of 4 and 5 shingles). Within each bucket of a band, the
-    candidates that fingerprints connect are compared shingle by shingle: two texts link if their sets reach the Jaccard ``similarity``, and a
-    group is what links reach. The first bands come first; the others only look at what these left apart.
+    Candidates are found by 256-bit SimHash fingerprints of their different word shingles: they share a bucket of one of the tables (see
+    ``sampled_bits``) and differ in ``radius`` bits at most, ``begin`` of them in the first half. At a Jaccard of 0.8 about 1 in a million
+    pairs do not (1 in 100,000 for sets of 4 and 5 shingles). Within each bucket, the candidates that fingerprints connect are compared
+    shingle by shingle: two texts link if their sets reach the Jaccard ``similarity``, and a group is what links reach. The first tables come first; the others only look at what these left apart.
     Equal sets of shingles always group, hence equal texts. Only (id, text) decides: of rows that are equal in both, one stays. Null texts are empty texts,
     which group with texts of white space; a null id is the last choice. An empty table gives no rows.
     """
@@ -360,34 +415,34 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     def work(batches):
         for whole in batches:
             for batch in slices(whole, 1):
-                out, shared, sets = np.zeros((2, batch.num_rows), np.uint64), [], []
+                out, size, sets = np.zeros((WIDE, batch.num_rows), np.uint64), [], []
                 for k, x in enumerate(batch.column(1).to_pylist()):
-                    for w, seed in enumerate(SEEDS):
-                        hashes = np.unique(shingle_hashes(x, shingle, seed))
-                        out[w, k] = simhash(hashes)
-                        if not w:
-                            shared.append(bands(hashes).view(np.int64))
-                            sets.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)),
-                                                  pa.array(shared, pa.list_(pa.int64())), batch.column(2), pa.array(sets, pa.binary())],
-                                                 names=["doc_id", "f0", "f1", "bands", "t", "shingles"])
-
-    prints = checkpointed(rows.mapInArrow(work, "doc_id long, f0 long, f1 long, bands array<long>, t string, shingles binary"))
+                    hashes = np.unique(shingle_hashes(x, shingle, SEEDS[0]))
+                    out[:, k] = wide_print(hashes)
+                    size.append(len(hashes))
+                    sets.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in out], pa.array(size, pa.int32()), batch.column(2),
+                                                  pa.array(sets, pa.binary())], names=["doc_id", *words, "size", "t", "shingles"])
+
+    words = [f"f{w}" for w in range(WIDE)]
+    prints = checkpointed(rows.mapInArrow(work, f"doc_id long, {', '.join(f'{w} long' for w in words)}, size int, t string, shingles binary"))
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("lead")
-    ids = prints.groupBy("shingles").agg(*[F.first(c).alias(c) for c in ("f0", "f1", "bands")], lead)
-    ids = checkpointed(ids.select("f0", "f1", "bands", "lead").withColumn("id", F.monotonically_increasing_id()))
+    ids = prints.groupBy("shingles").agg(*[F.first(c).alias(c) for c in (*words, "size")], lead)
+    ids = checkpointed(ids.select(*words, "size", "lead").withColumn("id", F.monotonically_increasing_id()))
+    tables = sampled_bits(ids.count())
+    can_differ = F.col("size") * (1 - similarity) >= similarity - 1e-9  # smaller sets reach the similarity only if they are equal
 
     def links(nodes: DataFrame, keys: Column) -> DataFrame:
-        found = checkpointed(near_clusters(nodes, keys, radius))
+        found = checkpointed(near_clusters(nodes.where(can_differ), keys, radius, begin))
         sizes = found.groupBy("cluster").agg(F.count("*").alias("n"))  # two sub-blocks of a bucket at most
         named = found.join(sizes, "cluster").join(ids.select("id", "lead"), "id").alias("s")
         match = (F.col("x.t") == F.col("s.lead.t")) & F.col("x.doc_id").eqNullSafe(F.col("s.lead.doc_id"))
         # texts that are equal in both come several times and say the same
         return _linked_texts(rows.alias("x").join(named, match).select("s.id", "s.cluster", "s.n", "x.text"), shingle, similarity)
 
-    first = components(links(ids.withColumn("node", F.col("id")), F.slice("bands", 1, FIRST)))
-    merged = ids.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("node", F.coalesce("root", "id")).drop("root")
-    second = links(merged, F.slice("bands", FIRST + 1, BANDS - FIRST))
+    first = components(links(ids.withColumn("node", F.lit(None).cast("long")), table_keys(tables[:FIRST])))
+    merged = ids.join(first.select(F.col("node").alias("id"), F.col("root").alias("node")), "id", "left")
+    second = links(merged, table_keys(tables[FIRST:], FIRST))
     same = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(second))
     kept = ids.join(same.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("lead").alias("m"))
     kept = checkpointed(kept.select(F.col("m.doc_id").alias("doc_id"), F.col("m.t").alias("t")))

@@ -196,3 +196,30 @@ def test_one_of_each_along_a_chain(spark):
     assert jaccard(rows[0][1], rows[1][1]) >= 0.8 > jaccard(rows[0][1], rows[2][1])
     kept = simhash.one_of_each(spark.createDataFrame([*rows, (5000, "quite another text")], DOCS).repartition(4))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 5000]
+
+
+def test_wide_prints_differ_by_the_angle():
+    rng, apart = np.random.default_rng(5), []
+    for _ in range(200):
+        x = rng.integers(0, 2**64, 600, np.uint64)
+        a, b = simhash.wide_print(x[:540]), simhash.wide_print(x[60:])  # Jaccard 0.8
+        assert int(a[0]) == simhash.simhash(x[:540])
+        apart.append(int(np.bitwise_count(a ^ b).sum()))
+    assert np.mean(apart) / 256 == pytest.approx(np.arccos(0.8 * 2 / 1.8) / np.pi, abs=0.01) and max(apart) <= 76
+    assert simhash.wide_print(np.empty(0, np.uint64)).tolist() == [0] * simhash.WIDE
+
+
+def test_candidates_of_near_copies_come_from_their_fingerprints(spark):
+    rng = np.random.default_rng(6)
+    f = rng.integers(0, 2**64, (300, 4), np.uint64)
+    flip = np.packbits(rng.random((300, 256)) < 0.15, axis=1).view(np.uint64)  # as at a Jaccard of 0.8
+    rows = [(k, None, *x) for k, x in enumerate(np.concatenate([f, f ^ flip]).view(np.int64).tolist())]
+    prints = spark.createDataFrame(rows, "id long, node long, f0 long, f1 long, f2 long, f3 long")
+    tables = simhash.sampled_bits(len(rows))
+    assert len(tables) == 64 and all(m.bit_count() == 8 for _, m in tables)
+    assert len(big := simhash.sampled_bits(10**7)) == 112 and all(m.bit_count() == 11 for _, m in big)
+    for bucket_rows in (3, 4096):  # also with buckets that are split
+        found = {}
+        for r in simhash.near_clusters(prints, simhash.table_keys(tables), 76, 44, bucket_rows).collect():
+            found.setdefault(r.cluster, set()).add(r.id)
+        assert sorted(map(sorted, found.values())) == [[k, k + 300] for k in range(300)]
