@@ -221,29 +221,32 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
                     words = x.encode("utf-8", "replace").split()
                     kept = b" ".join(words)
                     n.append(len(words))
-                    sha.append(hashlib.sha256(kept).hexdigest())
+                    sha.append(hashlib.sha256(kept).digest())
                     z.append(squeeze(kept) if len(words) >= window else None)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(z, pa.binary())],
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(z, pa.binary())],
                                                  names=["doc_id", "doc", "h", "n_words", "sha", "z"])
 
-    packed = given.mapInArrow(pack, "doc_id long, doc long, h long, n_words long, sha string, z binary")
-    base = checkpointed(packed.join(shared, ["doc", "h"], "left").withColumn("z", F.when(F.col("places").isNotNull(), F.col("z"))))
-    suspects = base.where("places IS NOT NULL")
-
     def find(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            out = []
-            for doc, h, z, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                spans = stretches(np.array(places, np.int64), window)
-                words = unpack(z).split() if spans else []
-                for first, end in spans:
-                    key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words[first:end + window - 1])), np.int64)
-                    out.append((int(key[0]), int(key[1]), doc, h, first, end))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)],
-                                             names=["s1", "s2", "doc", "h", "first", "end"])
-
-    found = checkpointed(suspects.select("doc", "h", "z", "places").mapInArrow(find, "s1 long, s2 long, doc long, h long, first long, end long").distinct())
+        for whole in batches:
+            for batch in slices(whole, 5, 500_000):
+                out, texts = [], batch.column(5).to_pylist()
+                for z, places in zip(texts, batch.column(6).to_pylist(), strict=True):
+                    spans = stretches(np.array(places, np.int64), window) if places else []
+                    words = unpack(z).split() if spans else []
+                    keys = [np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words[first:end + window - 1])), np.int64).tolist() for first, end in spans]
+                    out.append([[*k, *span] for k, span in zip(keys, spans, strict=True)])
+                z = pa.array([z if x else None for z, x in zip(texts, out, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], z, pa.array(out, pa.list_(pa.list_(pa.int64())))],
+                                                 names=["doc_id", "doc", "h", "n_words", "sha", "z", "spans"])
+
+    # from here on only documents with a candidate stretch carry their text
+    packed = given.mapInArrow(pack, "doc_id long, doc long, h long, n_words long, sha binary, z binary").join(shared, ["doc", "h"], "left")
+    base = checkpointed(packed.select("doc_id", "doc", "h", "n_words", "sha", "z", "places").mapInArrow(
+        find, "doc_id long, doc long, h long, n_words long, sha binary, z binary, spans array<array<long>>"))
+    span = lambda k, name: F.col("span")[k].alias(name)
+    found = checkpointed(base.select("doc", "h", F.explode("spans").alias("span")).select(
+        span(0, "s1"), span(1, "s2"), "doc", "h", span(2, "first"), span(3, "end")).distinct())
     found = found.withColumn("s", F.struct("s1", "s2"))
     classes = checkpointed(found.groupBy("s").agg(F.min(F.struct("doc", "h", "first")).alias("lead"), F.count("*").alias("n")))
     placed = lookup(found, classes, "s", hot_keys(classes, "s", "n", found.count()))
@@ -252,20 +255,30 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     own = placed.where("doc = lead.doc")
     leads = own.where("h = lead.h AND first = lead.first").groupBy("doc", "h").agg(F.collect_set(F.struct("first", "end", "s1")).alias("spans"))
 
+    def trim(batches):
+        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for doc, h, z, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = unpack(z).split()
+                cut = [squeeze(b" ".join(words[x["first"]:x["end"] + window - 1])) for x in spans]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(cut), pa.int64()), pa.array([h] * len(cut), pa.int64()),
+                                                  pa.array([x["s1"] for x in spans], pa.int64()), pa.array(cut, pa.binary())], names=["doc", "h", "s1", "z"])
+
     def lay_out(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for doc, h, z, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, h, s1, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = unpack(z).split()
-                for span in spans:
-                    for first in range(span["first"], span["end"], 65_536):
-                        keys = _window_hashes(words, first, min(first + 65_536, span["end"]), window)
-                        n = len(keys)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(n, doc)), pa.array(np.full(n, h)), pa.array(np.full(n, span["s1"])),
-                             pa.array(np.arange(first, first + n) - span["first"])], names=["k1", "k2", "doc", "h", "s1", "w"])
-
-    lead_texts = checkpointed(suspects.select("doc", "h", "z").join(leads, ["doc", "h"]))
+                total = len(words) - window + 1
+                for first in range(0, total, 65_536):
+                    keys = _window_hashes(words, first, min(first + 65_536, total), window)
+                    n = len(keys)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(n, doc)), pa.array(np.full(n, h)), pa.array(np.full(n, s1)),
+                         pa.array(np.arange(first, first + n))], names=["k1", "k2", "doc", "h", "s1", "w"])
+
+    lead_texts = checkpointed(base.where("z IS NOT NULL").select("doc", "h", "z").join(leads, ["doc", "h"]).mapInArrow(
+        trim, "doc long, h long, s1 long, z binary"))
     windows = lambda of: of.mapInArrow(lay_out, "k1 long, k2 long, doc long, h long, s1 long, w long")
     some = checkpointed(windows(lead_texts.where(F.pmod(F.col("h"), F.lit(SAMPLE)) == 0)).groupBy("k1").agg(F.count("*").alias("n")))
     total = some.agg(F.sum("n")).first()[0] or 0
@@ -300,12 +313,12 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
                     out.append(None if ranges is None else _without(unpack(z).split(), [(r["first"], r["to"]) for r in ranges]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([o and o[0] for o in out], pa.int64()), batch.column(4),
-                     pa.array([o and o[1] for o in out], pa.string()), pa.array([o and o[2] for o in out], pa.list_(pa.list_(pa.int64())))],
+                     pa.array([o and bytes.fromhex(o[1]) for o in out], pa.binary()), pa.array([o and o[2] for o in out], pa.list_(pa.list_(pa.int64())))],
                     names=["doc_id", "n_words", "n_removed", "sha", "cut_sha", "ranges"])
 
     joined = base.join(ranges, ["doc", "h"], "left").select("doc_id", "n_words", "z", "ranges", "sha")
-    done = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, sha string, cut_sha string, ranges array<array<long>>")
-    return done.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"),
+    done = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, sha binary, cut_sha binary, ranges array<array<long>>")
+    return done.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.lower(F.hex(F.coalesce("cut_sha", "sha"))).alias("kept_sha256"),
                        F.coalesce("ranges", F.array().cast("array<array<long>>")).alias("ranges"))
 
 

@@ -105,3 +105,24 @@ def test_removed(spark, tmp_path, monkeypatch, common):
     assert recompression.removed(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
         recompression.removed(docs, window=1000)
+
+
+def test_texts_that_share_nothing_are_not_carried_on(spark, monkeypatch):
+    carried, real = [], recompression.checkpointed
+
+    def noted(df):
+        out = real(df)
+        if {"z", "doc_id"} <= set(out.columns):
+            carried.extend((r.doc_id, r.z is not None) for r in out.select("doc_id", "z").collect())
+        return out
+
+    monkeypatch.setattr(recompression, "checkpointed", noted)
+    rng = random.Random(31)
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(6)]
+    passage = " ".join(f"p{k}" for k in range(30))  # shared symbols, but no window of 50 words
+    rows = [(k, t) for k, t in enumerate(long[:4])] + [(4, f"{long[4]} {passage}"), (5, f"{passage} {long[5]}"), (6, f"start {long[0]}"), (7, "short"), (8, None)]
+    for given in (rows, rows[1:6], rows[7:]):
+        carried.clear()
+        out = recompression.removed(spark.createDataFrame(given, DOCS).repartition(3)).collect()
+        assert sorted((tuple(r)[:4] for r in out), key=repr) == plain(given, 50)
+        assert sorted(k for k, z in carried if z) == ([0, 6] if given is rows else [])
