@@ -303,15 +303,18 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6,
 # ---- near copies with a check of the shingles --------------------------------------------------
 
 CELL = 512  # texts of a side that are compared with each other in one go
+FAR = 100  # bits: sets of Jaccard 0.8 differ in 38 of 256 with a deviation of 6 (48 if they have 4 and 5 shingles), others of nothing in common in 128
 
 
-def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: float) -> np.ndarray:
+def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: float, f: np.ndarray | None = None,
+                 labels: np.ndarray | None = None) -> np.ndarray:
     """Least connected index of each set, by links of Jaccard similarity; pairs that are connected already are not compared.
 
-    ``left`` and ``right`` index the sets of two sides; without right, pairs within left.
+    ``left`` and ``right`` index the sets of two sides; without right, pairs within left. f: fingerprints; what differs in more than FAR bits
+    is not compared. labels: what earlier links gave.
     """
     n, size = len(sets), np.array([len(s) for s in sets])
-    lab = np.arange(n)
+    lab = np.arange(n) if labels is None else labels
     own = right is None
     others = left if own else right
     others = others[np.argsort(size[others], kind="stable")]
@@ -321,6 +324,8 @@ def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | N
         b = np.searchsorted(size[others], np.floor(size[i] / similarity), side="right")
         near = others[a:b]
         near = near[(lab[near] != lab[i]) & (near != i)]
+        if f is not None and len(near):
+            near = near[np.bitwise_count(f[near] ^ f[i]).sum(axis=1) <= FAR]
         if not len(near):
             continue
         mine, flat = sets[i], np.concatenate([sets[j] for j in near.tolist()])
@@ -334,37 +339,42 @@ def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | N
 
 
 def near_clusters(prints: DataFrame, keys: Column, radius: int, begin: int, bucket_rows: int = 2 * FULL) -> DataFrame:
-    """(cluster, id): the rows (id, node, f0, f1 ..) that fingerprints within the radius connect inside a bucket, if they are of several nodes.
+    """(cluster, id): the rows (id, node, f0, f1 ..) of the nodes that fingerprints within the radius connect inside buckets, over all tables.
 
-    At most ``begin`` bits of the first two words may differ. A null node is the row's id. A cluster is named by its rows, so buckets that agree
-    about it give the same cluster.
+    At most ``begin`` bits of the first two words may differ. A null node is the row's id. Buckets only tell which nodes meet, so an id is in one
+    cluster, however many buckets find it; nodes that meet no other are in none.
     """
     words = [f"f{w}" for w in range(WIDE)]
-    rows = _buckets(prints.select(*words, "node", "id", F.explode(keys).alias("bucket")), bucket_rows)
+    rows = _buckets(prints.select(*words, F.coalesce("node", "id").alias("node"), F.explode(keys).alias("bucket")), bucket_rows)
 
     def work(batches):
-        for group in whole_runs(batches, WIDE + 2):
-            key, name = group.column(WIDE + 2).to_numpy(), group.column(WIDE + 1).to_numpy()
-            node = pa.compute.coalesce(group.column(WIDE), group.column(WIDE + 1)).to_numpy()
+        for group in whole_runs(batches, WIDE + 1):
+            key, node = group.column(WIDE + 1).to_numpy(), group.column(WIDE).to_numpy()
             f = np.stack([group.column(w).to_numpy().view(np.uint64) for w in range(WIDE)], axis=1)
             lab = local_components(len(key), *close_rows(key, f, radius, begin))
-            order = np.argsort(lab, kind="stable")
-            starts, ends = runs(lab[order])
-            clusters, ids = [], []
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                member = order[a:b]
-                if (node[member] != node[member[0]]).any():
-                    mine = np.unique(name[member])
-                    clusters.append(np.full(len(mine), np.uint64(xxhash.xxh64_intdigest(mine.tobytes())).view(np.int64)))
-                    ids.append(mine)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(clusters)), pa.array(np.concatenate(ids))], names=["cluster", "id"])
-
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "cluster long, id long").distinct()
+            met = np.unique(np.stack([lab, node], axis=1), axis=0)
+            starts, ends = runs(met[:, 0])
+            lead = np.repeat(met[starts, 1], ends - starts)
+            other = met[:, 1] != lead
+            if other.any():
+                edges = np.unique(np.stack([lead[other], met[other, 1]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    met = components(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long"))
+    met = met.select("node", F.col("root").alias("cluster"))
+    alone = prints.where("node IS NULL").select("id", F.col("id").alias("node")).join(met, "node")
+    merged = prints.where("node IS NOT NULL").select("id", "node")
+    sizes = checkpointed(merged.groupBy("node").agg(F.count("*").alias("n")))
+    hot = hot_keys(sizes, "node", "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return alone.unionByName(lookup(merged, met, "node", hot).where("cluster IS NOT NULL")).select("cluster", "id")
 
 
 def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): ids that connect all similar texts within a cluster of n. suspects: (id, cluster, n, text)."""
+    """(a, b): nodes that connect all similar texts within a cluster of n. suspects: (id, cluster, n, text, node, f0, f1 ..).
+
+    Texts of one node are connected already, and are not compared.
+    """
+    words = [f"f{w}" for w in range(WIDE)]
     parts = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
 
@@ -372,12 +382,13 @@ def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataF
         for whole in batches:
             for batch in slices(whole, 3):
                 sets = [np.unique(shingle_hashes(x, shingle, SEEDS[0])).tobytes() for x in batch.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["id", "cluster", "n", "set"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary()), *batch.columns[4:]], names=["id", "cluster", "n", "set", "node", *words])
 
-    rows = suspects.select("id", "cluster", "n", "text").mapInArrow(shingles, "id long, cluster long, n long, set binary")
-    rows = (rows.select("id", "set", "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = suspects.select("id", "cluster", "n", "text", "node", *words).mapInArrow(
+        shingles, f"id long, cluster long, n long, set binary, node long, {', '.join(f'{w} long' for w in words)}")
+    rows = (rows.select("id", "set", "node", *words, "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
             .select(F.concat_ws("/", "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "set",
-                    (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("inner")))
+                    (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("inner"), "node", *words))
 
     def work(batches):
         for group in whole_runs(batches, 0):
@@ -387,11 +398,15 @@ def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataF
                 sets = [np.frombuffer(x, np.uint64) for x in here.column(2).take(pa.array(first)).to_pylist()]
                 second = here.column(3).to_numpy(zero_copy_only=False)[first]
                 inner = here.column(4).to_numpy(zero_copy_only=False)[first]
+                node = here.column(5).to_numpy()[first]
+                f = np.stack([here.column(6 + w).to_numpy()[first].view(np.uint64) for w in range(WIDE)], axis=1)
                 left, right = (np.arange(len(names)), None) if inner.all() else (np.flatnonzero(~second), np.flatnonzero(second))
-                lab = similar_sets(sets, left, right, similarity)
-                member = np.flatnonzero(lab != np.arange(len(names)))
-                if len(member):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[lab[member]]), pa.array(names[member])], names=["a", "b"])
+                lead, of = np.unique(node, return_index=True, return_inverse=True)[1:]
+                lab = similar_sets(sets, left, right, similarity, f, lead[of])
+                edges = np.unique(np.stack([node[lab], node], axis=1), axis=0)
+                edges = edges[edges[:, 0] != edges[:, 1]]
+                if len(edges):
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long")
 
@@ -402,7 +417,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
 
     Candidates are found by 256-bit SimHash fingerprints of their different word shingles: they share a bucket of one of the tables (see
     ``sampled_bits``) and differ in ``radius`` bits at most, ``begin`` of them in the first half. At a Jaccard of 0.8 about 1 in a million
-    pairs do not (1 in 100,000 for sets of 4 and 5 shingles). Within each bucket, the candidates that fingerprints connect are compared
+    pairs do not (1 in 100,000 for sets of 4 and 5 shingles). The candidates that fingerprints connect, over all tables, are a cluster and are compared
     shingle by shingle: two texts link if their sets reach the Jaccard ``similarity``, and a group is what links reach. The first tables come first; the others only look at what these left apart.
     Equal sets of shingles always group, hence equal texts. Only (id, text) decides: of rows that are equal in both, one stays. Null texts are empty texts,
     which group with texts of white space; a null id is the last choice. An empty table gives no rows.
@@ -433,15 +448,17 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     can_differ = F.col("size") * (1 - similarity) >= similarity - 1e-9  # smaller sets reach the similarity only if they are equal
 
     def links(nodes: DataFrame, keys: Column) -> DataFrame:
-        found = checkpointed(near_clusters(nodes.where(can_differ), keys, radius, begin))
-        sizes = found.groupBy("cluster").agg(F.count("*").alias("n"))  # two sub-blocks of a bucket at most
-        named = found.join(sizes, "cluster").join(ids.select("id", "lead"), "id").alias("s")
+        found = checkpointed(near_clusters(nodes.where(can_differ), keys, radius, begin))  # an id once
+        sizes = checkpointed(found.groupBy("cluster").agg(F.count("*").alias("n")))
+        sized = lookup(found, sizes, "cluster", hot_keys(sizes, "cluster", "n", found.count()))
+        named = sized.join(nodes.select("id", "lead", F.coalesce("node", "id").alias("node"), *words), "id").alias("s")
         match = (F.col("x.t") == F.col("s.lead.t")) & F.col("x.doc_id").eqNullSafe(F.col("s.lead.doc_id"))
         # texts that are equal in both come several times and say the same
-        return _linked_texts(rows.alias("x").join(named, match).select("s.id", "s.cluster", "s.n", "x.text"), shingle, similarity)
+        return _linked_texts(rows.alias("x").join(named, match).select("s.id", "s.cluster", "s.n", "x.text", "s.node", *[f"s.{w}" for w in words]),
+                             shingle, similarity)
 
     first = components(links(ids.withColumn("node", F.lit(None).cast("long")), table_keys(tables[:FIRST])))
-    merged = ids.join(first.select(F.col("node").alias("id"), F.col("root").alias("node")), "id", "left")
+    merged = checkpointed(ids.join(first.select(F.col("node").alias("id"), F.col("root").alias("node")), "id", "left"))
     second = links(merged, table_keys(tables[FIRST:], FIRST))
     same = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(second))
     kept = ids.join(same.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("lead").alias("m"))

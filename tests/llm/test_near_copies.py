@@ -223,3 +223,15 @@ def test_candidates_of_near_copies_come_from_their_fingerprints(spark):
         for r in simhash.near_clusters(prints, simhash.table_keys(tables), 76, 44, bucket_rows).collect():
             found.setdefault(r.cluster, set()).add(r.id)
         assert sorted(map(sorted, found.values())) == [[k, k + 300] for k in range(300)]
+
+
+def test_candidates_of_a_large_group_are_told_once(spark):
+    rng = np.random.default_rng(8)
+    flips = lambda share: np.packbits(rng.random(256) < share).view(np.uint64)
+    f = rng.integers(0, 2**64, 4, np.uint64)
+    rows = [(k, 0 if k < 300 else None, *(f ^ flips(0.02 if k < 300 else 0.15)).view(np.int64).tolist()) for k in range(304)]  # a group, and four near it
+    prints = spark.createDataFrame(rows, "id long, node long, f0 long, f1 long, f2 long, f3 long")
+    keys = simhash.table_keys(simhash.sampled_bits(len(rows)))
+    for bucket_rows in (100, 4096):
+        found = [(r.cluster, r.id) for r in simhash.near_clusters(prints, keys, 76, 44, bucket_rows).collect()]
+        assert sorted(i for _, i in found) == list(range(304)) and len({c for c, _ in found}) == 1  # once, not once a table
