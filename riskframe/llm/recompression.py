@@ -166,6 +166,31 @@ def _window_hashes(words: list[bytes], first: int, end: int, window: int) -> np.
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
+def _windows_of(batches, window: int):
+    """(k1, k2, doc, h, s1, w): the hash of every window of the packed stretches (doc, h, s1, z); stretches are short, many of them make a batch."""
+
+    def out():
+        keys, n = np.concatenate([x[0] for x in held]), [len(x[0]) for x in held]
+        of = [np.repeat(np.array([x[k] for x in held], np.int64), n) for k in (1, 2, 3)]
+        w = np.concatenate([np.arange(x[4], x[4] + len(x[0])) for x in held])
+        columns = np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]), *of, w
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "doc", "h", "s1", "w"])
+
+    unpack, held, rows = zstandard.ZstdDecompressor().decompress, [], 0
+    for batch in batches:
+        for doc, h, s1, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = unpack(z).split()
+            total = len(words) - window + 1
+            for first in range(0, total, 32_768):
+                held.append((_window_hashes(words, first, min(first + 32_768, total), window), doc, h, s1, first))
+                rows += len(held[-1][0])
+                if rows >= 32_768:
+                    yield out()
+                    held, rows = [], 0
+    if held:
+        yield out()
+
+
 def _spread(rows: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
     """Adds ``common`` and ``slot``: rows of common keys are dealt by their document, all others by the key."""
     tagged = rows.withColumn("common", F.lit(False)) if hot is None else rows.join(
@@ -257,25 +282,17 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
 
     def trim(batches):
         unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for doc, h, z, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = unpack(z).split()
-                cut = [squeeze(b" ".join(words[x["first"]:x["end"] + window - 1])) for x in spans]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(cut), pa.int64()), pa.array([h] * len(cut), pa.int64()),
-                                                  pa.array([x["s1"] for x in spans], pa.int64()), pa.array(cut, pa.binary())], names=["doc", "h", "s1", "z"])
+        for whole in batches:
+            for batch in slices(whole, 2, 500_000):
+                out = []
+                for doc, h, z, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    words = unpack(z).split()
+                    out += [(doc, h, x["s1"], squeeze(b" ".join(words[x["first"]:x["end"] + window - 1]))) for x in spans]
+                names, kinds = ["doc", "h", "s1", "z"], [pa.int64()] * 3 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=names)
 
     def lay_out(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for doc, h, s1, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = unpack(z).split()
-                total = len(words) - window + 1
-                for first in range(0, total, 65_536):
-                    keys = _window_hashes(words, first, min(first + 65_536, total), window)
-                    n = len(keys)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(n, doc)), pa.array(np.full(n, h)), pa.array(np.full(n, s1)),
-                         pa.array(np.arange(first, first + n))], names=["k1", "k2", "doc", "h", "s1", "w"])
+        return _windows_of(batches, window)
 
     lead_texts = checkpointed(base.where("z IS NOT NULL").select("doc", "h", "z").join(leads, ["doc", "h"]).mapInArrow(
         trim, "doc long, h long, s1 long, z binary"))
@@ -291,8 +308,15 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         common = np.array(sorted(r[0] for r in hot.collect()), np.int64)  # HOT_SHARE at most
 
         def least_of(batches):
+            hint = np.zeros(65_536, bool)  # by the last bits of the common ones
+            hint[common & 65_535] = True
             for batch in lay_out(batches):
-                few = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), common))).select(["k1", "k2", "doc"])
+                key = batch.column(0).to_numpy()
+                at = np.flatnonzero(hint[key & 65_535])
+                at = at[np.isin(key[at], common)]
+                if not len(at):
+                    continue
+                few = batch.take(pa.array(at)).select(["k1", "k2", "doc"])
                 yield from pa.Table.from_batches([few]).group_by(["k1", "k2"]).aggregate([("doc", "min")]).rename_columns(["k1", "k2", "doc"]).to_batches()
 
         least = checkpointed(lead_texts.mapInArrow(least_of, "k1 long, k2 long, doc long").groupBy("k1", "k2").agg(F.min("doc").alias("known")))

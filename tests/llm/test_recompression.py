@@ -3,7 +3,10 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
 
 from riskframe.llm import oracles, queries, recompression
 from tests.llm.helpers import DOCS, awkward, clashing
@@ -126,3 +129,15 @@ def test_texts_that_share_nothing_are_not_carried_on(spark, monkeypatch):
         out = recompression.removed(spark.createDataFrame(given, DOCS).repartition(3)).collect()
         assert sorted((tuple(r)[:4] for r in out), key=repr) == plain(given, 50)
         assert sorted(k for k, z in carried if z) == ([0, 6] if given is rows else [])
+
+
+def test_windows_of_many_stretches_make_a_batch():
+    rng = random.Random(31)
+    texts = [[f"w{rng.randrange(50)}" for _ in range(rng.randint(50, 90))] for _ in range(300)] + [[f"w{k}" for k in range(70_000)]]
+    packed = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(range(301)), pa.array(range(301)), pa.array(
+        [zstandard.compress(" ".join(x).encode()) for x in texts], pa.binary())], names=["doc", "h", "s1", "z"])
+    out = list(recompression._windows_of([packed], 50))
+    assert len(out) <= 4 and max(b.num_rows for b in out) < 65_536
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    halves = [np.frombuffer(xxhash.xxh3_128_digest(" ".join(x[k:k + 50]).encode()), np.int64).tolist() for x in texts for k in range(len(x) - 49)]
+    assert got == [(*h, d, d, d, k) for h, (d, k) in zip(halves, ((d, k) for d, x in enumerate(texts) for k in range(len(x) - 49)), strict=True)]
