@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -55,25 +56,32 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return texts(docs, id_col, text_col).select("text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Endings(dict):
+    """Shared ids by a word's last letters, remembered as they come, up to a bound."""
+
+    def __missing__(self, end: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        k = self[end] = OWN + zlib.crc32(end.encode("utf-8", "replace")) % SHARED
+        return k
+
+
 class Vocabulary(dict):
-    """Ids of words; words without an id of their own are remembered as they come, up to a bound."""
+    """Ids of words: of the frequent ones as given, of all others by their last letters. Both tables are small and stay in a processor's cache."""
 
     def __init__(self, frequent: list[str]):
         super().__init__({w: k for k, w in enumerate(frequent)})
-        self.frequent = frequent
+        self.endings = Endings()
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-            self.update({w: k for k, w in enumerate(self.frequent)})
-        k = self[word] = OWN + zlib.crc32(word[-3:].encode("utf-8", "replace")) % SHARED
-        return k
+        return self.endings[word[-3:]]
 
     def ids(self, text: str) -> np.ndarray:
         return self.of(words(text))
 
     def of(self, found: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        endings = self.endings
+        return np.fromiter([endings[w[-3:]] if k is None else k for w, k in zip(found, map(self.get, found), strict=True)], np.int64, len(found))
 
 
 @dataclass
@@ -121,14 +129,20 @@ class Network:
         ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
         return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
+    def within(self, h: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """For each column of the hidden layer, in the order of ``by_class``, the scores of all tokens of its class."""
+        out = np.empty((EDGE // CLASSES, h.shape[1]), np.float32)
+        for c, a, b in parts:
+            np.add(self.to_token[c].T @ h[:, a:b], self.token_bias[c][:, None], out=out[:, a:b])
+        return out
+
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token given the ids around it."""
         per = EDGE // CLASSES
         order, parts = self.by_class(token)
         h, met = self.hidden(around.take(order, axis=1)).T, token.take(order)
         each = log_share(self.to_class.T @ h + self.class_bias[:, None], met // per).astype(np.float64)
-        for c, a, b in parts:
-            each[a:b] += log_share(self.to_token[c].T @ h[:, a:b] + self.token_bias[c][:, None], met[a:b] % per)
+        each += log_share(self.within(h, parts), met % per)
         out = np.empty(len(token))
         out[order] = each
         return out
@@ -138,23 +152,25 @@ class Network:
         n, per = len(token), EDGE // CLASSES
         order, parts = self.by_class(token)
         around, token, here = around.take(order, axis=1), token.take(order), np.arange(n)
-        h = self.hidden(around).T
+        rows = self.hidden(around)
+        h = rows.T
         p = softmax(self.to_class.T @ h + self.class_bias[:, None])
         p[token // per, here] -= 1
-        back = self.to_class @ p
+        back = p.T @ self.to_class.T  # a row a token, as the hidden layer lies in memory
         scale = np.float32(rate / n)
         self.to_class -= 4 * scale * (h @ p.T)
         self.class_bias -= 4 * scale * p.sum(axis=1)
+        q = softmax(self.within(h, parts))
+        q[token % per, here] -= 1
         for c, a, b in parts:
-            mine = h[:, a:b]
-            q = softmax(self.to_token[c].T @ mine + self.token_bias[c][:, None])
-            q[token[a:b] % per, here[:b - a]] -= 1
-            back[:, a:b] += self.to_token[c] @ q
-            self.to_token[c] -= 16 * scale * (mine @ q.T)
-            self.token_bias[c] -= 16 * scale * q.sum(axis=1)
-        back *= 1 - h * h
-        self.bias -= scale * back.sum(axis=1)
-        back = np.ascontiguousarray(back.T) * (64 * scale)  # a row of the embedding is met rarely
+            back[a:b] += q[:, a:b].T @ self.to_token[c].T
+            self.to_token[c] -= 16 * scale * (h[:, a:b] @ q[:, a:b].T)
+        self.token_bias[[c for c, _, _ in parts]] -= 16 * scale * np.add.reduceat(q, [a for _, a, _ in parts], axis=1).T
+        np.multiply(rows, rows, out=rows)
+        np.subtract(1, rows, out=rows)
+        back *= rows
+        self.bias -= scale * (np.ones(n, np.float32) @ back)
+        back *= 64 * scale  # a row of the embedding is met rarely
         for k, ids in enumerate(around):
             order = np.argsort(ids.astype(np.uint16), kind="stable")
             line = ids.take(order)
@@ -303,7 +319,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 each = np.concatenate([net.log_probability(around[:, a:a + 8192], token[a:a + 8192]) for a in range(0, len(token), 8192)] + [np.empty(0)])
                 line = [w for x in found for w in x]
                 at = np.flatnonzero(token >= OWN)
-                n = np.fromiter((known.get(line[k], 0) for k in at.tolist()), np.int64, len(at))
+                n = np.fromiter(map(known.get, [line[k] for k in at.tolist()], repeat(0)), np.int64, len(at))
                 each[at] += np.log(np.maximum(n, 1)) - all_of[token[at] - OWN]
                 size = np.array([len(x) for x in ids])
                 total = np.concatenate([[0.0], np.cumsum(each)])

@@ -257,3 +257,23 @@ def test_queries(spark, tables, tmp_path):
     assert queries.op6_toxicity_lexicon(spark, sf).dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
     assert queries.op9_site_quality(spark, sf).count() == 900
     assert queries.op7_masked_likelihood(spark, sf).count() == 900
+
+
+def test_ids_take_small_tables():
+    ids_of = masked_lm.Vocabulary([f"c{k}" for k in range(masked_lm.OWN)])
+    line = [f"c{k}" for k in range(0, 600, 7)] + [f"{a}ing" for a in range(5000)] + ["", "é中文"]
+    own = {f"c{k}": k for k in range(masked_lm.OWN)}
+    want = [own.get(w, masked_lm.OWN + zlib.crc32(w[-3:].encode()) % masked_lm.SHARED) for w in line]
+    assert ids_of.of(line).tolist() == want == [ids_of[w] for w in line]
+    assert len(ids_of) == masked_lm.OWN and len(ids_of.endings) < 100  # rare words are not kept one by one
+
+
+def test_scores_of_all_classes_at_once():
+    rng = np.random.default_rng(3)
+    net, token, around = masked_lm.Network.start(), rng.integers(0, masked_lm.EDGE, 900), rng.integers(0, masked_lm.EDGE + 1, (4, 900))
+    net.token_bias += rng.normal(size=net.token_bias.shape).astype(np.float32)
+    order, parts = net.by_class(token)
+    h = net.hidden(around.take(order, axis=1))
+    per = masked_lm.EDGE // masked_lm.CLASSES
+    want = [h[k] @ net.to_token[c] + net.token_bias[c] for k, c in enumerate(token[order] // per)]
+    assert np.allclose(net.within(h.T, parts), np.stack(want, axis=1), atol=1e-5)
