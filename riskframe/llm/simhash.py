@@ -303,15 +303,13 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6,
 # ---- near copies with a check of the shingles --------------------------------------------------
 
 CELL = 512  # texts of a side that are compared with each other in one go
-FAR = 100  # bits: sets of Jaccard 0.8 differ in 38 of 256 with a deviation of 6 (48 if they have 4 and 5 shingles), others of nothing in common in 128
 
 
-def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: float, f: np.ndarray | None = None,
+def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: float,
                  labels: np.ndarray | None = None) -> np.ndarray:
     """Least connected index of each set, by links of Jaccard similarity; pairs that are connected already are not compared.
 
-    ``left`` and ``right`` index the sets of two sides; without right, pairs within left. f: fingerprints; what differs in more than FAR bits
-    is not compared. labels: what earlier links gave.
+    ``left`` and ``right`` index the sets of two sides; without right, pairs within left. labels: what earlier links gave.
     """
     n, size = len(sets), np.array([len(s) for s in sets])
     lab = np.arange(n) if labels is None else labels
@@ -324,8 +322,6 @@ def similar_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | N
         b = np.searchsorted(size[others], np.floor(size[i] / similarity), side="right")
         near = others[a:b]
         near = near[(lab[near] != lab[i]) & (near != i)]
-        if f is not None and len(near):
-            near = near[np.bitwise_count(f[near] ^ f[i]).sum(axis=1) <= FAR]
         if not len(near):
             continue
         mine, flat = sets[i], np.concatenate([sets[j] for j in near.tolist()])
@@ -370,11 +366,10 @@ def near_clusters(prints: DataFrame, keys: Column, radius: int, begin: int, buck
 
 
 def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): nodes that connect all similar texts within a cluster of n. suspects: (id, cluster, n, text, node, f0, f1 ..).
+    """(a, b): nodes that connect all similar texts within a cluster of n. suspects: (id, cluster, n, text, node).
 
     Texts of one node are connected already, and are not compared.
     """
-    words = [f"f{w}" for w in range(WIDE)]
     parts = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
 
@@ -382,13 +377,12 @@ def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataF
         for whole in batches:
             for batch in slices(whole, 3):
                 sets = [np.unique(shingle_hashes(x, shingle, SEEDS[0])).tobytes() for x in batch.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary()), *batch.columns[4:]], names=["id", "cluster", "n", "set", "node", *words])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary()), batch.column(4)], names=["id", "cluster", "n", "set", "node"])
 
-    rows = suspects.select("id", "cluster", "n", "text", "node", *words).mapInArrow(
-        shingles, f"id long, cluster long, n long, set binary, node long, {', '.join(f'{w} long' for w in words)}")
-    rows = (rows.select("id", "set", "node", *words, "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = suspects.select("id", "cluster", "n", "text", "node").mapInArrow(shingles, "id long, cluster long, n long, set binary, node long")
+    rows = (rows.select("id", "set", "node", "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
             .select(F.concat_ws("/", "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "set",
-                    (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("inner"), "node", *words))
+                    (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("inner"), "node"))
 
     def work(batches):
         for group in whole_runs(batches, 0):
@@ -399,10 +393,9 @@ def _linked_texts(suspects: DataFrame, shingle: int, similarity: float) -> DataF
                 second = here.column(3).to_numpy(zero_copy_only=False)[first]
                 inner = here.column(4).to_numpy(zero_copy_only=False)[first]
                 node = here.column(5).to_numpy()[first]
-                f = np.stack([here.column(6 + w).to_numpy()[first].view(np.uint64) for w in range(WIDE)], axis=1)
                 left, right = (np.arange(len(names)), None) if inner.all() else (np.flatnonzero(~second), np.flatnonzero(second))
                 lead, of = np.unique(node, return_index=True, return_inverse=True)[1:]
-                lab = similar_sets(sets, left, right, similarity, f, lead[of])
+                lab = similar_sets(sets, left, right, similarity, lead[of])
                 edges = np.unique(np.stack([node[lab], node], axis=1), axis=0)
                 edges = edges[edges[:, 0] != edges[:, 1]]
                 if len(edges):
@@ -451,11 +444,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
         found = checkpointed(near_clusters(nodes.where(can_differ), keys, radius, begin))  # an id once
         sizes = checkpointed(found.groupBy("cluster").agg(F.count("*").alias("n")))
         sized = lookup(found, sizes, "cluster", hot_keys(sizes, "cluster", "n", found.count()))
-        named = sized.join(nodes.select("id", "lead", F.coalesce("node", "id").alias("node"), *words), "id").alias("s")
+        named = sized.join(nodes.select("id", "lead", F.coalesce("node", "id").alias("node")), "id").alias("s")
         match = (F.col("x.t") == F.col("s.lead.t")) & F.col("x.doc_id").eqNullSafe(F.col("s.lead.doc_id"))
         # texts that are equal in both come several times and say the same
-        return _linked_texts(rows.alias("x").join(named, match).select("s.id", "s.cluster", "s.n", "x.text", "s.node", *[f"s.{w}" for w in words]),
-                             shingle, similarity)
+        return _linked_texts(rows.alias("x").join(named, match).select("s.id", "s.cluster", "s.n", "x.text", "s.node"), shingle, similarity)
 
     first = components(links(ids.withColumn("node", F.lit(None).cast("long")), table_keys(tables[:FIRST])))
     merged = checkpointed(ids.join(first.select(F.col("node").alias("id"), F.col("root").alias("node")), "id", "left"))
