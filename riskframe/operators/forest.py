@@ -23,7 +23,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -194,11 +194,12 @@ class Rows:
         return Cells.of_rows(self.x, self.y, self.w, classes)
 
 
-def grow(cells: Cells, s: Settings, name: np.ndarray, depth: int = 0, slack: float = 0.0) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def grow(cells: Cells, s: Settings, name: np.ndarray, depth: int = 0, slack: float = 0.0,
+         blind: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """A subtree over some rows, level by level, and the impurity that each feature takes away.
 
     All nodes of a level are split together: a feature's cells (node, value) are sorted and summed, running sums inside a node are its left sides.
-    ``slack``: gains that differ by this share only are equal, where sums depend on the order of partial sums; the first of them counts.
+    ``blind``: a node's features are drawn without a look at which can split it. ``slack``: gains that differ by this share only are equal, where sums depend on the order of partial sums; the first of them counts.
     """
     x, parts, w, held, low, high = cells.x, cells.parts, cells.w, cells.n, cells.low, cells.high
     width, tried = x.shape[1], s.tried(x.shape[1])
@@ -254,7 +255,7 @@ def grow(cells: Cells, s: Settings, name: np.ndarray, depth: int = 0, slack: flo
             cell = hit[where]
             gains[found, f] = best[found]
             cuts[found, f] = _between(values[f][of[cell]], values[f][of[cell + 1]])
-        gains = np.where(_looked_at(names[opened], gains > -np.inf, tried), gains, -np.inf)
+        gains = np.where(_looked_at(names[opened], (gains > -np.inf) | blind, tried), gains, -np.inf)
         feature = (gains >= _nearly(gains.max(axis=1), slack)[:, None]).argmax(axis=1)
         most = gains[np.arange(k), feature]
         split = most > -np.inf
@@ -390,6 +391,50 @@ def fit(data: DataFrame, settings: Settings | None = None, features: str = "feat
                        [t.columns() for t in tops], importance)
 
 
+def counted_cells(data: DataFrame, features: str, label: str, classes: int) -> Cells:
+    """A table of classes as its different features with the rows of each class, in the order of the features, on the driver."""
+    counts = [F.count(F.when(F.col(label) == c, 1)).cast("double").alias(f"c{c}") for c in range(classes)]
+    found = data.groupBy(_features(data, features).alias("x")).agg(*counts).toArrow().combine_chunks()
+    width = len(found.column("x")[0]) if found.num_rows else 0
+    x = _matrix(found.column("x").combine_chunks(), width) if width else np.zeros((found.num_rows, 0))
+    parts = np.column_stack([found.column(f"c{c}").to_numpy() for c in range(classes)])
+    order = np.lexsort(x.T) if width else np.arange(len(x))
+    return _of_counts(x[order], parts[order])
+
+
+def _of_counts(x: np.ndarray, parts: np.ndarray) -> Cells:
+    n = parts.sum(axis=1)
+    return Cells(x, parts, n, n.astype(np.int64), (parts > 0).argmax(axis=1), parts.shape[1] - 1 - (parts > 0)[:, ::-1].argmax(axis=1))
+
+
+def cell_importance(spark: SparkSession, cells: Cells, settings: Settings) -> np.ndarray:
+    """What ``featureImportances`` of a forest of classes says, grown on counted cells, a tree a task.
+
+    As in Spark's forests, a node's features are drawn among all, not among those that can split it. n rows that a sample holds
+    once each on average are in it a Poisson number of times with mean n, so that number is drawn for a cell and class.
+    """
+    s, width = settings, cells.x.shape[1]
+    sent = spark.sparkContext.broadcast((cells.x, cells.parts))
+
+    def trees(batches):
+        for b in batches:
+            for tree in b.column(0).to_pylist():
+                x, parts = sent.value
+                if s.bootstrap:
+                    parts = np.random.default_rng([s.seed, tree]).poisson(parts).astype(float)
+                there = parts.any(axis=1)
+                gains = grow(_of_counts(x[there], parts[there]), s, _named(s.seed, tree, 1), blind=True)[1] if there.any() else np.zeros(width)
+                yield pa.RecordBatch.from_pydict({"tree": [tree], "importance": pa.array([gains.tolist()], pa.list_(pa.float64()))})
+
+    parts = min(s.n_estimators, 4 * spark.sparkContext.defaultParallelism)
+    grown = spark.range(0, s.n_estimators, 1, parts).mapInArrow(trees, "tree long, importance array<double>").orderBy("tree").collect()  # a row a tree
+    sent.unpersist()
+    total = np.zeros(width)
+    for one in (np.array(row["importance"]) for row in grown):
+        total += one / one.sum() if one.sum() > 0 else 0.0
+    return total / total.sum() if total.sum() > 0 else total
+
+
 def _packed(rows: DataFrame, s: Settings, width: int, classes: int, base: float, collapse: bool) -> DataFrame:
     """Blocks of rows (x, y, w, u). With ``collapse`` a block has each x once: with the sums of its rows if all trees see the same rows, else with its rows.
 

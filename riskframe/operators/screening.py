@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.expr import drop_nan, interval_bin, long_form, ratio
 from riskframe.operators.clean import split_by_type
+from riskframe.operators.forest import MOST_CLASSES, Cells, Settings, cell_importance, counted_cells
 from riskframe.operators.ordering import exact_percentiles
 
 MISSING = "missing"
@@ -307,13 +309,48 @@ def top_k(stats: DataFrame, stat: str, order: Sequence[str], k: int) -> DataFram
         "feature", stat, F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+DEPTH, BINS = 10, 32  # of the forests behind importances; the bins are Spark's default
+FEW_ROWS = 250_000  # Spark grows forests on tables up to this size row by row
+CELL_BYTES = 64 << 20
+
+
+def _binned_cells(filled: DataFrame, cols: Sequence[str]) -> Cells | None:
+    """Rows (``_y``, features) in the bins of a forest, counted by class: trees split by bins, so rows of the same bins are alike to them.
+
+    None if there are too few rows to need it, or if the bins leave most rows apart.
+    """
+    names = [f"x{i}" for i in range(len(cols))]
+    rows = filled.select("_y", *[F.col(f"`{c}`").alias(x) for c, x in zip(cols, names, strict=True)])
+    broken = F.max((F.col("_y") != F.floor("_y")).cast("int"))
+    about = rows.agg(F.count("*").alias("n"), F.max("_y").alias("most"), F.min("_y").alias("least"), broken.alias("broken"),
+                     *[F.approx_count_distinct(x).alias(f"d_{x}") for x in names],
+                     *[F.percentile_approx(x, [k / BINS for k in range(1, BINS)], 10_000).alias(f"q_{x}") for x in names]).first()
+    if about["n"] <= FEW_ROWS or about["broken"] or about["least"] < 0 or about["most"] >= MOST_CLASSES:
+        return None
+    few = [x for x in names if about[f"d_{x}"] <= 1.25 * BINS]  # as many values as bins, or about as many
+    values = rows.agg(*[F.collect_set(x).alias(x) for x in few]).first() if few else {}
+    splits = []
+    for x in names:
+        own = np.sort(values[x]) if x in few else np.empty(0)
+        cuts = (own[1:] + own[:-1]) / 2 if 0 < len(own) <= BINS else np.unique(about[f"q_{x}"])
+        splits.append([-math.inf, *(cuts.tolist() or [0.0]), math.inf])
+    binned = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"b_{x}" for x in names]).transform(rows)
+    binned = binned.select("_y", F.array(*[f"b_{x}" for x in names]).alias("_bins"))
+    classes = max(2, int(about["most"]) + 1)
+    n = binned.agg(F.approx_count_distinct(F.xxhash64("_bins"))).first()[0]
+    if n > about["n"] // 2 or n * (len(cols) + classes) * 8 > CELL_BYTES:
+        return None
+    return counted_cells(binned, "_bins", "_y", classes)
+
+
 def model_importance(df: DataFrame, label: str, cols: Sequence[str], threshold: float = 0.01,
                      family: str = "LR", task: str = "classification", trees: int = 100,
                      seed: int = 42) -> DataFrame:
     """(feature, importance, kept) from a forest or from absolute linear coefficients.
 
     Missing values are filled with the median first (0 if a column has none at all), as in training; only rows without
-    a label are left out.
+    a label are left out. A forest of classes over more than FEW_ROWS rows is grown on the counts of their bins, where most rows share
+    these; it draws its samples and features from other numbers than Spark's forest does, from the same distributions.
     """
     rows = drop_nan(df.where(F.col(label).isNotNull()), cols)
     middle = exact_percentiles(rows, cols, [0.5])
@@ -322,9 +359,12 @@ def model_importance(df: DataFrame, label: str, cols: Sequence[str], threshold:
     data = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(filled).select("_v", "_y")
     forest = family.upper() in ("RF", "XGB", "LGB")
     opts = {"featuresCol": "_v", "labelCol": "_y"}
-    if forest:
+    if forest and task == "classification" and (cells := _binned_cells(filled, cols)) is not None:
+        settings = Settings("classification", trees, max_depth=DEPTH, max_features=math.ceil(math.sqrt(len(cols))), seed=seed)
+        scores = cell_importance(df.sparkSession, cells, settings)
+    elif forest:
         kind = RandomForestClassifier if task == "classification" else RandomForestRegressor
-        scores = kind(numTrees=trees, maxDepth=10, seed=seed, **opts).fit(data).featureImportances.toArray()
+        scores = kind(numTrees=trees, maxDepth=DEPTH, maxBins=BINS, seed=seed, **opts).fit(data).featureImportances.toArray()
     elif task == "classification":
         n = data.count()
         model = LogisticRegression(regParam=1.0 / n, standardization=False, **opts).fit(data)

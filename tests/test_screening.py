@@ -2,9 +2,11 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from riskframe.operators import screening
+from riskframe.operators import forest, screening
 from riskframe.plans import explore
 from tests.conftest import rows
 
@@ -149,3 +151,23 @@ def test_recursive_elimination(spark):
     assert all(got[f"c{k}"].beta == pytest.approx(b, abs=1e-9) for k, b in want.items())
     with pytest.raises(ValueError):
         screening.recursive_elimination(df, "y", names, 0)
+
+
+def test_importance_of_many_rows_is_grown_on_counted_bins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame({"a": rng.integers(0, 12, 4000) * 1.0, "b": rng.integers(0, 40, 4000) / 7, "flat": 2.0, "c": rng.integers(0, 3, 4000) * 1.0})
+    df = spark.createDataFrame(x.assign(y=(x["a"] + 0.2 * x["b"] + rng.normal(size=4000) > 6).astype(int))).repartition(3)
+    cols = list(x.columns)
+    slow = {r["feature"]: r["importance"] for r in screening.model_importance(df, "y", cols, family="RF").collect()}
+    seen = []
+    monkeypatch.setattr(screening, "FEW_ROWS", 100)
+    monkeypatch.setattr(screening, "cell_importance", lambda s, cells, settings: seen.append(cells) or forest.cell_importance(s, cells, settings))
+    got = screening.model_importance(df, "y", cols, family="RF").collect()
+    assert len(seen) == 1 and len(seen[0].x) <= 12 * 32 * 3 and seen[0].parts.sum() == 4000
+    fast = {r["feature"]: r["importance"] for r in got}
+    assert list(fast) == cols and sum(fast.values()) == pytest.approx(1)
+    assert fast["flat"] == 0 and all(abs(fast[c] - slow[c]) < 0.05 for c in cols)
+    assert got == screening.model_importance(df.repartition(5), "y", cols, family="RF").collect()
+    apart = df.withColumn("a", F.rand(1)).withColumn("b", F.rand(2)).withColumn("c", F.rand(3))  # bins tell all rows apart: Spark's forest
+    screening.model_importance(apart, "y", cols, family="RF", trees=2)
+    assert len(seen) == 2
