@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
@@ -13,6 +13,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from riskframe.sources.lineage import checkpointed
 CLASSIFIERS = ["LR", "XGB", "RF", "LGB", "DT"]
 BOOSTERS = ["XGB", "LGB", "XGB_REG", "LGB_REG"]
 REGRESSORS = ["RIDGE", "XGB_REG", "RF_REG", "LGB_REG"]
+FEW_ROWS = 250_000  # boosters fit tables up to this size row by row
 DEEPEST = 30  # Spark's limit for trees; forests without a depth are grown by operators/forest
 
 # Settings of each family besides those with a default. What the estimators have no counterpart for (the boosters' L1 and L2
@@ -156,6 +158,25 @@ class Prepared:
     weight: str | None
     validation: str | None
 
+    def collapsed(self, code: str, **params) -> Prepared:
+        """With one weighted row for each different feature vector, if a boosted regression of least squares cannot tell the difference.
+
+        Sums of squares around means fall by the same amount with every split, whether or not rows of equal features, which no split parts, are
+        replaced by their mean label; so do residuals, which are linear in it. It takes that all rows and features are used and that a leaf may hold
+        a single row; and it is done for large tables only, where at least half the rows repeat their features.
+        """
+        p = {**DEFAULTS[code], **{k: v for k, v in params.items() if v is not None}}
+        shares = [p.get(c, 1.0) for c in ("subsample", "bagging_fraction", "colsample_bytree", "feature_fraction")]
+        least = p.get("min_child_samples", p.get("min_child_weight", 1))
+        if code not in BOOSTERS or task_of(code) != "regression" or self.validation or self.weight or min(shares) < 1 or least >= 2:
+            return self
+        x = vector_to_array("features")
+        about = self.data.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(x)).alias("distinct")).first()
+        if about["n"] <= FEW_ROWS or about["distinct"] > about["n"] // 2:
+            return self
+        cells = self.data.groupBy(x.alias("x")).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("_weight"))
+        return replace(self, data=cells.select(array_to_vector("x").alias("features"), "label", "_weight"), weight="_weight")
+
     def fit(self, code: str, seed: int = 42, **params) -> PipelineModel:
         """One model that scores raw tables; balancing is not part of it."""
         settings = {k: v for k, v in params.items() if k != "class_weight"}
@@ -213,10 +234,12 @@ def train(df: DataFrame, label: str, code: str, numeric: Sequence[str], text: Se
     The needed columns are cached (on disk, if memory is short) while parameters are learnt,
     and the prepared table while the model is fitted.
     """
-    table = df.select(*dict.fromkeys([label, *numeric, *text, *([key] if key else [])])).persist()
+    keyed = key and (early_stopping or sampler not in (None, "none"))  # nothing else looks at the key
+    table = df.select(*dict.fromkeys([label, *numeric, *text, *([key] if keyed else [])])).persist()
     try:
         ready = prepare(table, label, code, numeric, text, key, sampler, early_stopping, seed, preprocess,
                         params.get("class_weight", "default"))
+        ready = ready.collapsed(code, **params)
         ready.data.persist()
         try:
             return ready.fit(code, seed, **params)

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import numpy as np
@@ -146,3 +147,27 @@ def test_registered_forest_regression_keeps_its_defaults(monkeypatch):
 
     monkeypatch.setattr(modelling, "_regressor", lambda spark, sf, code, **kw: (code, kw))
     assert modelling.train_rf_reg(None, None) == ("RF_REG", {})
+
+
+def test_boosted_regression_of_many_rows_is_fitted_on_different_features(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(str(i), a := rng.randrange(6) * 1.0, b := rng.randrange(5) * 1.0, rng.choice("uv"), 3 * a - b * b + rng.gauss(0, 1)) for i in range(900)]
+    df = spark.createDataFrame(data + [("none", 1.0, None, "u", None)], "k string, a double, b double, t string, y double").repartition(3)
+    fitted = []
+    whole = models.make_estimator
+    monkeypatch.setattr(models, "make_estimator", lambda *args, **kw: fitted.append(kw["weight"]) or whole(*args, **kw))
+
+    def predicted(**more):
+        model = models.train(df, "y", "XGB_REG", ["a", "b"], ["t"], key="k", n_estimators=6, max_depth=3, **more)
+        return [r["prediction"] for r in model.transform(df.where("y is not null")).orderBy("k").collect()]
+
+    slow = predicted()
+    monkeypatch.setattr(models, "FEW_ROWS", 100)
+    assert predicted() == pytest.approx(slow, abs=1e-8) and fitted == [None, "_weight"]
+    predicted(subsample=0.5)  # samples and leaves of a least size are of rows
+    predicted(min_child_weight=5)
+    predicted(early_stopping=True)
+    assert fitted[2:] == [None] * 3
+    ready = models.prepare(df, "y", "XGB_REG", ["a", "b"], ["t"])
+    cells = ready.collapsed("XGB_REG").data
+    assert cells.count() <= 6 * 5 * 2 and cells.agg({"_weight": "sum"}).first()[0] == 900
