@@ -324,6 +324,14 @@ def _matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
     return np.where(np.isnan(x), -np.inf, x)
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A name like this that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _features(df: DataFrame, features: str):
     return vector_to_array(features) if df.schema[features].dataType.typeName() != "array" else F.col(features).cast("array<double>")
 
@@ -721,14 +729,15 @@ class ForestModel(Model, MLWritable, MLReadable):
             kinds = {"rawPrediction": "array<double>", "probability": "array<double>"} if self.classes else {}
             return df.withColumns({**{c: array_to_vector(F.lit(None).cast(t)) for c, t in kinds.items()}, "prediction": F.lit(None).cast("double")})
         size = self.subtrees.agg(F.sum(F.col("nodes") * (20 + 8 * k))).first()[0] or 0
-        mean = self._by_broadcast(df, k) if size <= self.broadcast_bytes else self._by_join(df, k)
+        name = _free(df, "_forest")
+        mean = self._by_broadcast(df, k, name) if size <= self.broadcast_bytes else self._by_join(df, k, name)
+        p = F.col(name)
         if not self.classes:
-            return mean.withColumn("prediction", F.col("_forest")[0]).drop("_forest")
-        p = F.col("_forest")
+            return mean.withColumn("prediction", p[0]).drop(name)
         return mean.withColumns({"rawPrediction": array_to_vector(F.transform(p, lambda v: v * len(self.tops))), "probability": array_to_vector(p),
-                                 "prediction": (F.array_position(p, F.array_max(p)) - 1).cast("double")}).drop("_forest")
+                                 "prediction": (F.array_position(p, F.array_max(p)) - 1).cast("double")}).drop(name)
 
-    def _by_broadcast(self, df: DataFrame, k: int) -> DataFrame:
+    def _by_broadcast(self, df: DataFrame, k: int, name: str) -> DataFrame:
         width, tops = self.width, self.tops
         rows = self.subtrees.select("tree", "node", "feature", "threshold", "left", "right", "value").collect()  # its size was checked
         sent = df.sparkSession.sparkContext.broadcast([(r["tree"], r["node"], *(bytes(r[c]) for c in ("feature", "threshold", "left", "right", "value")))
@@ -754,23 +763,36 @@ class ForestModel(Model, MLWritable, MLReadable):
                 yield pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
         apply = arrow_udf(apply, "array<double>")
-        return df.withColumn("_forest", apply(_features(df, self.features)))
+        return df.withColumn(name, apply(_features(df, self.features)))
 
-    def _by_join(self, df: DataFrame, k: int) -> DataFrame:
+    def _by_join(self, df: DataFrame, k: int, name: str) -> DataFrame:
         """Blocks of rows meet the subtrees they end in; only sums come back to the rows."""
         width, tops = self.width, self.tops
-        df = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must not change
+        own = _free(df, "_row")
+        df = checkpointed(df.withColumn(own, F.monotonically_increasing_id()))  # the numbers must not change
 
         def deal(batches):
+            def out(held):
+                ids, m = (np.concatenate(c) for c in zip(*held, strict=True))
+                for tree, top in enumerate(tops):
+                    at = ends_at(top, m)
+                    order = np.argsort(at, kind="stable")
+                    ends = np.flatnonzero(np.append(np.diff(at[order]) != 0, True)) + 1
+                    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                        yield pa.RecordBatch.from_pylist([{"tree": tree, "node": int(at[order[a]]), "ids": ids[order[a:b]].tobytes(), "x": m[order[a:b]].tobytes()}])
+
+            held, size = [], 0  # each block brings its subtree along once more, so blocks are large
             for b in batches:
                 known = np.flatnonzero(~b.column(1).is_null().to_numpy(zero_copy_only=False))
                 if not len(known):
                     continue
-                ids, m = b.column(0).to_numpy()[known], _matrix(b.column(1).take(pa.array(known)), width)
-                for tree, top in enumerate(tops):
-                    at = ends_at(top, m)
-                    yield pa.RecordBatch.from_pylist([{"tree": tree, "node": int(node), "ids": ids[at == node].tobytes(), "x": m[at == node].tobytes()}
-                                                      for node in np.unique(at)])
+                held.append((b.column(0).to_numpy()[known], _matrix(b.column(1).take(pa.array(known)), width)))
+                size += len(known)
+                if size >= BLOCK_ROWS:
+                    yield from out(held)
+                    held, size = [], 0
+            if held:
+                yield from out(held)
 
         def apply(batches):
             for b in batches:
@@ -779,11 +801,11 @@ class ForestModel(Model, MLWritable, MLReadable):
                     yield pa.RecordBatch.from_pydict({"_row": np.frombuffer(row["ids"], np.int64),
                                                       **{f"v{j}": v for j, v in enumerate(sub["value"][_walk(sub, x)].T)}})
 
-        blocks = df.select("_row", _features(df, self.features).alias("x")).mapInArrow(deal, "tree long, node long, ids binary, x binary")
+        blocks = df.select(own, _features(df, self.features).alias("x")).mapInArrow(deal, "tree long, node long, ids binary, x binary")
         met = blocks.join(self.subtrees.select("tree", "node", "feature", "threshold", "left", "right", "value"), ["tree", "node"])
-        sums = met.mapInArrow(apply, f"_row long, {', '.join(f'v{j} double' for j in range(k))}").groupBy("_row").agg(
-            F.array(*[F.sum(f"v{j}") / len(tops) for j in range(k)]).alias("_forest"))
-        return df.join(sums, "_row", "left").drop("_row")
+        sums = met.mapInArrow(apply, f"_row long, {', '.join(f'v{j} double' for j in range(k))}").groupBy(F.col("_row").alias(own)).agg(
+            F.array(*[F.sum(f"v{j}") / len(tops) for j in range(k)]).alias(name))
+        return df.join(sums, own, "left").drop(own)
 
     def write(self) -> MLWriter:
         return _Writer(self)

@@ -129,6 +129,12 @@ def test_same_forest_on_any_partitioning_and_by_joining(spark):
     np.testing.assert_allclose(first, predictions(b, df), atol=1e-9)
     a.broadcast_bytes = 0
     np.testing.assert_allclose(first, predictions(a, df), atol=1e-9)
+    clash = df.withColumns({"_row": F.struct("id", "label"), "_FOREST": F.col("id") + 1})  # as scoring names the rows that it takes along
+    for size in (0, forest.BROADCAST_BYTES):
+        a.broadcast_bytes = size
+        kept = a.transform(clash).select("_row.*", "_FOREST", "prediction").orderBy("id").toPandas()
+        np.testing.assert_allclose(kept["prediction"], first, atol=1e-9)
+        assert (kept["_FOREST"] == kept["id"] + 1).all()
     sampled = a.nodes().where("feature < 0").agg(F.sum("rows")).first()[0] / (5 * 800)
     assert 0.58 < sampled < 0.69  # rows that a sample of n out of n holds: 1 - 1/e
 
