@@ -171,3 +171,16 @@ def test_boosted_regression_of_many_rows_is_fitted_on_different_features(spark,
     ready = models.prepare(df, "y", "XGB_REG", ["a", "b"], ["t"])
     cells = ready.collapsed("XGB_REG").data
     assert cells.count() <= 6 * 5 * 2 and cells.agg({"_weight": "sum"}).first()[0] == 900
+
+
+def test_folds_of_documents_are_cut_from_counts_read_once(spark, tmp_path, monkeypatch):
+    from riskframe.catalog import modelling
+
+    docs = [(1, "a b 12\nc", "en", 8), (2, None, "de", 0), (3, "7", None, 1), (4, "no label", "en", 8), (5, "x", "en", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0), (3, 1), (5, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(tuning, "FoldedTable", lambda df, *args, **kw: df)
+    df = modelling._folds(spark, str(tmp_path), "LR", k=2)
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = sorted((r["doc_id"], r["n_lines"], r["n_words"], r["digits"], r["label"]) for r in df.collect())
+    assert got == [(1, 1.0, 2.0, 2.0, 1), (2, None, None, None, 0), (3, 0.0, 0.0, 1.0, 1)]
